@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from hushframe.llm import op5_substring_dedup, op10_ngram_jaccard
+from hushframe.llm import (
+    op1_url_filters,
+    op4_media_columns,
+    op5_substring_dedup,
+    op7_bpe,
+    op9_html_extraction,
+    op10_ngram_jaccard,
+)
 
-_MODULES = [op5_substring_dedup, op10_ngram_jaccard]
+_MODULES = [op1_url_filters, op4_media_columns, op5_substring_dedup, op7_bpe, op9_html_extraction, op10_ngram_jaccard]
 
 
 def queries() -> dict:
