@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from hushframe.llm import (
     op1_url_filters,
+    op3_toxicity,
     op4_media_columns,
     op5_substring_dedup,
+    op6_quality_rules,
     op7_bpe,
+    op8_mixing,
     op9_html_extraction,
     op10_ngram_jaccard,
 )
 
-_MODULES = [op1_url_filters, op4_media_columns, op5_substring_dedup, op7_bpe, op9_html_extraction, op10_ngram_jaccard]
+_MODULES = [
+    op1_url_filters,
+    op3_toxicity,
+    op4_media_columns,
+    op5_substring_dedup,
+    op6_quality_rules,
+    op7_bpe,
+    op8_mixing,
+    op9_html_extraction,
+    op10_ngram_jaccard,
+]
 
 
 def queries() -> dict:
