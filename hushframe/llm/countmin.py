@@ -1,6 +1,6 @@
 """Count-min sketches over 64-bit keys, made by partition and merged by block.
 
-Each task adds its keys to sparse partial sketches; the parts of a block of cells meet in one task, which adds them up.
+Each task adds its keys to partial sketches, whose blocks of cells are compressed one by one; the parts of a block of cells meet in one task, which adds them up.
 A merged cell is never below the true count of any key in it, so "estimated once" means "occurs once".  The size is
 fixed by ``bits`` and ``depth``: the driver gets ``depth * 2**bits`` cells of one bit or one byte and no more.
 """
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from hushframe.llm.words import U, mix
@@ -46,11 +47,20 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                 block = cell >> block_bits
                 cut = np.flatnonzero(np.diff(block, prepend=-1))
                 for a, z in zip(cut, [*cut[1:], len(cell)]):
+                    own, count = cell[a:z] & ((1 << block_bits) - 1), n[a:z]
                     out[0].append(int(block[a]) + row * per_row)
-                    out[1].append((cell[a:z] & ((1 << block_bits) - 1)).astype(np.uint32).tobytes())
-                    out[2].append(n[a:z].astype(np.uint32).tobytes())
+                    if (z - a) << 4 > 1 << block_bits and count.max() < 256:  # every cell, a byte each
+                        whole = np.zeros(1 << block_bits, np.uint8)
+                        whole[own] = count
+                        out[1].append(None)
+                        out[2].append(pack.compress(whole.tobytes()))
+                    else:
+                        out[1].append(pack.compress(np.diff(own, prepend=0).astype(np.uint32).tobytes()))
+                        out[2].append(pack.compress(count.astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "cell", "n"])
 
+        pack = zstandard.ZstdCompressor(level=1)
+
         held, size = [], 0
         for batch in batches:
             for key in keys(batch):
@@ -65,11 +75,15 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if block not in whole:
                     whole[block] = np.zeros(1 << block_bits, np.uint32)
-                whole[block][np.frombuffer(cell, np.uint32)] += np.frombuffer(n, np.uint32)
+                if cell is None:
+                    whole[block] += np.frombuffer(unpack(n), np.uint8)
+                else:
+                    whole[block][np.cumsum(np.frombuffer(unpack(cell), np.uint32))] += np.frombuffer(unpack(n), np.uint32)
         for block, counts in whole.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_level(counts) if level else _twice(counts)], pa.binary())], ["block", "cells"])
 

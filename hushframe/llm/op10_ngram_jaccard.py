@@ -2,8 +2,9 @@
 
 Method: set-relation skipping.  Equal sets are one set from the start.  Each set enters index lists under its rarest
 n-grams (as many as the threshold needs, in one order for all sets: by a count-min estimate of the corpus frequency,
-then by hash).  A list entry has the set's size and the position of the n-gram in the set's order; whole ranges of a list
-are skipped by the two, because the rest of either set bounds the overlap from there on.
+then by hash).  Lists are cut into blocks by size, with a set in the block of its size and, under the fewer n-grams that
+suffice for the smaller of two sets, in the next; all other blocks of a list are skipped.  Within a block, the position of
+the n-gram in the order of either set skips entries, because the rest of either set bounds the overlap from there on.
 
 Answers are derived from sets that are highly similar: each list has a pivot, its most central set (most of its n-grams
 are frequent, as in the original of many copies), and every other entry is first compared with the pivot alone.  Entries
@@ -14,7 +15,8 @@ left out only if it can't link or if its two sets are connected anyway.
 
 A list isn't held by one task: pivots come from aggregations with partial results, pairs from joins that adaptive
 execution can split.  For result rows there are ``component_id`` (smallest ``doc_id`` reachable, itself included) and the
-set's size; copies aren't expanded into pairs.
+set's size; copies aren't expanded into pairs.  A set is named by 64 bits; that two of n different sets have one name has a
+probability of about n * n / 2**65.
 
 Defined cases: null or empty text, or text of white space, has an empty set and links with nothing, so its component is
 itself; fewer words than ``words`` are one n-gram, the whole sequence; repeated rows give a row each; a null ``doc_id``
@@ -36,9 +38,10 @@ from hushframe.llm.components import components
 from hushframe.llm.scratch import cut
 from hushframe.llm.words import U, grams, hashed_words, mix
 
-BITS, DEPTH = 22, 2
-#: Rounds of comparisons with pivots, before the pairs that are left.
-ROUNDS = 2
+BITS, DEPTH = 24, 2
+#: Rounds of comparisons with pivots at most; the pairs that are left are looked at as soon as they are as few as so
+#: many times the entries, or rounds end.
+ROUNDS, FEW = 4, 8
 _WHOLE = U(0xD6E8FEB86659FD93)
 
 
@@ -54,9 +57,9 @@ def _sets(text: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield lo + i, mix(grams(h[a:z], int(z - a)) ^ _WHOLE)
 
 
-def _name(s: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return np.array([len(s), np.sum(mix(s ^ _WHOLE), dtype=U), np.sum(mix(s * U(3)), dtype=U)], U).tobytes()[4:]
+def _name(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(mix(np.array([np.sum(mix(s ^ _WHOLE), dtype=U) + U(len(s))], U)).view(np.int64)[0])
 
 
 def _need(x: Column, y: Column, num: int, den: int) -> Column:
@@ -72,13 +75,14 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
             n, sid = [0] * batch.num_rows, [None] * batch.num_rows
             for i, s in _sets(batch.column(1), words):
                 n[i], sid[i] = len(s), _name(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary())], ["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "n_shingles", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long")
 
 
 def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The index: token, sid, n (size), pos, cent (how frequent the set's n-grams are on the mean)."""
+    """The index: token (of a block of a list), sid, n (size), pos, cent (how frequent the set's n-grams are on the mean)."""
+    step = np.log(den / num) * (1 + 1e-9)
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held, size = [], 0
@@ -95,31 +99,27 @@ def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            token = np.concatenate([r[0] for r in rows])
             k = np.array([len(r[0]) for r in rows])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(token.view(np.int64)), pa.array([r[1] for r in rows], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), k))),
-                    pa.array(np.repeat([r[2] for r in rows], k).astype(np.int32)), pa.array(np.concatenate([np.arange(x) for x in k]).astype(np.int32)),
-                    pa.array(np.repeat([r[3] for r in rows], k).astype(np.int32)),
-                ],
-                ["token", "sid", "n", "pos", "cent"],
-            )
+            each = [pa.array(np.repeat([r[j] for r in rows], k).astype(t)) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
+            pos = pa.array(np.concatenate([np.arange(x) for x in k]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), each[0], each[1], pos, each[2]], ["token", "sid", "n", "pos", "cent"])
 
         rows, size = [], 0
         for batch in batches:
             for _, s in _sets(batch.column(0), words):
                 level = countmin.estimate_level(sketch.value, BITS, s)
-                k = len(s) - -(-num * len(s) // den) + 1
-                rows.append((s[np.lexsort((s, level))[:k]], _name(s), len(s), int(100 * level.mean())))
-                size += k
+                n, block = len(s), int(np.log(len(s)) / step)
+                k, fewer = n - -(-num * n // den) + 1, n - -(-2 * num * n // (num + den)) + 1
+                first, rest = s[np.lexsort((s, level))[:k]], (_name(s), n, int(100 * level.mean()))
+                rows += [(mix(first ^ U(block * 2 + 1)), *rest), (mix(first[:fewer] ^ U(block * 2 + 3)), *rest)]
+                size += k + fewer
                 if size > 1 << 17:
                     yield made(rows)
                     rows, size = [], 0
         if rows:
             yield made(rows)
 
-    return docs.select("text").mapInArrow(run, "token long, sid binary, n int, pos int, cent int")
+    return docs.select("text").mapInArrow(run, "token long, sid long, n int, pos int, cent int")
 
 
 def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -131,10 +131,10 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
             for k in range(0, len(got), 500):
                 part = [s for _, s in got[k : k + 500]]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(part).view(np.int64)))], ["sid", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(part).view(np.int64)))], ["sid", "grams"])
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("doc_id")
-    sets = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(run, "sid binary, grams array<long>").dropDuplicates(["sid"])
+    sets = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(run, "sid long, grams array<long>").dropDuplicates(["sid"])
     sets = cut(sets)
     one, two = (sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -149,45 +149,47 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     entries = cut(_entries(docs, words, num, den))
     fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= _need(F.col("na"), F.col("nb"), num, den))
 
-    shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p")).where("lo <> hi")
-    lists = cut(entries.join(shared.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp")), "token").select("token", "sid", "n", "pos", "cent", "pivot", "np", "pp"))
-
     order = [F.least("x", "y").alias("a"), F.when(F.col("x") <= F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") <= F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")]
-
-    def with_pivots(at: DataFrame, pivot: str, size: str, pos: str) -> DataFrame:
-        got = at.where(F.col("sid") != F.col(pivot)).select(F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col(pivot).alias("y"), F.col(size).alias("nb"), F.col(pos).alias("pb"))
-        return got.where(fits).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny")).select(*order).distinct()
-
-    known = _overlaps(docs, reps, with_pivots(lists, "pivot", "np", "pp"), words, num, den)
-    links = known.where("linked").select("a", "b")
-
-    def unsettled(links: DataFrame) -> DataFrame:
-        """Entries, once for each set, of the lists whose sets aren't all connected; comp is the set's component so far."""
-        label = components(links).withColumnRenamed("v", "sid")
-        at = lists.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return at.join(mixed, "token").groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent", "pivot", "comp")))
-
-    for _ in range(ROUNDS - 1):
-        # The entries that aren't connected with their pivot get one of their own, the most central of them.
-        at = unsettled(links)
-        of = at.select("token", F.col("sid").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        rest = cut(at.join(of, ["token", "pivot"]).where("comp <> pivot_comp").select("token", "sid", "n", "pos", "cent"))
-        second = rest.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p")).select("token", F.col("p.sid").alias("q"), F.col("p.n").alias("nq"), F.col("p.pos").alias("pq"))
-        more = with_pivots(rest.join(second, "token"), "q", "nq", "pq").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.unionByName(_overlaps(docs, reps, more, words, num, den))
+    shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
+    lists = cut(entries.join(shared, "token").groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent"))))
+
+    def star(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``at`` with the pivot of each list, and the pairs with pivots that can link."""
+        pivot = at.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p"))
+        at = cut(at.drop("pivot", "np").join(pivot.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp")), "token"))
+        got = at.where("sid <> pivot").select(F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("pivot").alias("y"), F.col("np").alias("nb"), F.col("pp").alias("pb"))
+        return at.drop("pp"), got.where(fits).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny")).select(*order).distinct()
+
+    at, pairs = star(lists)
+    known = _overlaps(docs, reps, pairs, words, num, den)
+    for k in range(ROUNDS):
+        # What is left of the lists whose sets aren't all connected; comp is a set's component so far.
         links = known.where("linked").select("a", "b")
+        label = components(links).withColumnRenamed("v", "sid")
+        at = at.drop("comp").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        at = cut(at.join(mixed, "token"))
+        n = at.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        n = n.select(F.sum("c").alias("n"), F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs")).first()
+        if not n["n"] or n["pairs"] <= FEW * n["n"] or k + 1 == ROUNDS:
+            break
+        # Entries that aren't connected with their pivot get one of their own, the most central of them.
+        of = at.where("sid = pivot").select("token", F.col("comp").alias("of"))
+        apart, pairs = star(at.join(of, "token", "left").where("of is null or comp <> of").drop("of"))
+        more = _overlaps(docs, reps, pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, num, den)
+        known = cut(known.unionByName(more))
+        new = apart.select("token", "sid", F.col("pivot").alias("new"), F.col("np").alias("new_n"))
+        at = at.join(new, ["token", "sid"], "left").withColumns({"pivot": F.coalesce("new", "pivot"), "np": F.coalesce("new_n", "np")}).drop("new", "new_n")
 
-    at = cut(unsettled(links))
     with_pivot = known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both").union(known.select("b", "a", "both"))
     at = at.join(with_pivot, ["sid", "pivot"], "left").withColumn("both", F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
-    sizes = known.select(F.col("a").alias("pivot"), F.col("na").alias("np")).union(known.select("b", "nb")).distinct()
-    at = cut(at.join(sizes, "pivot", "left"))
-    x = at.select("token", "pivot", "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"))
-    y = at.select("token", F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"))
+    at = cut(at)
+    x = at.select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"))
+    y = at.select("token", F.col("pivot").alias("py"), F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"))
     pairs = x.join(y, "token").where((F.col("ca") < F.col("cb")) & fits)
-    at_most = F.coalesce(F.least(F.col("ba") + F.col("nb") - F.col("bb"), F.col("bb") + F.col("na") - F.col("ba")), F.least("na", "nb"))
-    at_least = F.coalesce(F.col("ba") + F.col("bb") - F.col("np"), F.lit(0))
+    same = F.col("px") == F.col("py")
+    at_most = F.coalesce(F.when(same, F.least(F.col("ba") + F.col("nb") - F.col("bb"), F.col("bb") + F.col("na") - F.col("ba"))), F.least("na", "nb"))
+    at_least = F.coalesce(F.when(same, F.col("ba") + F.col("bb") - F.col("np")), F.lit(0))
     need = _need(F.col("na"), F.col("nb"), num, den)
     pairs = pairs.where(at_most >= need).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny"), (at_least >= need).alias("sure"))
     pairs = cut(pairs.select(*order, "sure").groupBy("a", "na", "b", "nb").agg(F.max("sure").alias("sure")).join(known.select("a", "b"), ["a", "b"], "left_anti"))
@@ -212,9 +214,9 @@ def _with_sid(docs: DataFrame, words: int) -> DataFrame:
             sid = [None] * batch.num_rows
             for i, s in _sets(batch.column(place), words):
                 sid[i] = _name(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "__sid_of"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, "__sid_of"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(b"").alias("__sid_of")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("__sid_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

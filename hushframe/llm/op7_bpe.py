@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -242,7 +243,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            ids = pa.array([list(chain.from_iterable(t.encode(x.as_py() or ""))) for x in batch.column(place)], pa.list_(pa.int32()))
+            parts = [np.fromiter(chain.from_iterable(t.encode(x.as_py() or "")), np.int32) for x in batch.column(place)]
+            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     return docs.mapInArrow(run, docs.select("*", F.expr("array(1)").alias("ids")).schema)
@@ -256,7 +259,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            text = pa.array(["".join(t.decode([x.as_py() or []])) for x in batch.column(place)], pa.string())
+            text = pa.array(["".join(t.decode([x.values.to_numpy().tolist()] if x.is_valid else [])) for x in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, df.select("*", F.lit("").alias("decoded")).schema)

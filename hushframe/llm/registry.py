@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hushframe.llm import (
     op1_url_filters,
+    op2_quality_classifier,
     op3_toxicity,
     op4_media_columns,
     op5_substring_dedup,
@@ -16,6 +17,7 @@ from hushframe.llm import (
 
 _MODULES = [
     op1_url_filters,
+    op2_quality_classifier,
     op3_toxicity,
     op4_media_columns,
     op5_substring_dedup,
