@@ -216,7 +216,7 @@ def _with_sid(docs: DataFrame, words: int) -> DataFrame:
                 sid[i] = _name(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, "__sid_of"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("__sid_of")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("long").alias("__sid_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
