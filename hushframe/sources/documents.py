@@ -150,7 +150,7 @@ def parse(files: DataFrame) -> DataFrame:
                 error.append(e)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(sheets, pa.list_(pa.string())), pa.array(error, pa.string())], [*batch.schema.names, "text", "sheets", "error"])
 
-    out = files.mapInArrow(run, files.select("*", F.lit("").alias("text"), F.array(F.lit("")).alias("sheets"), F.lit("").alias("error")).schema)
+    out = files.mapInArrow(run, files.selectExpr("*", "cast(null as string) text", "cast(null as array<string>) sheets", "cast(null as string) error").schema)
     return out.withColumn("text", F.when(F.col("ext") == "html", html_text(F.col("text"))).otherwise(F.col("text")))
 
 

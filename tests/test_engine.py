@@ -168,7 +168,7 @@ def test_files(spark, tmp_path):
 
 def test_settings(spark):
     assert [confidence(x) for x in (50.5, -1, 200, float("nan"), "x")] == [51, 0, 100, 70, 70]
-    c = Config(Company(" A " * 300, ["", "b"], ["X.COM"]), Custom(["k"] * 200), Detection(500, True, ["pii", "none"])).checked()
+    c = Config(Company(" " + "A" * 600, ["", "b"], ["X.COM"]), Custom(["k"] * 200), Detection(500, True, ["pii", "none"])).checked()
     assert len(c.company.name) == 500 and c.company.domains == ["x.com"] and len(c.custom.keywords) == 100 and c.detection.categories == ["pii"]
     assert Config.from_json(c.to_json()) == c and Config.from_json("{}") == Config().checked()
     p = profiles.seed(spark)
