@@ -57,12 +57,14 @@ def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return b, at // BLOCK
 
 
-def _answers(w: Weights, b: np.ndarray) -> np.ndarray:
-    """Each filter's answer at each step, before the bias."""
+def _answers(w: Weights, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each filter's answer at each step, before the bias.  The last step of a text (``ends``: where the next begins) has
+    nothing of it but zeros and would see the next text, so it has no answer."""
     x = w["embed"][b].reshape(-1, _HALF * EMBED)
     cut = _HALF * EMBED
     y = x @ w["filter"][:cut]
     y[:-1] += x[1:] @ w["filter"][cut:]
+    y[ends // _HALF - 1] = -1e30
     return y
 
 
@@ -83,7 +85,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _step(w: Weights, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, Weights]:
     """Loss and gradients of one batch; a maximum passes its gradient on to where it was."""
     b, block = _padded(texts)
-    answers = _answers(w, b).reshape(-1, BLOCK // _HALF, FILTERS)
+    answers = _answers(w, b, block[1:] * BLOCK).reshape(-1, BLOCK // _HALF, FILTERS)
     best = answers.argmax(1)
     top = np.take_along_axis(answers, best[:, None], 1)[:, 0]
     of, first = _chunks(block)
@@ -164,11 +166,12 @@ def probabilities(w: Weights | None, column: pa.Array) -> np.ndarray:
                 b = np.zeros(min(SLICE, total - z) + BLOCK, np.uint8)
                 part = data[a + z : min(a + z + len(b), a + size)]
                 b[: len(part)] = part
-                tops.append(_answers(w, b).reshape(-1, BLOCK // _HALF, FILTERS).max(1)[:-1])
+                ends = np.array([total - z] if z + SLICE >= total else [], int)
+                tops.append(_answers(w, b, ends).reshape(-1, BLOCK // _HALF, FILTERS).max(1)[:-1])
             block = np.array([0, total // BLOCK])
         else:
             b, block = _padded([data[at[k] : at[k + 1]] for k in range(i, j)])
-            tops.append(_answers(w, b).reshape(-1, BLOCK // _HALF, FILTERS).max(1))
+            tops.append(_answers(w, b, block[1:] * BLOCK).reshape(-1, BLOCK // _HALF, FILTERS).max(1))
         top = np.concatenate(tops) + w["bias"]
         of, first = _chunks(block)
         c = top[of[:, 0]]

@@ -136,11 +136,11 @@ def test_network_gradients():
     for k in ("out", "hidden", "bias", "filter", "embed"):
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         new = []
-        for e in (1e-5, -1e-5):
+        for e in (1e-4, -1e-4):  # single precision within the step
             v = {n: x.copy() for n, x in w.items()}
             v[k][i] += e
             new.append(op2_quality_classifier._step(v, texts, y)[0])
-        assert abs((new[0] - new[1]) / 2e-5 - g[k][i]) < 1e-2 * max(1e-3, abs(g[k][i]))
+        assert abs((new[0] - new[1]) / 2e-4 - g[k][i]) < 2e-2 * max(1e-3, abs(g[k][i]))
 
 
 def test_network_reads_long_texts_in_slices(monkeypatch):
