@@ -1,7 +1,7 @@
 """Media columns: MPEG audio.  Bytes go losslessly into a playable (silent) MPEG-1 layer III stream and come back.
 
-Method: the reader resynchronises on frame headers (a header counts if its fields are possible and the next frame, or the
-end, follows where it says), parses the tag before and after the stream and the variable-bitrate table, verifies the
+Method: the reader resynchronises on frame headers (a header counts if its fields are possible and if it goes on where a
+frame of the same kind has ended, or one of the same kind, or the end, follows where it says), parses the tag before and after the stream and the variable-bitrate table, verifies the
 checksum of each frame, and stores the exact duration (samples and rate) and the byte offset of each frame.
 
 The writer makes an ID3v2.4 tag with the payload's length, a frame with the variable-bitrate table (frames, bytes, and
@@ -46,6 +46,10 @@ class Header(NamedTuple):
     samples: int
     side: int
 
+    @property
+    def kind(self) -> tuple[int, int, bool, int]:
+        return self.version, self.layer, self.checked, self.hz
+
 
 @functools.lru_cache(1 << 12)
 def _header(b: bytes) -> Header | None:
@@ -156,17 +160,23 @@ def read_mpeg(b: bytes) -> Media:
     """What a stream has."""
     at, end, said = _tags(b)
     offsets, parts, samples, hz, bad, skipped, table_frames, table_bytes = [], [], 0, 0, 0, 0, None, None
-    follows = False
+    before = None  # the kind of the frame that ends here
     while at + 4 <= end:
         h = _header(b[at : at + 4])
-        if h is None or at + h.length > end or not follows and at + h.length + 4 <= end and _header(b[at + h.length : at + h.length + 4]) is None:
-            follows = False
+        known = h is not None and before == h.kind
+        if h is not None and not known and at + h.length + 4 <= end:
+            after = _header(b[at + h.length : at + h.length + 4])
+            known = after is not None and after.kind == h.kind
+        elif h is not None:
+            known = True
+        if not known or at + h.length > end:
+            before = None
             new = b.find(b"\xff", at + 1, end)
             new = end if new < 0 else new
             skipped += new - at
             at = new
             continue
-        follows = True
+        before = h.kind
         side = at + 4 + 2 * h.checked
         body = side + h.side
         if h.layer == 3 and h.checked:
