@@ -29,7 +29,9 @@ from hushframe.llm.words import buffers
 ROWS, BYTES = 3_000, 8_000_000
 WIDTH, CHUNK, BLOCK = 8, 256, 64
 EMBED, FILTERS, HIDDEN = 6, 24, 12
-STEPS, BATCH, RATE, SEED = 450, 16, 0.012, 7
+STEPS, BATCH, RATE, SEED = 450, 16, 0.006, 7
+#: Slope below zero, so that no unit stops learning; largest length of a batch's gradient.
+LEAK, CLIP = 0.1, 2.0
 THRESHOLD = 0.3
 SLICE = 1 << 19
 _HALF, _PER = WIDTH // 2, CHUNK // BLOCK
@@ -91,9 +93,9 @@ def _step(w: Weights, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, We
     of, first = _chunks(block)
     which = top[of].argmax(1)
     raw = np.take_along_axis(top[of], which[:, None], 1)[:, 0] + w["bias"]
-    c = np.maximum(raw, 0)
+    c = np.maximum(raw, LEAK * raw)
     pre = c @ w["hidden"] + w["hidden_bias"]
-    h = np.maximum(pre, 0)
+    h = np.maximum(pre, LEAK * pre)
     n = len(texts)
     mean, most, at = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), int)
     for i in range(n):
@@ -108,16 +110,16 @@ def _step(w: Weights, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, We
     k = np.diff(first)
     dh = np.repeat(dv[:, :HIDDEN] / k[:, None], k, 0)
     np.add.at(dh, (at, np.arange(HIDDEN)[None]), dv[:, HIDDEN:])
-    dh *= pre > 0
+    dh *= np.where(pre > 0, 1, LEAK).astype(np.float32)
     g["hidden"], g["hidden_bias"] = c.T @ dh, dh.sum(0)
-    dc = (dh @ w["hidden"].T) * (raw > 0)
+    dc = (dh @ w["hidden"].T) * np.where(raw > 0, 1, LEAK).astype(np.float32)
     g["bias"] = dc.sum(0)
     where = np.take_along_axis(of, which, 1)
     place = (where * (BLOCK // _HALF) + best[where, np.arange(FILTERS)[None]]) * _HALF
     chunk, f = np.nonzero(dc)
     grad = dc[chunk, f]
     seen = np.minimum(place[chunk, f][:, None] + np.arange(WIDTH), len(b) - 1)
-    patch = w["embed"][b[seen]].reshape(len(grad), -1)
+    patch = w["embed"][b[seen]].reshape(len(grad), WIDTH * EMBED)
     g["filter"] = np.zeros_like(w["filter"])
     g["embed"] = np.zeros_like(w["embed"])
     for j in range(FILTERS):
@@ -141,7 +143,10 @@ def fit(texts: list[np.ndarray], y: np.ndarray, steps: int = STEPS) -> Weights |
     for t in range(1, steps + 1):
         pick = np.concatenate([r.choice(k, BATCH // 2) for k in kinds])
         _, g = _step(w, [texts[i] for i in pick], y[pick].astype(np.float32))
-        rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
+        rate = RATE * min(1.0, t / 20, 2 * (1 - t / (steps + 1)))
+        long = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+        if long > CLIP:
+            g = {k: x * (CLIP / long) for k, x in g.items()}
         for k in w:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
@@ -177,7 +182,8 @@ def probabilities(w: Weights | None, column: pa.Array) -> np.ndarray:
         c = top[of[:, 0]]
         for k in range(1, _PER):
             c = np.maximum(c, top[of[:, k]])
-        h = np.maximum(np.maximum(c, 0) @ w["hidden"] + w["hidden_bias"], 0)
+        pre = np.maximum(c, LEAK * c) @ w["hidden"] + w["hidden_bias"]
+        h = np.maximum(pre, LEAK * pre)
         v = np.concatenate([np.add.reduceat(h, first[:-1]) / np.diff(first)[:, None], np.maximum.reduceat(h, first[:-1])], 1)
         out[i:j] = _sigmoid(v @ w["out"] + w["out_bias"] + w["prior"])
         i = j
