@@ -198,3 +198,13 @@ def test_stream(spark, sf, tmp_path):
     write_masked(masked_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     batch = mask.mask(mask.to_detections(detect(df))).select("doc_id", "masked_text")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_sql_functions(spark):
+    from hushframe.functions import sql
+
+    assert "is_luhn" in sql.register(spark)
+    row = spark.sql("select is_luhn('4111111111111111') a, is_iban('GB82WEST12345698765432') b, is_email('x') c, is_luhn(null) d").first()
+    assert (row.a, row.b, row.c, row.d) == (True, True, False, None)
+    df = spark.createDataFrame([("Ahmed", "Al-Otaibi", "Dr.")], "a string, b string, c string")
+    assert df.select(sql.arabic_first_name(F.col("a")), sql.arabic_family_name(F.col("b")), sql.name_prefix(F.col("c"))).first()[:] == (True, True, True)
