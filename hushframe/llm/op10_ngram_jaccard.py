@@ -3,7 +3,8 @@
 Method: set-relation skipping.  Equal sets are one set from the start.  Each set enters index lists under its rarest
 n-grams (as many as the threshold needs, in one order for all sets: by a count-min estimate of the corpus frequency,
 then by hash).  Lists are cut into blocks by size, with a set in the block of its size and, under the fewer n-grams that
-suffice for the smaller of two sets, in the next; all other blocks of a list are skipped.  Within a block, the position of
+suffice for the smaller of two sets, in the next; all other blocks of a list are skipped, and so is a list that has one
+document for sure (a second sketch never takes an n-gram of two for one of one).  Within a block, the position of
 the n-gram in the order of either set skips entries, because the rest of either set bounds the overlap from there on.
 
 Answers are derived from sets that are highly similar: each list has a pivot, its most central set (most of its n-grams
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
 from hushframe.llm.components import components
-from hushframe.llm.scratch import cut
+from hushframe.llm.scratch import cut, drop
 from hushframe.llm.words import U, grams, hashed_words, mix
 
-BITS, DEPTH = 24, 2
+BITS, DEPTH = 22, 2
+#: Cells of the sketch that tells n-grams of one document alone, at most: they are in no other set's list.
+MIN_BITS, MAX_BITS = 16, 27
 #: Rounds of comparisons with pivots at most; the pairs that are left are looked at as soon as they are as few as so
 #: many times the entries, or rounds end.
 ROUNDS, FEW = 4, 8
@@ -95,13 +98,17 @@ def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         if held:
             yield np.concatenate(held)
 
-    sketch = docs.sparkSession.sparkContext.broadcast(countmin.build(docs.select("text"), keys, BITS, DEPTH, True))
+    context = docs.sparkSession.sparkContext
+    sketch = context.broadcast(countmin.build(docs.select("text"), keys, BITS, DEPTH, True))
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MAX_BITS, max(MIN_BITS, int(size // 4).bit_length()))
+    several = context.broadcast(countmin.build(docs.select("text"), keys, bits, DEPTH, False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
             k = np.array([len(r[0]) for r in rows])
             each = [pa.array(np.repeat([r[j] for r in rows], k).astype(t)) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
-            pos = pa.array(np.concatenate([np.arange(x) for x in k]).astype(np.int32))
+            pos = pa.array(np.concatenate([r[4] for r in rows]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), each[0], each[1], pos, each[2]], ["token", "sid", "n", "pos", "cent"])
 
         rows, size = [], 0
@@ -111,8 +118,10 @@ def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 n, block = len(s), int(np.log(len(s)) / step)
                 k, fewer = n - -(-num * n // den) + 1, n - -(-2 * num * n // (num + den)) + 1
                 first, rest = s[np.lexsort((s, level))[:k]], (_name(s), n, int(100 * level.mean()))
-                rows += [(mix(first ^ U(block * 2 + 1)), *rest), (mix(first[:fewer] ^ U(block * 2 + 3)), *rest)]
-                size += k + fewer
+                pos = np.flatnonzero(countmin.estimate_twice(several.value, bits, first)).astype(np.int32)
+                own, few = first[pos], int(np.searchsorted(pos, fewer))
+                rows += [(mix(own ^ U(block * 2 + 1)), *rest, pos), (mix(own[:few] ^ U(block * 2 + 3)), *rest, pos[:few])]
+                size += len(own) + few
                 if size > 1 << 17:
                     yield made(rows)
                     rows, size = [], 0
@@ -138,7 +147,9 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
     sets = cut(sets)
     one, two = (sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "na", "b", "nb", both.alias("both")).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
+    out = cut(pairs.join(one, "a").join(two, "b").select("a", "na", "b", "nb", both.alias("both")).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
+    drop(sets)
+    return out
 
 
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -152,6 +163,7 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     order = [F.least("x", "y").alias("a"), F.when(F.col("x") <= F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") <= F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")]
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
     lists = cut(entries.join(shared, "token").groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent"))))
+    drop(entries)
 
     def star(at: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``at`` with the pivot of each list, and the pairs with pivots that can link."""

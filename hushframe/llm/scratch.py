@@ -32,13 +32,30 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/hushframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._hushframe_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more, and let Spark's cleaner, which waits for the driver's
+    garbage collection, remove the shuffle files of finished steps."""
+    for df in tables:
+        path = getattr(df, "_hushframe_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+        df.sparkSession._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table written by :func:`cut` in this process; call it when no result that uses them is needed."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
