@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
 from hushframe.llm.components import components
-from hushframe.llm.scratch import cut, drop
+from hushframe.llm.scratch import cut, drop, keep_only, scope
 from hushframe.llm.words import U, grams, hashed_words, mix
 
 BITS, DEPTH = 22, 2
@@ -155,6 +155,19 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """All columns of ``docs`` (which needs ``doc_id`` and ``text``), ``n_shingles`` and ``component_id``."""
     docs = docs.drop("n_shingles", "component_id")
+    with scope() as made:
+        named, of_set = _labelled(docs, words, num, den)
+        of_set = cut(of_set)
+        keep_only(made, named, of_set)
+    result = named.join(of_set, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    if docs.columns == ["doc_id", "text"]:
+        return result.select("doc_id", "n_shingles", "component_id")
+    per_id = result.groupBy(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
+    return _with_sid(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__sid_of").eqNullSafe(F.col("__sid"))).drop("__id", "__sid", "__sid_of")
+
+
+def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and sid of each row, and component_id of each sid."""
     named = cut(_named(docs, words))
     reps = cut(named.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     entries = cut(_entries(docs, words, num, den))
@@ -210,12 +223,7 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
 
     of_set = reps.join(label.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = of_set.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_set = of_set.join(least, "comp").select("sid", "component_id")
-    result = named.join(of_set, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    if docs.columns == ["doc_id", "text"]:
-        return result.select("doc_id", "n_shingles", "component_id")
-    per_id = result.groupBy(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
-    return _with_sid(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__sid_of").eqNullSafe(F.col("__sid"))).drop("__id", "__sid", "__sid_of")
+    return named, of_set.join(least, "comp").select("sid", "component_id")
 
 
 def _with_sid(docs: DataFrame, words: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
-from hushframe.llm.scratch import cut
+from hushframe.llm.scratch import cut, keep_only, scope
 from hushframe.llm.words import U, buffers, grams, hashed_words, mix
 
 WINDOW = 50
@@ -126,7 +126,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` (which needs ``doc_id`` and ``text``) and ``n_words``, ``n_removed``, ``kept_text``
     (kept words joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    flags = _flags(docs.select("doc_id", "text"), window)
+    with scope() as made:
+        flags = cut(_flags(docs.select("doc_id", "text"), window))
+        keep_only(made, flags)
     flags = flags.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
     joined = docs.join(flags, (docs["doc_id"] == flags["__id"]) & (F.xxhash64(docs["text"]) == flags["__key"]), "left").drop("__id", "__key")
     place = joined.columns.index("text")

@@ -8,12 +8,16 @@ recomputation, and nothing depends on blocks that live on one executor.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _WRITTEN: list[str] = []
+_SCOPES = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hushframe_path = path
+    for made in getattr(_SCOPES, "open", [])[-1:]:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The list of tables that :func:`cut` makes in this thread while the scope is the innermost one."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield _SCOPES.open[-1]
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -50,9 +66,15 @@ def drop(*tables: DataFrame) -> None:
         if path in _WRITTEN:
             _WRITTEN.remove(path)
             _delete(df.sparkSession, path)
+    for df in tables[:1]:
         df.sparkSession._jvm.System.gc()
 
 
+def keep_only(made: list[DataFrame], *kept: DataFrame) -> None:
+    """Delete the tables of a scope but those that a result still reads."""
+    drop(*(df for df in made if not any(df is k for k in kept)))
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table written by :func:`cut` in this process; call it when no result that uses them is needed."""
     n = len(_WRITTEN)
