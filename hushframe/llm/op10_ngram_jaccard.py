@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
 from hushframe.llm.components import components
-from hushframe.llm.scratch import cut, drop, keep_only, scope
+from hushframe.llm.scratch import bounded_batches, cut, drop, keep_only, scope
 from hushframe.llm.words import U, grams, hashed_words, mix
 
 BITS, DEPTH = 22, 2
@@ -155,6 +155,7 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """All columns of ``docs`` (which needs ``doc_id`` and ``text``), ``n_shingles`` and ``component_id``."""
     docs = docs.drop("n_shingles", "component_id")
+    bounded_batches(docs.sparkSession)
     with scope() as made:
         named, of_set = _labelled(docs, words, num, den)
         of_set = cut(of_set)

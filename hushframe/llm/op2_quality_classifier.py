@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.labelled import fold, sample
+from hushframe.llm.scratch import bounded_batches
 from hushframe.llm.words import buffers
 
 ROWS, BYTES = 3_000, 8_000_000
@@ -204,23 +205,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Weights | None:
     return fit([np.frombuffer(t.encode(), np.uint8) for t in got["text"]], got["label"].to_numpy())
 
 
-def score(docs: DataFrame, w: Weights | None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` (which needs ``text``) and ``score``, ``predicted``."""
+def score(docs: DataFrame, w: Weights | None, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (which needs ``text``; without it if not ``with_text``) and ``score``, ``predicted``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    place = docs.columns.index("text")
+    place, rest = docs.columns.index("text"), [i for i, c in enumerate(docs.columns) if with_text or c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = probabilities(shared.value, batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], [*(batch.schema.names[i] for i in rest), "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
+    return docs.mapInArrow(run, docs.select(*(docs.columns[i] for i in rest), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held_out = fold(F.col("doc_id"), 5) == 0
-    scored = score(docs, train(docs, labels, ~held_out))
+    scored = score(docs, train(docs, labels, ~held_out), with_text=False)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.scratch import bounded_batches
+
 UNIT = 64
 # Fixed values of the format: kbit/s by index, Hz by index, bytes of side information.
 _RATES_1 = {1: (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), 2: (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), 3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)}
@@ -211,6 +213,7 @@ _FIELDS = "media_frames int, media_samples long, media_hz int, duration_us long,
 
 def store(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` (which needs ``text``), ``n_bytes`` and the stored form ``media``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("n_bytes", "media")
     place = docs.columns.index("text")
 

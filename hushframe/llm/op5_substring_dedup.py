@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
-from hushframe.llm.scratch import cut, keep_only, scope
+from hushframe.llm.scratch import bounded_batches, cut, keep_only, scope
 from hushframe.llm.words import U, buffers, grams, hashed_words, mix
 
 WINDOW = 50
@@ -126,6 +126,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` (which needs ``doc_id`` and ``text``) and ``n_words``, ``n_removed``, ``kept_text``
     (kept words joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
+    bounded_batches(docs.sparkSession)
     with scope() as made:
         flags = cut(_flags(docs.select("doc_id", "text"), window))
         keep_only(made, flags)

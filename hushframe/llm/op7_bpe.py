@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.scratch import bounded_batches
+
 #: Pieces remembered with their tokens at most, and bytes of the longest.
 REMEMBERED, LONGEST = 500_000, 48
 SLICE, _TAIL = 1 << 16, 8
@@ -237,6 +239,7 @@ def default_path() -> str:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` (which needs ``text``) and ``ids`` (array of int)."""
+    bounded_batches(docs.sparkSession)
     docs, path = docs.drop("ids"), path or default_path()
     place = docs.columns.index("text")
 

@@ -81,3 +81,11 @@ def release(spark: SparkSession) -> int:
     while _WRITTEN:
         _delete(spark, _WRITTEN.pop())
     return n
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of few megabytes unless the session has its own bound: rows with whole texts are large, and a
+    batch exists several times, in the JVM's buffers and in the Python worker."""
+    for key, default, own in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
