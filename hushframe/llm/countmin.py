@@ -14,10 +14,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from hushframe.llm.words import U, mix
+from hushframe.llm.words import U, mix, trimmed
 
 BLOCK_BITS = 18
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909), U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)]
 
 
@@ -87,9 +87,9 @@ def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
         for block, counts in whole.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_level(counts) if level else _twice(counts)], pa.binary())], ["block", "cells"])
 
-    parts = df.mapInArrow(partial, "block int, cell binary, n binary")
+    parts = df.mapInArrow(trimmed(partial), "block int, cell binary, n binary")
     empty = bytes((1 << block_bits) if level else max(1, (1 << block_bits) >> 3))
-    got = {r["block"]: bytes(r["cells"]) for r in parts.repartition("block").mapInArrow(merge, "block int, cells binary").collect()}
+    got = {r["block"]: bytes(r["cells"]) for r in parts.repartition("block").mapInArrow(trimmed(merge), "block int, cells binary").collect()}
     return [b"".join(got.get(row * per_row + i, empty) for i in range(per_row)) for row in range(depth)]
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from hushframe.llm import countmin
 from hushframe.llm.components import components
 from hushframe.llm.scratch import bounded_batches, cut, drop, keep_only, scope
-from hushframe.llm.words import U, grams, hashed_words, mix
+from hushframe.llm.words import U, grams, hashed_words, mix, trimmed
 
 BITS, DEPTH = 22, 2
 #: Cells of the sketch that tells n-grams of one document alone, at most: they are in no other set's list.
@@ -80,7 +80,7 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
                 n[i], sid[i] = len(s), _name(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "n_shingles", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long")
 
 
 def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         if rows:
             yield made(rows)
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n int, pos int, cent int")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, sid long, n int, pos int, cent int")
 
 
 def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
                 yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(part).view(np.int64)))], ["sid", "grams"])
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("doc_id")
-    sets = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(run, "sid long, grams array<long>").dropDuplicates(["sid"])
+    sets = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(trimmed(run), "sid long, grams array<long>").dropDuplicates(["sid"])
     sets = cut(sets)
     one, two = (sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -237,7 +237,7 @@ def _with_sid(docs: DataFrame, words: int) -> DataFrame:
                 sid[i] = _name(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, "__sid_of"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("long").alias("__sid_of")).schema)
+    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("long").alias("__sid_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

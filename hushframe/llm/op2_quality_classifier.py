@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.labelled import fold, sample
 from hushframe.llm.scratch import bounded_batches
-from hushframe.llm.words import buffers
+from hushframe.llm.words import buffers, trimmed
 
 ROWS, BYTES = 3_000, 8_000_000
 WIDTH, CHUNK, BLOCK = 8, 256, 64
@@ -217,7 +217,7 @@ def score(docs: DataFrame, w: Weights | None, threshold: float = THRESHOLD, with
             p = probabilities(shared.value, batch.column(place))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], [*(batch.schema.names[i] for i in rest), "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.select(*(docs.columns[i] for i in rest), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
+    return docs.mapInArrow(trimmed(run), docs.select(*(docs.columns[i] for i in rest), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

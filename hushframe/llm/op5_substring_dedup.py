@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm import countmin
 from hushframe.llm.scratch import bounded_batches, cut, keep_only, scope
-from hushframe.llm.words import U, buffers, grams, hashed_words, mix
+from hushframe.llm.words import U, buffers, grams, hashed_words, mix, trimmed
 
 WINDOW = 50
 MIN_BITS, MAX_BITS, DEPTH = 16, 27, 2
@@ -107,7 +107,7 @@ def _flags(docs: DataFrame, window: int) -> DataFrame:
                 )
 
     with_id = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    runs = cut(with_id.mapInArrow(repeated, f"rep long, run long, doc_id {with_id.schema['doc_id'].dataType.simpleString()}, text_key long, first int, windows array<long>"))
+    runs = cut(with_id.mapInArrow(trimmed(repeated), f"rep long, run long, doc_id {with_id.schema['doc_id'].dataType.simpleString()}, text_key long, first int, windows array<long>"))
     distinct = cut(runs.groupBy("rep", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows").alias("windows")))
     several = distinct.groupBy("rep").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("most").alias("z")).where("n > 1 and a < z").select("rep")
     apart = distinct.join(several, "rep").select("rep", "run", "least", "most", F.posexplode("windows").alias("i", "w"))
@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], [*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
-    return joined.mapInArrow(strip, schema)
+    return joined.mapInArrow(trimmed(strip), schema)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

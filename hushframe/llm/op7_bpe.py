@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.scratch import bounded_batches
+from hushframe.llm.words import trim
 
 #: Pieces remembered with their tokens at most, and bytes of the longest.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 SLICE, _TAIL = 1 << 16, 8
 _SIMPLE = 24
 #: Characters that ``regex`` takes for letters or numbers and the library, with an older Unicode, does not.
@@ -115,6 +116,11 @@ class Transducer:
         self.pattern_newer = sets(rf"[\p{{L}}--[{_NEWER}]]", rf"[\p{{N}}--[{_NEWER}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{_NEWER}]]")
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Let the remembered pieces go at the end of a task."""
+        self.known.clear()
+        trim()
+
     # Encoding
 
     def _merged(self, b: bytes) -> list[int]:
@@ -250,6 +256,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        t.forget()
 
     return docs.mapInArrow(run, docs.select("*", F.expr("array(1)").alias("ids")).schema)
 
@@ -310,6 +317,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             got = [digests(t, decimal, x.as_py() or "") for x in batch.column(place)]
             columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *columns], [*(batch.schema.names[i] for i in rest), "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     return docs.mapInArrow(run, docs.drop("text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)
 
