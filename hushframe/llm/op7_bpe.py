@@ -100,8 +100,10 @@ class Transducer:
             self.rank[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
             steps.append((vocab[a], vocab[b], vocab[a + b]))
-        self.lookahead = sufficient_lookahead(steps, {i: len(b) for i, b in self.bytes_of.items()})
-        self.buffer = max(256, 2 * self.lookahead)
+        length = {i: len(b) for i, b in self.bytes_of.items()}
+        self.lookahead = sufficient_lookahead(steps, length)
+        # Whatever token stands first, it ends more than the lookahead before the buffer's end.
+        self.buffer = max(256, 2 * self.lookahead, self.lookahead + max(length.values(), default=0) + 1)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()

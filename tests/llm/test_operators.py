@@ -328,6 +328,14 @@ def test_transducer_equals_the_library(library):
         assert "".join(t.decode([ids])) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["ÃÂ" * 65, "ÃÂ" * 200, " " + "ÃÂ" * 65, "a " + "ÃÂ" * 200 + " b"])
+def test_longest_token_first_in_the_buffer(library, text):
+    t = op7_bpe.transducer(op7_bpe.default_path())
+    longest = max(len(b) for i, b in t.bytes_of.items() if i not in t.special.values())
+    assert t.buffer > t.lookahead + longest  # else the next line might never end
+    assert [i for p in t.encode(text) for i in p] == library.encode(text).ids
+
+
 def test_slices_change_nothing(library, monkeypatch):
     monkeypatch.setattr(op7_bpe, "SLICE", 40)
     t, r = op7_bpe.transducer(op7_bpe.default_path()), np.random.default_rng(4)
