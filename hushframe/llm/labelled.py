@@ -12,15 +12,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sample(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """``doc_id, label`` of at most ``rows`` labelled rows for learning, chosen by a hash of the id.
+def labelled(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """``doc_id, label`` of all labelled rows for learning.
 
-    The bound makes the result fit for a broadcast.  Rows with a null id or label are not learnt from; of rows that
-    repeat an id the largest label counts.
+    Rows with a null id or label are not learnt from; of rows that repeat an id the largest label counts.
     """
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def sample(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
+    """At most ``rows`` of :func:`labelled`, chosen by a hash of the id.  The bound makes the result fit for a broadcast."""
+    return labelled(labels, label, learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:

@@ -8,9 +8,12 @@ whole text, over its most toxic windows of ``SPAN`` words and over its most toxi
 speak for the toxic class; a logistic function turns them into a probability.  It is fitted to the labelled rows' values
 under models that have counted all rows but those of the row's own third.
 
-Bounds: at most ``ROWS`` labelled rows are learnt from, and at
-most ``MAX_GRAMS`` byte sequences, the most frequent, are kept; so the model that goes to the executors has a fixed size.
-Counting runs on the executors over whole texts, and so does scoring; nothing else of a row than its text enters a score.
+Bounds: the models count every labelled row for learning and every byte sequence, those seen once included.  Up to
+``MAX_GRAMS`` sequences the models are made on the driver and broadcast.  Beyond that they are made and kept as shuffled
+tables that grow with the input, and the documents, dealt into buckets of about ``BUCKET`` bytes of text, get the entries
+that a bucket's texts need by a join; the scores are the same.  Only the logistic function, of ten parameters, is fitted
+to at most ``ROWS`` rows.  Counting and scoring run on the executors over whole texts; nothing else of a row than its text
+enters a score.
 
 Defined cases: null or empty text has no words and gets the score that the logistic function has for no evidence;
 texts of any length are read whole; repeated rows give a row each; ids without a fold (null) are not held out and not
@@ -25,17 +28,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from hushframe.llm.labelled import fit_logistic, fold, sample
-from hushframe.llm.scratch import bounded_batches
+from hushframe.llm.labelled import fit_logistic, fold, labelled, sample
+from hushframe.llm.scratch import bounded_batches, cut, drop
 from hushframe.llm.words import U, buffers, trimmed
 
 ROWS, MAX_GRAMS, ORDER, PARTS = 60_000, 1_000_000, 6, 3
 DISCOUNT, SPAN, SPEAKS = 0.75, 24, 3.0
 THRESHOLD = 0.7
-PIECE = 1 << 20
+PIECE, BUCKET = 1 << 20, 8 << 20
 _FEATURES = 9
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58] = np.arange(48, 58)
@@ -55,6 +59,14 @@ class Model(NamedTuple):
     intercept: float
 
 
+class Tables(NamedTuple):
+    """The same as shuffled ``key, ratio``: models without each part, by number, and the whole one (``PARTS``); see :func:`_keys`."""
+
+    entries: DataFrame
+    weights: np.ndarray
+    intercept: float
+
+
 def _grams(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For plain bytes that begin and end with a space: the sequence of each byte of a word and of its end (up to
     ``ORDER`` bytes from the word's start on, with the space before it), where they are, and where words end."""
@@ -186,12 +198,87 @@ def kneser_ney(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Mod
     return Model(g, (logs[1] - logs[0]).astype(np.float32), ctx, (others[1] - others[0]).astype(np.float32), np.zeros(_FEATURES), 0.0)
 
 
+def tables(counts: DataFrame) -> DataFrame:
+    """The models of :func:`kneser_ney` as one table ``key, ratio``, from the table of :func:`count`."""
+    s, model = F.col("s"), F.col("model")
+    lower = F.lit(0).cast("long")
+    for k in range(1, ORDER):
+        lower = F.when(s >= F.lit(1 << 8 * k), s.bitwiseAND(F.lit((1 << 8 * k) - 1))).otherwise(lower)
+    down, ctx = F.when(s >= 256, lower).otherwise(s), F.shiftright(s, 8)
+    left = lambda name, k: sum((F.col(f"{name}{i}") for i in range(PARTS) if i != k), F.lit(0).cast("long"))
+    models = F.array(*(F.struct(F.lit(k).alias("model"), left("ordinary", k).alias("n0"), left("toxic", k).alias("n1")) for k in range(PARTS + 1)))
+    top = cut(counts.select(F.col("gram").alias("s"), F.inline(models)).where(F.col("n0") + F.col("n1") > 0))
+    levels, now = [], top
+    for _ in range(ORDER - 1):
+        now = cut(now.groupBy("model", down.alias("s")).agg(F.sum((s >= 256).cast("long")).alias("n")))
+        levels.append(now)
+    of = Window.partitionBy("model", ctx)  # at most 256 rows each
+    kinds = lambda n: F.sum((F.col(n) > 0).cast("long")).over(of)
+    below = None
+    for now in reversed(levels):
+        now = now.withColumn("t", F.sum("n").over(of)).withColumn("k", kinds("n"))
+        now = now.withColumn("p", F.lit(1 / 256)) if below is None else now.withColumn("down", down).join(below, ["model", "down"])
+        p = F.when(F.col("t") > 0, (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("k") * F.col("p")) / F.col("t")).otherwise(F.col("p"))
+        below = cut(now.select("model", s.alias("down"), p.alias("p")))
+    now = top
+    for c in "01":
+        now = now.withColumn(f"t{c}", F.sum(f"n{c}").over(of)).withColumn(f"back{c}", F.when(F.col(f"t{c}") > 0, DISCOUNT * kinds(f"n{c}") / F.col(f"t{c}")).otherwise(1.0))
+    log = lambda c: F.log(F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"t{c}"), F.lit(1)) + F.col(f"back{c}") * F.col("p") + 1e-12)
+    own = lambda x: x.bitwiseOR(F.shiftleft(model.cast("long"), 56))
+    known = now.withColumn("down", down).join(below, ["model", "down"]).select(own(s).alias("key"), (log("1") - log("0")).cast("float").alias("ratio"))
+    other = now.groupBy("model", ctx.alias("s")).agg((F.log(F.first("back1")) - F.log(F.first("back0"))).cast("float").alias("ratio"))
+    return cut(known.union(other.select(F.bitwise_not(own(s)), "ratio")))
+
+
+def _keys(g: np.ndarray, model: int) -> np.ndarray:
+    """Keys in the tables of what the sequences need: themselves and, as complements, their contexts."""
+    own = U(model) << U(56)
+    return np.concatenate([(g | own).view(np.int64), ~(np.unique(g >> U(8)) | own).view(np.int64)])
+
+
+def _from_tables(rows: DataFrame, entries: DataFrame, made: str, what) -> DataFrame:
+    """``row`` and what ``what`` makes of the features of ``rows`` (row, text, model), with the models in tables."""
+    n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row", "text"), F.lit(n))).repartition(int(n), "bucket")
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, model = (np.array(batch.column(i).to_pylist(), np.int64) for i in (2, 1))
+            for b, k in {*zip(bucket.tolist(), model.tolist())}:
+                some = batch.column(0).take(pa.array(np.flatnonzero((bucket == b) & (model == k))))
+                for _, text in _groups(some):
+                    keys = _keys(np.unique(_grams(text)[0]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys)], ["bucket", "key"])
+
+    needed = dealt.select("text", "model", "bucket").mapInArrow(trimmed(need), "bucket long, key long").distinct()
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(made)])
+
+    def over(own: pa.Table, found: pa.Table) -> pa.Table:
+        key, ratio = found.column("key").to_numpy(), found.column("ratio").to_numpy()
+        model, x = own.column("model").to_numpy(), np.zeros((own.num_rows, _FEATURES))
+        for k in np.unique(model):
+            part = []
+            for at, plain in ((key >= 0, key), (key < 0, ~key)):
+                at &= plain >> 56 == k
+                s, r = (plain[at] & ((1 << 56) - 1)).view(U), ratio[at]
+                order = np.argsort(s)
+                part += [s[order], r[order]]
+            at = np.flatnonzero(model == k)
+            x[at] = features(Model(*part, np.zeros(_FEATURES), 0.0), own.column("text").take(pa.array(at)))
+        return pa.table([own.column("row"), *what(x)], names=schema.names)
+
+    found = needed.join(entries, "key").select("bucket", "key", "ratio")
+    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(over, schema)
+
+
 def _ratios(m: Model, g: np.ndarray) -> np.ndarray:
-    if not len(m.grams):
-        return np.zeros(len(g))
-    i = np.minimum(np.searchsorted(m.grams, g), len(m.grams) - 1)
-    known = m.grams[i] == g
-    out = np.where(known, m.ratio[i], 0).astype(float)
+    known, out = np.zeros(len(g), bool), np.zeros(len(g))
+    if len(m.grams):
+        i = np.minimum(np.searchsorted(m.grams, g), len(m.grams) - 1)
+        known = m.grams[i] == g
+        out = np.where(known, m.ratio[i], 0).astype(float)
+    if not len(m.contexts):
+        return out
     rest = np.flatnonzero(~known)
     c = g[rest] >> U(8)
     j = np.minimum(np.searchsorted(m.contexts, c), len(m.contexts) - 1)
@@ -246,14 +333,23 @@ def features(m: Model, column: pa.Array) -> np.ndarray:
     return np.array([seen[i].features() if i in seen else none for i in range(len(column))]).reshape(-1, _FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS) -> Model:
-    """A model from labelled rows (``labels``: doc_id, toxic) of ``docs``."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS) -> Model | Tables:
+    """A model from labelled rows (``labels``: doc_id, toxic) of ``docs``: all are counted, ``rows`` fit the weights."""
     bounded_batches(docs.sparkSession)
-    chosen = F.broadcast(sample(labels, "toxic", learn, rows))
-    rows_of = docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PARTS)).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PARTS)).cast("int")
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    rows_of = texts.join(F.broadcast(sample(labels, "toxic", learn, rows)), "doc_id").withColumn("part", part)
+    every = texts.join(labelled(labels, "toxic", learn).hint("shuffle_hash"), "doc_id").withColumn("part", part)
+    counts = cut(count(every))
+    if counts.count() > MAX_GRAMS:
+        entries = tables(counts)
+        of = rows_of.select(F.struct("label").alias("row"), "text", F.col("part").alias("model"))
+        got = _from_tables(of, entries, "x array<double>", lambda x: [pa.array(list(x), pa.list_(pa.float64()))]).select("row.label", "x").toPandas()
+        x = np.array(got["x"].tolist()).reshape(-1, _FEATURES)
+        return Tables(entries, *fit_logistic(x, got["label"].to_numpy(float)))
     names = [[f"{name}{k}" for k in range(PARTS)] for name in ("ordinary", "toxic")]
-    n = sum((F.col(c) for c in [*names[0], *names[1]]), F.lit(0))
-    table = count(rows_of).where(n > 1).orderBy(n.desc(), "gram").limit(MAX_GRAMS).toPandas()
+    table = counts.toPandas()
+    drop(counts)
     gram, by_part = table["gram"].to_numpy(), [[table[c].to_numpy() for c in own] for own in names]
     whole = [sum(own) for own in by_part]
     m = kneser_ney(gram, *whole)
@@ -279,11 +375,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS) -
     return m._replace(weights=weights, intercept=intercept)
 
 
-def score(docs: DataFrame, m: Model, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, m: Model | Tables, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (which needs ``text``; without it if not ``with_text``) and ``score``, ``predicted``."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     place, rest = docs.columns.index("text"), [i for i, c in enumerate(docs.columns) if with_text or c != "text"]
+    if isinstance(m, Tables):
+        weights, intercept = m.weights, m.intercept
+
+        def judged(x: np.ndarray) -> list[pa.Array]:
+            p = 1 / (1 + np.exp(-np.clip(x @ weights + intercept, -30, 30)))
+            return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+
+        of = docs.select(F.struct(*(docs.columns[i] for i in rest)).alias("row"), "text", F.lit(PARTS).alias("model"))
+        return _from_tables(of, m.entries, "score double, predicted int", judged).select("row.*", "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -328,6 +328,30 @@ def test_transducer_equals_the_library(library):
         assert "".join(t.decode([ids])) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_toxicity_counts_every_row_and_sequence(spark):
+    docs = spark.createDataFrame([(i, f"common words here {'quxzv' if i == 7 else 'and'} there") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
+    few, m = (op3_toxicity.train(docs, labels, F.col("doc_id") >= 0, rows=n) for n in (6, 40))
+    once, _, _ = op3_toxicity._grams(np.frombuffer(b" quxzv ", np.uint8))
+    for got in (few, m):  # the row bound is for the fit alone
+        assert np.isin(once, got.grams).all() and (op3_toxicity._ratios(got, once) > 0).all()
+    assert (few.grams == m.grams).all() and (few.ratio == m.ratio).all()
+
+
+def test_toxicity_by_shuffled_tables(spark, edge, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = []
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(op3_toxicity, "MAX_GRAMS", most)
+        monkeypatch.setattr(op3_toxicity, "BUCKET", 1 << 16)
+        m = op3_toxicity.train(docs, labels, F.col("doc_id") % 3 > 0)
+        assert isinstance(m, op3_toxicity.Tables if most == 0 else op3_toxicity.Model)
+        got.append([sorted((r.doc_id or -1, r.score, r.predicted) for r in op3_toxicity.score(d, m, with_text=w).collect()) for d, w in ((docs, True), (edge, False))])
+    for a, b in zip(*got):
+        assert len(a) == len(b) and np.allclose(a, b, atol=1e-4)
+
+
 @pytest.mark.parametrize("text", ["ÃÂ" * 65, "ÃÂ" * 200, " " + "ÃÂ" * 65, "a " + "ÃÂ" * 200 + " b"])
 def test_longest_token_first_in_the_buffer(library, text):
     t = op7_bpe.transducer(op7_bpe.default_path())
