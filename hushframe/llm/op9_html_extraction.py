@@ -9,7 +9,9 @@ Pass two settles short and near-good blocks from their nearest decided neighbour
 between two bad ones bad, and between a good and a bad one it follows the good one if it is near-good or if it is in
 the same container as the good one.  Pages whose text sits in an ``article`` or ``main`` element have that as further
 evidence: a block outside of it isn't good, and a short block inside counts the container's blocks only as neighbours.
-Stop words are those of the given lists, for all languages at once.
+Stop words are those of the given lists, for all languages at once.  On a page without a good block, stop words say
+little (it may be in a language without a list): its near-good blocks and all long blocks of low link density that
+their elements don't make bad are its text, or else those that are not short.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 line feed, and nothing else is dropped or capped.
@@ -158,6 +160,11 @@ def _kind(text: str, b: _Block, article: bool) -> str:
     return "near" if article else "bad"
 
 
+def _plain(text: str, b: _Block, longer: int) -> bool:
+    """Whether a block is longer than that, and neither its element nor its links speak against it."""
+    return not b.bad and len(text) > longer and b.links / len(text) <= LINKS
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -166,8 +173,9 @@ def main_text(page: str | None) -> str:
     article = any(b.inside and not b.bad for _, b in blocks)
     kinds = [_kind(t, b, article) for t, b in blocks]
     decided = [k in ("good", "bad") for k in kinds]
-    if "good" not in kinds and (near := [i for i, k in enumerate(kinds) if k == "near" or article and k == "short"]):
-        for i in near:  # a page of few words: what is nearest to good is its text
+    if "good" not in kinds:  # a page of few words, or of a language without stop words: what is nearest to good is its text
+        near = [i for i, k in enumerate(kinds) if k == "near" or article and k == "short" or not article and _plain(*blocks[i], LONG)]
+        for i in near or [i for i, (t, b) in enumerate(blocks) if not article and _plain(t, b, SHORT - 1)]:
             kinds[i], decided[i] = "good", True
     before, after, last = [None] * len(kinds), [None] * len(kinds), None
     for i, d in enumerate(decided):

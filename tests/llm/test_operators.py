@@ -433,6 +433,14 @@ def test_html_leaves_the_rest_out(inner):
     assert op9_html_extraction.main_text(page) == "\n".join(want)
 
 
+@pytest.mark.parametrize("passage", ["Wczoraj rano dzieci poszły przez las nad rzekę, gdzie czekał stary rybak. ", "Вчера утром дети пошли через лес к реке, где ждал старый рыбак. ", "昨天早上孩子们穿过森林来到河边，老渔夫正在那里等着他们。"])
+def test_html_of_languages_without_stop_words(passage):
+    first, second = (passage * 9).strip(), (passage * 12).strip()
+    page = f"<body><div><a href=x>{passage * 5}</a></div><div class=sidebar>{passage * 8}</div><div><p>{first}</p><p>{second}</p></div><footer>{passage * 8}</footer></body>"
+    assert op9_html_extraction.main_text(page) == f"{first}\n{second}"
+    assert op9_html_extraction.main_text(f"<body><p>{(passage * 3).strip()}</p></body>") == (passage * 3).strip()
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "plain <"), (4, "<p>a\n b&nbsp;c<p>" + "x " * 200_000), (5, "<div><div><p>unclosed " + LONG), (5, "<div><div><p>unclosed " + LONG), (6, "<script>never closed")]
     got = op9_html_extraction.extract(spark.createDataFrame([(i, h, "clash") for i, h in rows], "page_id int, html string, text string")).collect()
