@@ -65,6 +65,10 @@ def gulf(s: str) -> bool:
     return bool(_GULF.match(compact(s)))
 
 
+def gulf_column(c: Column) -> Column:
+    return F.upper(F.regexp_replace(c, r"\s", "")).rlike(V.GULF_IBAN)
+
+
 def iban_shape(s: str) -> bool:
     c = compact(s)
     return 15 <= len(c) <= 34 and bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]+", c))

@@ -88,11 +88,11 @@ def person_names(df: DataFrame, names: Iterable[str], text: str = "text") -> Dat
     return _mapped(df, text, "persons", _ENTITY_TYPE, ENTITY, run)
 
 
-#: Rules that are one expression: pattern, flags, check and confidence by type.
-NATIVE: dict[str, tuple[list[tuple[str, str]], object, int]] = {
+#: Rules that are one expression: pattern, flags, check and confidence (or what gives it for a span) by type.
+NATIVE: dict[str, tuple[list[tuple[str, str]], object, object]] = {
     "email": (V.EMAILS, C.email_column, 95),
     "credit_card": (V.CARDS, C.card_column, 95),
-    "iban": (V.IBANS[1:], C.mod97_column, 95),
+    "iban": (V.IBANS, lambda c: C.gulf_column(c) | C.mod97_column(c), lambda c: F.when(C.gulf_column(c), 90).otherwise(95)),
     "ssn": (V.SSNS, C.ssn_column, 95),
     "mac_address": (V.MACS, None, 95),
     "vin": (V.VINS, lambda c: c.rlike("[A-Z]") & c.rlike("[0-9]"), 85),
@@ -111,7 +111,7 @@ def native_spans(text: Column, kind: str) -> Column:
     found = F.concat(*(spans(text, p, f) for p, f in patterns)) if len(patterns) > 1 else spans(text, *patterns[0])
     if check is not None:
         found = F.filter(found, lambda x: check(x["text"]))
-    one = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence")))
+    one = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(kind).alias("type"), (confidence(x["text"]) if callable(confidence) else F.lit(confidence)).alias("confidence")))
     return F.array_sort(F.array_distinct(one))
 
 

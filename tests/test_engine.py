@@ -76,6 +76,17 @@ def test_expressions_equal_the_function(spark, sf):
     assert got == {(i, k, s, v) for i, t in texts for k in kinds for v, s, _ in R.matches(of[k], t)}
 
 
+def test_native_ibans_equal_the_function(spark, sf):
+    """Spaced ones, and those of the Gulf that have the format alone, too."""
+    texts = ["to GB82 WEST 1234 5698 7654 32 now", "GB82WEST12345698765432, DE89 3704 0044 0532 0130 00", "SA00 1234 5678 9012 3456 7890", "SA0012345678901234567890 GB00WEST12345698765432", "gb82 west 1234 5698 7654 32", None, ""]
+    texts += [t for (t,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in detect_native(df, ["iban"]).select("doc_id", "start", "span_text", "confidence").collect()}
+    rule = next(r for r in RULES if r.type == "iban")
+    assert got == {(i, s, v, c) for i, t in enumerate(texts) if t for v, s, c in R.matches(rule, t)}
+    assert {(0, 3, "GB82 WEST 1234 5698 7654 32", 95), (2, 0, "SA00 1234 5678 9012 3456 7890", 90)} <= got
+
+
 def test_java_edge_is_ascii(spark):
     one = lambda t, p: spark.range(1).select(F.lit(t).rlike(to_java(p))).first()[0]
     assert one("éabc", r"\babc") and one("a b", r"a\sb") and not one("a\n", r"a\z") and not one("a b", "a.b")
