@@ -13,7 +13,7 @@ from hushframe.functions import rules as R
 from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report
-from hushframe.operators.detect import detect, detect_native, detect_rules, native_spans, person_names
+from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
 from hushframe.plans.config import Company, Config, Custom, Named
 from hushframe.plans.profiles import seed
 from hushframe.sources.documents import combined_ocr, html_text
@@ -331,16 +331,16 @@ def detect_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
 
-def _masked(mode: str) -> Query:
+def _masked(mode: str, kept: int | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = mask.to_detections(detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+        found = mask.to_detections(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=kept))
         return mask.mask(found, mode=mode).select("doc_id", F.size("detections").alias("n"), F.sha2("masked_text", 256).alias("masked_sha256"))
 
     return run
 
 
-query(name="masked_safe")(_masked("safe"))
-query(name="masked_compat")(_masked("compat"))
+query(name="masked_safe")(_masked("safe", None))
+query(name="masked_compat")(_masked("compat", KEPT))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\b(?:apache license|version)\\b')) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '(?i)\\b(?:apache license|version)\\b')")

@@ -12,6 +12,7 @@ from hushframe.functions.dialect import requirements, to_java, to_python
 from hushframe.operators import images, mask, report
 from hushframe.operators.detect import NATIVE, detect, detect_native, detect_rules
 from hushframe.plans import profiles
+from hushframe.plans import queries as Q
 from hushframe.plans.config import Company, Config, Custom, Detection, Named, confidence
 from hushframe.plans.history import History
 from hushframe.sources import documents, sinks
@@ -76,6 +77,14 @@ def test_expressions_equal_the_function(spark, sf):
     assert got == {(i, k, s, v) for i, t in texts for k in kinds for v, s, _ in R.matches(of[k], t)}
 
 
+def test_safe_masking_leaves_no_finding_out(spark, tmp_path):
+    text = " ".join(f"user{i}@example.com" for i in range(1200))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    n = {name: Q.QUERIES[name](spark, str(tmp_path)).first()["n"] for name in ("masked_safe", "masked_compat")}
+    every = len(detect(spark.read.parquet(str(tmp_path / "documents.parquet")), kept=None).first()["entities"])
+    assert n == {"masked_safe": every, "masked_compat": 1000} and every >= 1200
+
+
 def test_native_ibans_equal_the_function(spark, sf):
     """Spaced ones, and those of the Gulf that have the format alone, too."""
     texts = ["to GB82 WEST 1234 5698 7654 32 now", "GB82WEST12345698765432, DE89 3704 0044 0532 0130 00", "SA00 1234 5678 9012 3456 7890", "SA0012345678901234567890 GB00WEST12345698765432", "gb82 west 1234 5698 7654 32", None, ""]
