@@ -2,12 +2,13 @@
 
 Method: the reader resynchronises on frame headers (a header counts if its fields are possible and if it goes on where a
 frame of the same kind has ended, or one of the same kind, or the end, follows where it says), parses the tag before and after the stream and the variable-bitrate table, verifies the
-checksum of each frame, and stores the exact duration (samples and rate) and the byte offset of each frame.
+checksum of each layer III frame, and stores the exact duration (samples and rate) and the byte offset of each frame.
 
 The writer makes an ID3v2.4 tag with the payload's length, a frame with the variable-bitrate table (frames, bytes, and
 the hundred seek points), frames with a checksum, empty side information and the payload in their ancillary bytes, the
 last with the lowest bitrate that holds the rest, and an ID3v1 tag.  The reader takes any layer and version for
-durations and offsets, also with junk between frames; payloads are read from layer III frames of this form.
+durations and offsets, also with junk between frames, but doesn't verify checksums of layers I and II and reads only
+frames and bytes of the table, not its seek points; payloads are read from layer III frames of this form.
 
 Defined cases: null text counts as empty, and empty text has a payload of 64 zero bytes; media of any length go frame
 by frame; null or foreign media have no payload (null) and what frames they have; equal texts give equal media; repeated
