@@ -1,8 +1,14 @@
-"""Count-min sketches over 64-bit keys, made by partition and merged by block.
+"""Count-min sketches over 64-bit keys, made by partition and merged.
 
-Each task adds its keys to partial sketches, whose blocks of cells are compressed one by one; the parts of a block of cells meet in one task, which adds them up.
-A merged cell is never below the true count of any key in it, so "estimated once" means "occurs once".  The size is
-fixed by ``bits`` and ``depth``: the driver gets ``depth * 2**bits`` cells of one bit or one byte and no more.
+A merged cell is never below the true count of any key in it, so "estimated once" means "occurs once".  Two forms:
+
+:func:`frequencies` is a small dense sketch that every task gets: ``DEPTH`` rows of ``2**bits`` bytes whatever the input.
+It tells the frequent keys from the others.
+
+:func:`counted` has as many cells as the keys need to be told apart (about ``SPARE`` cells a key), and no task ever holds
+it all.  Rows of a table are buckets with their keys.  A bucket's sketch is sparse, the sorted numbers of its cells with
+counts, and goes by ranges of cells to the tasks that merge them; each merged range goes back to the buckets it came
+from, with the merged count of each of their cells.  Ranges and buckets keep their size when the input grows.
 """
 
 from __future__ import annotations
@@ -13,94 +19,123 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hushframe.llm.words import U, mix, trimmed
 
+DEPTH = 2
 BLOCK_BITS = 18
-FLUSH = 1 << 19
-_SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909), U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)]
+#: Keys of a range on the mean; cells a key, as a binary logarithm.
+RANGE, SPARE = 1 << 20, 10
+_SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909)]
 
 
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
+def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys ^ _SEEDS[row]) >> U(64 - bits)).astype(np.int64)
 
 
-def _twice(counts: np.ndarray) -> bytes:
-    return np.packbits(counts >= 2, bitorder="little").tobytes()
-
-
-def _level(counts: np.ndarray) -> bytes:
-    return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8).tobytes()
-
-
-def build(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int, level: bool) -> list[bytes]:
-    """One buffer for each row of the sketch: by cell a bit (estimated twice or more) or, with ``level``, a byte
-    (four times the binary logarithm of the estimate)."""
-    block_bits = min(BLOCK_BITS, bits)
-    per_row = 1 << (bits - block_bits)
+def frequencies(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> list[bytes]:
+    """One buffer for each row of the sketch, a byte a cell: four times the binary logarithm of the count."""
+    block = 1 << min(BLOCK_BITS, bits)
+    per_row = (1 << bits) // block
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            key, out = np.concatenate(held), ([], [], [])
-            for row in range(depth):
-                cell, n = np.unique(cells(key, row, bits), return_counts=True)
-                block = cell >> block_bits
-                cut = np.flatnonzero(np.diff(block, prepend=-1))
-                for a, z in zip(cut, [*cut[1:], len(cell)]):
-                    own, count = cell[a:z] & ((1 << block_bits) - 1), n[a:z]
-                    out[0].append(int(block[a]) + row * per_row)
-                    if (z - a) << 4 > 1 << block_bits and count.max() < 256:  # every cell, a byte each
-                        whole = np.zeros(1 << block_bits, np.uint8)
-                        whole[own] = count
-                        out[1].append(None)
-                        out[2].append(pack.compress(whole.tobytes()))
-                    else:
-                        out[1].append(pack.compress(np.diff(own, prepend=0).astype(np.uint32).tobytes()))
-                        out[2].append(pack.compress(count.astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "cell", "n"])
-
-        pack = zstandard.ZstdCompressor(level=1)
-
-        held, size = [], 0
+        rows = None
         for batch in batches:
             for key in keys(batch):
-                if len(key):
-                    held.append(key)
-                    size += len(key)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+                rows = np.zeros((DEPTH, 1 << bits), np.uint32) if rows is None else rows
+                for i in range(DEPTH):
+                    rows[i] += np.bincount(_cells(key, i, bits), minlength=1 << bits).astype(np.uint32)
+        if rows is not None:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            planes = [pack(part.view(np.uint8).reshape(-1, 4).T.tobytes()) for row in rows for part in row.reshape(per_row, block)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(planes)), pa.int32()), pa.array(planes, pa.binary())], ["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for block, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if block not in whole:
-                    whole[block] = np.zeros(1 << block_bits, np.uint32)
-                if cell is None:
-                    whole[block] += np.frombuffer(unpack(n), np.uint8)
-                else:
-                    whole[block][np.cumsum(np.frombuffer(unpack(cell), np.uint32))] += np.frombuffer(unpack(n), np.uint32)
-        for block, counts in whole.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_level(counts) if level else _twice(counts)], pa.binary())], ["block", "cells"])
-
-    parts = df.mapInArrow(trimmed(partial), "block int, cell binary, n binary")
-    empty = bytes((1 << block_bits) if level else max(1, (1 << block_bits) >> 3))
-    got = {r["block"]: bytes(r["cells"]) for r in parts.repartition("block").mapInArrow(trimmed(merge), "block int, cells binary").collect()}
-    return [b"".join(got.get(row * per_row + i, empty) for i in range(per_row)) for row in range(depth)]
-
-
-def estimate_twice(rows: list[bytes], bits: int, keys: np.ndarray) -> np.ndarray:
-    """Which keys are estimated to occur twice or more."""
-    out = np.ones(len(keys), bool)
-    for i, r in enumerate(rows):
-        cell = cells(keys, i, bits)
-        out &= (np.frombuffer(r, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def estimate_level(rows: list[bytes], bits: int, keys: np.ndarray) -> np.ndarray:
-    return np.minimum.reduce([np.frombuffer(r, np.uint8)[cells(keys, i, bits)] for i, r in enumerate(rows)])
+            for at, cells in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(zstandard.decompress(cells), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+                whole[at] = whole[at] + own if at in whole else own.astype(np.int64)
+        for at, counts in whole.items():
+            level = np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "cells"])
+
+    parts = df.mapInArrow(trimmed(partial), "block int, cells binary")
+    got = {r["block"]: bytes(r["cells"]) for r in parts.repartition("block").mapInArrow(trimmed(merge), "block int, cells binary").collect()}  # DEPTH * 2**bits bytes
+    return [b"".join(got.get(row * per_row + i, bytes(block)) for i in range(per_row)) for row in range(DEPTH)]
+
+
+def frequency(rows: list[bytes], bits: int, keys: np.ndarray) -> np.ndarray:
+    return np.minimum.reduce([np.frombuffer(r, np.uint8)[_cells(keys, i, bits)] for i, r in enumerate(rows)])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted values as compressed differences, one plane of bytes after the other."""
+    return zstandard.compress(np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
+
+
+def counted(buckets: DataFrame) -> tuple[DataFrame, int]:
+    """``bucket`` and ``levels`` for ``buckets`` (bucket: a number of its own, keys: 64-bit values, n_keys), and how many
+    bits of a key make its cell; :func:`levels_of` reads the two."""
+    rows, bits = _sent(buckets)
+
+    def merged(part: pa.Table) -> pa.Table:
+        cells, _, count = _merged(part)
+        level = np.where(count > 1, 1 + np.log2(np.maximum(count, 1)), 0).astype(np.uint8)
+        ends = np.cumsum([len(k) for k in cells])
+        found = [zstandard.compress(level[e - len(k) : e].tobytes(), 1) for k, e in zip(cells, ends)]
+        return pa.table([part.column("bucket"), part.column("range"), pa.array(found, pa.binary())], names=["bucket", "range", "level"])
+
+    back = rows.groupBy("range").applyInArrow(merged, "bucket long, range long, level binary")
+    return back.groupBy("bucket").agg(F.collect_list(F.struct("range", "level")).alias("levels")), bits  # a byte for each key of a bucket
+
+
+def repeated(buckets: DataFrame) -> tuple[DataFrame, int]:
+    """``range``, ``cells`` (:func:`unpacked` reads them) and ``n`` of all cells that are counted twice or more."""
+    rows, bits = _sent(buckets)
+
+    def merged(part: pa.Table) -> pa.Table:
+        _, cell, count = _merged(part)
+        twice = np.unique(cell[count > 1])
+        return pa.table([part.column("range")[:1], pa.array([_packed(twice)], pa.binary()), pa.array([len(twice)], pa.int64())], names=["range", "cells", "n"])
+
+    return rows.groupBy("range").applyInArrow(merged, "range long, cells binary, n long"), bits
+
+
+def _merged(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The cells of each bucket of a range, all of them, and the merged count of each."""
+    cells = [unpacked(x) for x in part.column("cells").to_pylist()]
+    n = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in part.column("counts").to_pylist()])
+    every = np.concatenate(cells)
+    _, at = np.unique(every, return_inverse=True)
+    return cells, every, np.bincount(at, n)[at]
+
+
+def _sent(buckets: DataFrame) -> tuple[DataFrame, int]:
+    """The buckets' sparse sketches by range, and the bits of a cell."""
+    total = buckets.agg(F.sum("n_keys")).first()[0] or 0
+    bits, ranges = min(62, int(total).bit_length() + SPARE), 1 + total // RANGE
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([-(-(i << bits) // ranges) for i in range(ranges)], U)
+        for batch in batches:
+            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cell, n = np.unique(np.frombuffer(keys.as_buffer(), U) >> U(64 - bits), return_counts=True)
+                at = np.searchsorted(cell, edges)
+                own = [(i, a, z) for i, (a, z) in enumerate(zip(at, [*at[1:], len(cell)])) if z > a]
+                cells = [_packed(cell[a:z]) for _, a, z in own]
+                counts = [zstandard.compress(np.minimum(n[a:z], 255).astype(np.uint8).tobytes(), 1) for _, a, z in own]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in own], pa.int64()), pa.array([bucket] * len(own), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["range", "bucket", "cells", "counts"])
+
+    return buckets.where("n_keys > 0").select("bucket", "keys").mapInArrow(trimmed(sent), "range long, bucket long, cells binary, counts binary"), bits
+
+
+def levels_of(keys: np.ndarray, levels: list[dict], bits: int) -> np.ndarray:
+    """For each key of a bucket 0, if it is counted once, else one more than the binary logarithm of its count."""
+    _, at = np.unique(keys >> U(64 - bits), return_inverse=True)
+    return np.concatenate([np.frombuffer(zstandard.decompress(x["level"]), np.uint8) for x in sorted(levels, key=lambda x: x["range"])])[at]

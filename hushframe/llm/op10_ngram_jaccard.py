@@ -3,21 +3,28 @@
 Method: set-relation skipping.  Equal sets are one set from the start.  Each set enters index lists under its rarest
 n-grams (as many as the threshold needs, in one order for all sets: by a count-min estimate of the corpus frequency,
 then by hash).  Lists are cut into blocks by size, with a set in the block of its size and, under the fewer n-grams that
-suffice for the smaller of two sets, in the next; all other blocks of a list are skipped, and so is a list that has one
-document for sure (a second sketch never takes an n-gram of two for one of one).  Within a block, the position of
+suffice for the smaller of two sets, in the next; all other blocks of a list are skipped.  Within a block, the position of
 the n-gram in the order of either set skips entries, because the rest of either set bounds the overlap from there on.
 
+Only n-grams of two documents or more have a list.  Which they are is counted where the n-grams are, by ranges of their
+hashes: documents go into buckets of one Arrow batch, a bucket sends the sorted hashes of a range as one compressed row,
+the task of a range adds up the buckets' counts and sends each of them its counts back.  So no sketch of all n-grams is
+broadcast, and ranges and buckets keep their size when the input grows.  The sketch that orders n-grams has a fixed size:
+it need only tell the frequent ones, and what it can't tell apart is ordered by hash.
+
 Answers are derived from sets that are highly similar: each list has a pivot, its most central set (most of its n-grams
-are frequent, as in the original of many copies), and every other entry is first compared with the pivot alone.  Entries
-that the links found so far already connect need no comparison.  For the others, overlaps with the common pivot bound
-the overlap of two sets from both sides, |x and p| + |y and p| - |p| <= |x and y| <= |x and p| + |y| - |y and p|, and
-decide most pairs without looking at them; only undecided pairs are compared in full.  The result is exact: a pair is
+are frequent, as in the original of many copies), and every other entry is first compared with a pivot alone: the one
+that most of the set's lists have.  Entries that the links found so far already connect need no comparison.  For the
+others, overlaps with the common pivot bound the overlap of two sets from both sides,
+|x and p| + |y and p| - |p| <= |x and y| <= |x and p| + |y| - |y and p|, and decide most pairs without looking at them; only
+undecided pairs are compared in full.  A list in which many sets are still unconnected after that is split: two of its
+sets that can link share a further n-gram among the next ones of either, so they meet again in a list of both n-grams.
+That goes on until lists are short, or until sets share as many n-grams as a link needs.  The result is exact: a pair is
 left out only if it can't link or if its two sets are connected anyway.
 
-A list isn't held by one task: pivots come from aggregations with partial results, pairs from joins that adaptive
-execution can split.  For result rows there are ``component_id`` (smallest ``doc_id`` reachable, itself included) and the
-set's size; copies aren't expanded into pairs.  A set is named by 64 bits; that two of n different sets have one name has a
-probability of about n * n / 2**65.
+A list isn't held by one task: entries know about how long their list is, those of long lists are dealt by salt, and
+pivots come from aggregations with partial results.  For result rows there are ``component_id`` (smallest ``doc_id``
+reachable, itself included) and the set's size; copies aren't expanded into pairs.  A set is named by 128 bits.
 
 Defined cases: null or empty text, or text of white space, has an empty set and links with nothing, so its component is
 itself; fewer words than ``words`` are one n-gram, the whole sequence; repeated rows give a row each; a null ``doc_id``
@@ -27,10 +34,12 @@ result; further columns are carried along, except those named as a result column
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +48,16 @@ from hushframe.llm.components import components
 from hushframe.llm.scratch import bounded_batches, cut, drop, keep_only, scope
 from hushframe.llm.words import U, grams, hashed_words, mix, trimmed
 
-BITS, DEPTH = 22, 2
-#: Cells of the sketch that tells n-grams of one document alone, at most: they are in no other set's list.
-MIN_BITS, MAX_BITS = 16, 27
-#: Rounds of comparisons with pivots at most; the pairs that are left are looked at as soon as they are as few as so
-#: many times the entries, or rounds end.
-ROUNDS, FEW = 4, 8
-_WHOLE = U(0xD6E8FEB86659FD93)
+#: The sketch that tells frequent n-grams.
+BITS = 20
+#: Entries of a list that go into one salt.
+SALTED = 512
+#: Rounds of comparisons with pivots before lists are split; lists with at most so many pairs of unconnected sets aren't,
+#: and what is left after so many splits is compared pair by pair.
+ROUNDS, FEW, SPLITS = 4, 4096, 3
+#: Rounds end when there are at most so many pairs of unconnected sets for each entry.
+LEFT = 64
+_WHOLE, _OTHER = U(0xD6E8FEB86659FD93), U(0xA24BAED4963EE407)
 
 
 def _sets(text: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,9 +72,14 @@ def _sets(text: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield lo + i, mix(grams(h[a:z], int(z - a)) ^ _WHOLE)
 
 
-def _name(s: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    return int(mix(np.array([np.sum(mix(s ^ _WHOLE), dtype=U) + U(len(s))], U)).view(np.int64)[0])
+def _name(s: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return np.array([np.sum(mix(s ^ _WHOLE), dtype=U) + U(len(s)), np.sum(mix(mix(s) ^ _OTHER), dtype=U)], U).tobytes()
+
+
+def _order(level: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The places of a set's n-grams in the order that all sets share."""
+    return np.lexsort((s, level))
 
 
 def _need(x: Column, y: Column, num: int, den: int) -> Column:
@@ -70,69 +87,84 @@ def _need(x: Column, y: Column, num: int, den: int) -> Column:
     return F.ceil((num * (x + y)) / F.lit(num + den) - F.lit(1e-9))
 
 
-def _named(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and sid (null without a word) for each row."""
+def _keys(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    held, size = [], 0
+    for _, s in _sets(batch.column(0), words):
+        held.append(s)
+        size += len(s)
+        if size > 1 << 18:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _buckets(docs: DataFrame, words: int, num: int, den: int, sketch) -> DataFrame:
+    """One row for each batch: its documents with their sets' names and sizes, and the rarest n-grams of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get(), 0
         for batch in batches:
-            n, sid = [0] * batch.num_rows, [None] * batch.num_rows
+            m = batch.num_rows
+            n, cent, kept, sid, tokens = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.int32), [None] * m, []
             for i, s in _sets(batch.column(1), words):
-                n[i], sid[i] = len(s), _name(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "n_shingles", "sid"])
-
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long")
-
-
-def _entries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The index: token (of a block of a list), sid, n (size), pos, cent (how frequent the set's n-grams are on the mean)."""
+                level = countmin.frequency(sketch.value, BITS, s)
+                n[i], cent[i], sid[i] = len(s), int(100 * level.mean()), _name(s)
+                kept[i] = len(s) - -(-num * len(s) // den) + 1
+                tokens.append(s[_order(level, s)[: kept[i]]])
+            array = lambda x: pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), x)
+            all_tokens = np.concatenate(tokens) if tokens else np.zeros(0, U)
+            made += 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(task.partitionId() << 32) + made]), array(batch.column(0)), array(pa.array(sid, pa.binary())), array(pa.array(n)), array(pa.array(cent)), array(pa.array(kept)),
+                    pa.array([all_tokens.tobytes()], pa.large_binary()).cast(pa.binary()), pa.array([len(all_tokens)], pa.int64()),
+                ],
+                ["bucket", "doc_id", "sid", "n", "cent", "kept", "keys", "n_keys"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, sid array<binary>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
+
+
+def _entries(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """The index: token (of a block of a list), sid, n (size), pos, cent (how frequent the set's n-grams are on the mean),
+    need (least overlap with a partner in the block), and heat (binary logarithm of the list's length)."""
     step = np.log(den / num) * (1 + 1e-9)
-
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        held, size = [], 0
-        for _, s in _sets(batch.column(0), words):
-            held.append(s)
-            size += len(s)
-            if size > 1 << 18:
-                yield np.concatenate(held)
-                held, size = [], 0
-        if held:
-            yield np.concatenate(held)
-
-    context = docs.sparkSession.sparkContext
-    sketch = context.broadcast(countmin.build(docs.select("text"), keys, BITS, DEPTH, True))
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(size // 4).bit_length()))
-    several = context.broadcast(countmin.build(docs.select("text"), keys, bits, DEPTH, False))
+    counted, bits = countmin.counted(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            k = np.array([len(r[0]) for r in rows])
-            each = [pa.array(np.repeat([r[j] for r in rows], k).astype(t)) for j, t in ((1, np.int64), (2, np.int32), (3, np.int32))]
-            pos = pa.array(np.concatenate([r[4] for r in rows]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), each[0], each[1], pos, each[2]], ["token", "sid", "n", "pos", "cent"])
-
-        rows, size = [], 0
         for batch in batches:
-            for _, s in _sets(batch.column(0), words):
-                level = countmin.estimate_level(sketch.value, BITS, s)
-                n, block = len(s), int(np.log(len(s)) / step)
-                k, fewer = n - -(-num * n // den) + 1, n - -(-2 * num * n // (num + den)) + 1
-                first, rest = s[np.lexsort((s, level))[:k]], (_name(s), n, int(100 * level.mean()))
-                pos = np.flatnonzero(countmin.estimate_twice(several.value, bits, first)).astype(np.int32)
-                own, few = first[pos], int(np.searchsorted(pos, fewer))
-                rows += [(mix(own ^ U(block * 2 + 1)), *rest, pos), (mix(own[:few] ^ U(block * 2 + 3)), *rest, pos[:few])]
-                size += len(own) + few
-                if size > 1 << 17:
-                    yield made(rows)
-                    rows, size = [], 0
-        if rows:
-            yield made(rows)
-
-    return docs.select("text").mapInArrow(trimmed(run), "token long, sid long, n int, pos int, cent int")
-
-
-def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``pairs`` (a, na, b, nb) with the overlap of the two sets and whether they link."""
+            for sid, n, cent, kept, tokens, levels in zip(*batch.columns):
+                token = np.frombuffer(tokens.as_buffer(), U)
+                level = countmin.levels_of(token, levels.as_py(), bits)
+                size, most, few_of = (x.values.to_numpy(zero_copy_only=False) for x in (n, cent, kept))
+                row = np.repeat(np.arange(len(few_of)), few_of)
+                pos = np.arange(len(token)) - np.repeat(np.cumsum(few_of) - few_of, few_of)
+                use = np.flatnonzero(level)
+                token, row, pos, level = token[use], row[use], pos[use].astype(np.int32), level[use]
+                m = size[row]
+                block = (np.log(np.maximum(m, 1)) / step).astype(np.int64)
+                least, more = -(-num * m // den), -(-2 * num * m // (num + den))
+                few = np.flatnonzero(pos < m - more + 1)
+                own = mix(token ^ (block * 2 + 1).astype(U))
+                nxt = mix(token[few] ^ (block[few] * 2 + 3).astype(U))
+                both = lambda x, x2=None: np.concatenate([x, x[few] if x2 is None else x2[few]])
+                names = sid.values.take(pa.array(both(row)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own, nxt]).view(np.int64)), names, pa.array(both(m)), pa.array(both(pos)),
+                        pa.array(both(most[row])), pa.array(both(least, more)), pa.array(both(level).astype(np.int32)),
+                    ],
+                    ["token", "sid", "n", "pos", "cent", "need", "heat"],
+                )
+
+    joined = buckets.where("n_keys > 0").join(counted, "bucket").select("sid", "n", "cent", "kept", "keys", "levels")
+    return joined.mapInArrow(trimmed(run), "token long, sid binary, n long, pos int, cent int, need long, heat int")
+
+
+def _members(docs: DataFrame, reps: DataFrame, sids: DataFrame, words: int, sketch) -> DataFrame:
+    """``sid`` and ``grams``, in the order that all sets share, of these sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,16 +172,19 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, nu
             for k in range(0, len(got), 500):
                 part = [s for _, s in got[k : k + 500]]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(part).view(np.int64)))], ["sid", "grams"])
+                ordered = np.concatenate([s[_order(countmin.frequency(sketch.value, BITS, s), s)] for s in part])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(ordered.view(np.int64)))], ["sid", "grams"])
 
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("doc_id")
-    sets = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(trimmed(run), "sid long, grams array<long>").dropDuplicates(["sid"])
-    sets = cut(sets)
+    wanted = cut(sids.distinct().join(reps, "sid").select("doc_id").distinct())
+    own = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(trimmed(run), "sid binary, grams array<long>")
+    return cut(own.join(sids.distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+
+
+def _overlaps(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, na, b, nb) with the overlap of the two sets and whether they link."""
     one, two = (sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    out = cut(pairs.join(one, "a").join(two, "b").select("a", "na", "b", "nb", both.alias("both")).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
-    drop(sets)
-    return out
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "na", "b", "nb", both.alias("both")).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
 
 
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -167,60 +202,104 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     return _with_sid(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__sid_of").eqNullSafe(F.col("__sid"))).drop("__id", "__sid", "__sid_of")
 
 
+def _salts(heat: Column) -> Column:
+    return F.greatest(F.lit(1), F.pow(F.lit(2.0), heat).cast("long") / F.lit(SALTED)).cast("int")
+
+
+def _everywhere(by_token: DataFrame, heat: str) -> DataFrame:
+    """A row of each list, for each of the list's parts."""
+    return by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col(heat)) - 1))).drop(heat)
+
+
+def _join(at: DataFrame, by_token: DataFrame, *further: str) -> DataFrame:
+    """Entries with what their lists have (from :func:`_everywhere`)."""
+    return at.withColumn("salt", F.pmod(F.xxhash64("sid"), _salts(F.col("heat"))).cast("int")).join(by_token, ["token", "salt", *further]).drop("salt")
+
+
 def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles and sid of each row, and component_id of each sid."""
-    named = cut(_named(docs, words))
+    context = docs.sparkSession.sparkContext
+    sketch = context.broadcast(countmin.frequencies(docs.select("text"), lambda batch: _keys(batch, words), BITS))
+    buckets = cut(_buckets(docs, words, num, den, sketch))
+    named = cut(buckets.select(F.inline(F.arrays_zip("doc_id", "n", "sid"))).select("doc_id", F.col("n").alias("n_shingles"), "sid"))
     reps = cut(named.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    entries = cut(_entries(docs, words, num, den))
-    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= _need(F.col("na"), F.col("nb"), num, den))
-
+    entries = _entries(buckets, num, den)
+    lists = cut(entries.groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent", "need", "heat"))).withColumn("at", F.lit(1)))
+    drop(buckets)
+    small = F.col("pos") < F.col("n") - _need(F.col("n"), F.col("n"), num, den) + F.col("at")  # can be the smaller set of a pair
+    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("at") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= _need(F.col("na"), F.col("nb"), num, den))
     order = [F.least("x", "y").alias("a"), F.when(F.col("x") <= F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") <= F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")]
-    shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
-    lists = cut(entries.join(shared, "token").groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent"))))
-    drop(entries)
-
-    def star(at: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``at`` with the pivot of each list, and the pairs with pivots that can link."""
-        pivot = at.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p"))
-        at = cut(at.drop("pivot", "np").join(pivot.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp")), "token"))
-        got = at.where("sid <> pivot").select(F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("pivot").alias("y"), F.col("np").alias("nb"), F.col("pp").alias("pb"))
-        return at.drop("pp"), got.where(fits).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny")).select(*order).distinct()
-
-    at, pairs = star(lists)
-    known = _overlaps(docs, reps, pairs, words, num, den)
+
+    def star(at: DataFrame) -> DataFrame:
+        """``at`` with the pivot of each list; lists of one set go."""
+        pivot = at.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p"), F.max("sid").alias("hi"), F.min("sid").alias("lo"), F.max("heat").alias("h")).where("lo < hi")
+        return _join(at.drop("pivot", "np", "pp"), _everywhere(pivot.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), "h"), "h"))
+
+    def with_pivots(at: DataFrame) -> DataFrame:
+        """Of each set, the pivot that most of its lists have and that can link, as a pair."""
+        got = at.where("sid <> pivot").select(F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("pivot").alias("y"), F.col("np").alias("nb"), F.col("pp").alias("pb"), "at").where(fits)
+        got = got.groupBy("x", "na", "y", "nb").agg(F.count("*").alias("c")).groupBy("x", F.col("na").alias("nx")).agg(F.max(F.struct("c", "y", "nb")).alias("m"))
+        return got.select("x", "nx", F.col("m.y").alias("y"), F.col("m.nb").alias("ny")).select(*order).distinct()
+
+    at = cut(star(lists))
+    drop(lists)
+    sets = _members(docs, reps, at.select("sid"), words, sketch)
+    known = _overlaps(sets, with_pivots(at), num, den)
     for k in range(ROUNDS):
         # What is left of the lists whose sets aren't all connected; comp is a set's component so far.
         links = known.where("linked").select("a", "b")
         label = components(links).withColumnRenamed("v", "sid")
-        at = at.drop("comp").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        at = cut(at.join(mixed, "token"))
-        n = at.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        n = n.select(F.sum("c").alias("n"), F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs")).first()
-        if not n["n"] or n["pairs"] <= FEW * n["n"] or k + 1 == ROUNDS:
+        at, now = at.drop("comp").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), at
+        mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("heat").alias("h")).where("lo < hi")
+        at = cut(_join(at, _everywhere(mixed.select("token", "h"), "h")))
+        drop(now)
+        n = at.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if(small).alias("s")).groupBy("token").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs"))
+        n = n.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+        if k + 1 == ROUNDS or not n["n"] or n["pairs"] <= LEFT * n["n"]:
             break
-        # Entries that aren't connected with their pivot get one of their own, the most central of them.
-        of = at.where("sid = pivot").select("token", F.col("comp").alias("of"))
-        apart, pairs = star(at.join(of, "token", "left").where("of is null or comp <> of").drop("of"))
-        more = _overlaps(docs, reps, pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, num, den)
+        # A list's entries that aren't connected with their pivot get a pivot of their own, the most central of them.
+        of = at.where("sid = pivot").select("token", "pivot", F.col("comp").alias("of"), F.col("heat").alias("h"))
+        apart = cut(star(_join(at, _everywhere(of, "h"), "pivot").where("comp <> of").drop("of")))
+        more = _overlaps(sets, with_pivots(apart).join(known.select("a", "b"), ["a", "b"], "left_anti"), num, den)
         known = cut(known.unionByName(more))
-        new = apart.select("token", "sid", F.col("pivot").alias("new"), F.col("np").alias("new_n"))
-        at = at.join(new, ["token", "sid"], "left").withColumns({"pivot": F.coalesce("new", "pivot"), "np": F.coalesce("new_n", "np")}).drop("new", "new_n")
-
+        new = apart.select("token", "sid", F.col("pivot").alias("new"), F.col("np").alias("new_n"), F.col("pp").alias("new_p"))
+        at = cut(at.join(new, ["token", "sid"], "left").withColumns({"pivot": F.coalesce("new", "pivot"), "np": F.coalesce("new_n", "np"), "pp": F.coalesce("new_p", "pp")}).drop("new", "new_n", "new_p"))
+
+    at = at.drop("cent", "pp")
+    done, ripe = [], []
+    for k in range(SPLITS + 1):
+        # Lists with few pairs are compared pair by pair, the others split by the next n-gram of their sets.
+        of_comp = at.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if(small).alias("s"), F.max("heat").alias("h"))
+        pairs_of = of_comp.groupBy("token").agg((F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs"), F.max("h").alias("h")).where("pairs > 0")
+        at = cut(_join(at, _everywhere(pairs_of, "h")))
+        long = at.where(F.col("pairs") > FEW).drop("pairs")
+        done.append(at.where((F.col("pairs") <= FEW) | F.lit(k == SPLITS)).drop("pairs"))
+        if k == SPLITS or long.isEmpty():
+            break
+        # Sets that share as many n-grams by now as their sizes need all link with the smallest of them.
+        full = long.where("at >= need")
+        least = full.groupBy("token").agg(F.min(F.struct("n", "sid")).alias("m"), F.max("heat").alias("h"))
+        linked = _join(full, _everywhere(least, "h")).where((F.col("sid") != F.col("m.sid")) & (F.col("at") >= _need(F.col("n"), F.col("m.n"), num, den)))
+        ripe.append(linked.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")))
+        last = F.least(F.col("n") - F.col("need") + F.col("at"), F.col("n") - 1).cast("int")
+        longer = long.join(sets, "sid").withColumn("last", last).where("pos < last").select("*", F.explode(F.sequence(F.col("pos") + 1, F.col("last"))).alias("next"))
+        at = longer.select(F.xxhash64("token", F.get("grams", F.col("next"))).alias("token"), "sid", "n", F.col("next").alias("pos"), "need", "heat", "comp", "pivot", "np", (F.col("at") + 1).alias("at"))
+
+    at = functools.reduce(DataFrame.unionByName, done)
     with_pivot = known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both").union(known.select("b", "a", "both"))
     at = at.join(with_pivot, ["sid", "pivot"], "left").withColumn("both", F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
     at = cut(at)
-    x = at.select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"))
+    x = at.where(small).select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"), "at")
     y = at.select("token", F.col("pivot").alias("py"), F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"))
-    pairs = x.join(y, "token").where((F.col("ca") < F.col("cb")) & fits)
+    pairs = x.join(y, "token").where((F.col("na") <= F.col("nb")) & (F.col("ca") != F.col("cb")) & fits)
     same = F.col("px") == F.col("py")
     at_most = F.coalesce(F.when(same, F.least(F.col("ba") + F.col("nb") - F.col("bb"), F.col("bb") + F.col("na") - F.col("ba"))), F.least("na", "nb"))
     at_least = F.coalesce(F.when(same, F.col("ba") + F.col("bb") - F.col("np")), F.lit(0))
     need = _need(F.col("na"), F.col("nb"), num, den)
     pairs = pairs.where(at_most >= need).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny"), (at_least >= need).alias("sure"))
     pairs = cut(pairs.select(*order, "sure").groupBy("a", "na", "b", "nb").agg(F.max("sure").alias("sure")).join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    last = _overlaps(docs, reps, pairs.where("not sure").drop("sure"), words, num, den)
-    label = components(links.union(pairs.where("sure").select("a", "b")).union(last.where("linked").select("a", "b")))
+    last = _overlaps(sets, pairs.where("not sure").drop("sure"), num, den)
+    label = components(functools.reduce(DataFrame.union, [links, pairs.where("sure").select("a", "b"), last.where("linked").select("a", "b"), *ripe]))
 
     of_set = reps.join(label.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = of_set.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -235,9 +314,9 @@ def _with_sid(docs: DataFrame, words: int) -> DataFrame:
             sid = [None] * batch.num_rows
             for i, s in _sets(batch.column(place), words):
                 sid[i] = _name(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, "__sid_of"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "__sid_of"])
 
-    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("long").alias("__sid_of")).schema)
+    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("binary").alias("__sid_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -256,7 +335,7 @@ WITH RECURSIVE w AS (
 ), e AS (
   SELECT doc_id, unnest(s) AS t FROM g
 ), f AS (
-  SELECT t FROM e GROUP BY t HAVING count(*) BETWEEN 2 AND 1000000
+  SELECT t FROM e GROUP BY t HAVING count(*) >= 2
 ), o AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
   FROM e a JOIN f USING (t) JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2

@@ -1,7 +1,9 @@
 """Words and word n-grams of whole Arrow text columns as 64-bit hashes, without a Python object per word.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D.  The hash of a word is a polynomial over a fixed table of random
-64-bit values, taken from one running sum over the bytes, so that a column costs a few passes of array arithmetic.
+A word is a run of bytes other than 0x20 and 0x09-0x0D.  Each word has a hash of its own: its length and its bytes, eight
+at a time, go through a non-linear mixing step each (all words of a column at once), and words of more than ``LONG`` bytes
+through BLAKE2b.  Runs of words are hashed by doubling, with a mixing step at each join.  Nothing is a sum over a ring, so
+words and runs built from two letters or two words don't cancel out.
 Texts longer than ``PIECE`` bytes go through in pieces cut at white space, so the working memory doesn't follow the
 length of a text (the result, eight bytes a word, does).
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +20,13 @@ import pyarrow as pa
 
 PIECE = 1 << 18
 U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240611))
-_TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
+LONG = 256
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xC2B2AE3D27D4EB4F | 1
+_LENGTH, _LEFT, _RUN = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,27 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as they have been asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            made = []
-            for b in (self.base, pow(self.base, -1, 1 << 64)):
-                p = np.full(size, U(b))
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-            self.up, self.down = made
-        return self.up, self.down
-
-
-_BYTES, _GRAMS = _Powers(_BASE), _Powers(_GRAM)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, one more than rows) and bytes of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,7 +50,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8)
 
 
-def _hashed(b: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each word of ``b`` by its first byte and its length."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    eight = np.ndarray((len(b),), "<u8", padded, strides=(1,))
+    h = mix(size.astype(U) * _LENGTH)
+    h = mix(h ^ (eight[start] & _MASKS[np.minimum(size, 8)]))
+    left = np.flatnonzero(size > 8)
+    for at in range(8, LONG, 8):
+        if not len(left):
+            return h
+        rest = np.minimum(size[left] - at, 8)
+        h[left] = mix(h[left] * _LENGTH ^ (eight[start[left] + at] & _MASKS[rest]))
+        left = left[size[left] > at + 8]
+    for i in left:
+        word = b[start[i] : start[i] + size[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return h
+
+
+def _hashed(b: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``b`` and the number of words before each of ``cuts``, at which words end."""
     if not len(b):
         return np.zeros(0, U), np.zeros(len(cuts), np.int64)
@@ -81,10 +82,7 @@ def _hashed(b: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _BYTES.to(len(b) + 1)
-    total = np.zeros(len(b) + 1, U)
-    np.cumsum(table[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U)), np.searchsorted(start, cuts)
+    return _word_hashes(_FOLDED[b] if fold else b, start, end - start), np.searchsorted(start, cuts)
 
 
 def hashed_words(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -92,13 +90,12 @@ def hashed_words(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, in
 
     ``fold`` lower-cases A-Z first.
     """
-    table = _FOLDED if fold else _TABLE
     at, data = buffers(column)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE, "right")) - 1)
         if at[hi] - at[lo] <= PIECE or hi > lo + 1:
-            h, offsets = _hashed(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], table)
+            h, offsets = _hashed(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], fold)
             yield lo, hi, h, offsets
         else:
             parts, a, end = [], int(at[lo]), int(at[hi])
@@ -107,7 +104,7 @@ def hashed_words(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, in
                 while z < end and not _SPACE[data[z]]:
                     step = np.flatnonzero(_SPACE[data[z : min(z + PIECE, end)]])
                     z = z + int(step[0]) if len(step) else min(z + PIECE, end)
-                parts.append(_hashed(data[a:z], np.array([0, z - a]), table)[0])
+                parts.append(_hashed(data[a:z], np.array([0, z - a]), fold)[0])
                 a = z
             h = np.concatenate(parts)
             yield lo, hi, h, np.array([0, len(h)])
@@ -119,10 +116,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    up, down = _GRAMS.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n] + U(k))
+    made, done, size, run = None, 0, 1, h  # runs of ``size`` words from each place on, and of the first ``done`` of the k
+    while True:
+        if k & size:
+            made = run[:n] if made is None else mix(made * _LEFT + (run[done : done + n] ^ _RUN))
+            done += size
+        if 2 * size > k:
+            return mix(made ^ U(k))
+        run = mix(run[:-size] * _LEFT + (run[size:] ^ _RUN))
+        size *= 2
 
 
 def trim() -> None:

@@ -57,17 +57,37 @@ def test_hashes_of_words_stand_for_words():
     assert (grams(x, 5)[0] == grams(x, 5)[5::5]).all() and len(set(grams(x, 5)[:5])) == 5
 
 
-def test_sketch_never_underestimates(spark):
-    counts = {i: 1 + i % 4 for i in range(5000)}
+def test_words_and_runs_of_two_letters_keep_apart():
+    """Sequences that cancel out in every polynomial modulo a power of two."""
+    for m in (5, 8, 10, 11, 12):
+        x, y = "a", "b"
+        for _ in range(m):
+            x, y = x + y, y + x
+        ((_, _, h, _),) = hashed_words(pa.array([f"{x} {y}"]))
+        assert h[0] != h[1]
+        ((_, _, h, _),) = hashed_words(pa.array([" ".join(x + y)]))
+        assert grams(h, 1 << m)[0] != grams(h, 1 << m)[1 << m]
+
+
+def test_sketches_never_underestimate(spark, monkeypatch):
+    counts = {i * 0x9E3779B97F4A7C15 % 2**63: 1 + i % 4 for i in range(5000)}
     df = spark.createDataFrame([(i,) for i, n in counts.items() for _ in range(n)], "k long").repartition(5)
     keys = lambda b: iter([b.column(0).to_numpy().astype(np.uint64)])
-    k = np.array([*counts], np.uint64)
-    rows = countmin.build(df, keys, 14, 2, False)
-    twice = countmin.estimate_twice(rows, 14, k)
-    assert twice[np.array([*counts.values()]) >= 2].all() and not twice.all()
-    level = countmin.estimate_level(countmin.build(df, keys, 14, 2, True), 14, k)
-    assert (level >= np.floor(4 * np.log2([*counts.values()]))).all()
-    assert not countmin.estimate_twice(countmin.build(df.limit(0), keys, 14, 2, False), 14, k).any()
+    k, n = np.array([*counts], np.uint64), np.array([*counts.values()])
+    level = countmin.frequency(countmin.frequencies(df, keys, 14), 14, k)
+    assert (level >= np.floor(4 * np.log2(n))).all() and (level[n == 1] == 0).any()
+    assert not countmin.frequency(countmin.frequencies(df.limit(0), keys, 14), 14, k).any()
+    monkeypatch.setattr(countmin, "RANGE", 700)
+    rows = [(b, np.sort(np.concatenate([k[n > b], k[n > b][:3]])).tobytes()) for b in range(4)]
+    got, bits = countmin.counted(spark.createDataFrame([(b, x, len(x) // 8) for b, x in rows] + [(9, b"", 0)], "bucket long, keys binary, n_keys long"))
+    levels = {r.bucket: r.levels for r in got.collect()}
+    assert set(levels) == {0, 1, 2, 3}
+    seen = {x: i for i, x in enumerate(k.tolist())}
+    for b, x in rows:
+        own = np.frombuffer(x, np.uint64)
+        level = countmin.levels_of(own, [r.asDict() for r in levels[b]], bits)
+        true = n[[seen[v] for v in own.tolist()]]
+        assert (level[true > 1] > 0).all() and (level[true == 1] > 0).sum() < 100 and (level[true == 4] >= 3).all()
 
 
 def test_components_of_a_long_chain(spark):
@@ -226,7 +246,9 @@ def _windows_removed(rows, window):
     return sorted(out, key=repr)
 
 
-def test_substring_dedup_by_brute_force(spark):
+@pytest.mark.parametrize("most", [op5_substring_dedup.MOST, 0])
+def test_substring_dedup_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(op5_substring_dedup, "MOST", most)
     r = np.random.default_rng(5)
     passage = [f"s{i}" for i in range(40)]
     rows = []
@@ -236,11 +258,22 @@ def test_substring_dedup_by_brute_force(spark):
         rows.append((int(d), " ".join([*words[: len(words) // 2], *passage[a:z], *words[len(words) // 2 :]])))
     rows += [(None, rows[3][1]), (3, rows[3][1]), (61, None), (62, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    for window in (2, 6, 11):
+    for window in (2, 6, 11) if most else (6,):
         got = op5_substring_dedup.remove_repeats(df, window).select("doc_id", "n_words", "n_removed", "kept_text").collect()
         assert sorted(map(tuple, got), key=repr) == _windows_removed(rows, window)
 
 
+def test_words_that_cancel_out_are_no_repeat(spark):
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    common = " ".join(f"c{i}" for i in range(49))
+    df = spark.createDataFrame([("1", f"{common} {x}"), ("2", f"{common} {y}"), ("3", f"{common} {x}")], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in op5_substring_dedup.remove_repeats(df).collect()} == {"1": 0, "2": 0, "3": 50}
+    df = spark.createDataFrame([("1", x), ("2", y), ("3", x)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in op10_ngram_jaccard.near_copies(df, 3, 9, 10).collect()} == {"1": "1", "2": "2", "3": "1"}
+
+
 def test_substring_dedup_on_odd_rows(spark, edge, nothing):
     got = sorted(map(tuple, op5_substring_dedup.remove_repeats(edge).select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr)
     assert got == _windows_removed([(r.doc_id, r.text) for r in edge.collect()], 50)
@@ -493,16 +526,29 @@ def test_jaccard_by_brute_force(spark, words, num, den):
 
 
 def test_jaccard_rounds_with_many_pivots(spark, monkeypatch):
-    """Copies of copies: links that no pivot of the first round has."""
-    monkeypatch.setattr(op10_ngram_jaccard, "FEW", 0)
+    """Copies of copies: links that no pivot of the first round has; lists are split to the end."""
+    for name, value in (("FEW", 0), ("LEFT", 0), ("SALTED", 4), ("SPLITS", 1)):
+        monkeypatch.setattr(op10_ngram_jaccard, name, value)
     rows, w = [], [f"w{i}" for i in range(60)]
-    for d in range(80):
+    for d in range(50):
         w[(d * 7) % 60] = f"z{d}"
         rows.append((d, " ".join(w)))
     got = op10_ngram_jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect()
     assert sorted(map(tuple, got), key=repr) == _classes(rows, 3, 4, 5)
 
 
+def test_jaccard_splits_long_lists(spark, monkeypatch):
+    """Sets that share much without linking, and few that link."""
+    for name, value in (("FEW", 10), ("ROUNDS", 1), ("SPLITS", 4)):
+        monkeypatch.setattr(op10_ngram_jaccard, name, value)
+    r, rows = np.random.default_rng(9), []
+    for d in range(150):
+        some = np.sort(r.choice(14, int(r.integers(8, 14)), replace=False))
+        rows.append((int(d), " ".join(f"b{i} c{i} d{i}" for i in some) + "".join(f" u{d}x{i}" for i in range(int(r.integers(0, 4))))))
+    got = op10_ngram_jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 1, 4, 5).collect()
+    assert sorted(map(tuple, got), key=repr) == _classes(rows, 1, 4, 5)
+
+
 def test_jaccard_on_odd_rows(edge, nothing):
     got = op10_ngram_jaccard.near_copies(edge).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == _classes([(r.doc_id, r.text) for r in edge.collect()], 5, 4, 5)
