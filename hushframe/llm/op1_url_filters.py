@@ -38,7 +38,7 @@ BLOCKED_PATHS = ["/ads/", "/adserver/", "/tracking/", "/popup/", "/wp-login.php"
 def host_rule(rule: str, verdict: str, order: int) -> tuple:
     """(rule, kind, verdict, weight, pattern, whole literal tokens) of a rule such as ``example.org/es/``."""
     host, path = rule[: rule.index("/")], rule[rule.index("/") :]
-    pattern = rf"^([^/]*\.)?{re.escape(host)}{re.escape(path)}"
+    pattern = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
     return rule, "host", verdict, len(rule), pattern, re.findall(_TOKEN, host) + re.findall(rf"{_TOKEN}(?=[^A-Za-z0-9])", path)
 
 
@@ -47,8 +47,9 @@ def word_rule(word: str, verdict: str, order: int) -> tuple:
 
 
 def path_rule(path: str, verdict: str, order: int) -> tuple:
+    """A part of the path; one that begins with a slash begins at one."""
     whole = re.findall(rf"(?<=[^A-Za-z0-9]){_TOKEN}(?=[^A-Za-z0-9])", path)
-    return path, "pattern", verdict, -order, f"^[^/]*/.*{re.escape(path[1:])}" if path.startswith("/") else re.escape(path), whole
+    return path, "pattern", verdict, -order, rf"(?s)^[^/]*(?:/.*)?{re.escape(path)}" if path.startswith("/") else rf"(?s)^[^/]*/.*{re.escape(path)}", whole
 
 
 def default_rules() -> list[tuple]:
@@ -100,7 +101,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple] | None = None) -> DataFr
     )
     best = best.select(F.col("url").alias("__url"), F.col("h.rule").alias("rule"), F.coalesce("h.verdict", "m.verdict").alias("verdict"), F.col("m.rule").alias("method_rule"))
     url = F.col("url")
-    judged = pages.join(best, pages["url"] == best["__url"], "left").drop("__url").withColumns({"host": host_of(url), "path": path_of(url)})
+    # Rows without url don't meet in one key of the join: each looks for a number of its own, which no url has.
+    key = F.coalesce(url, F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+    judged = pages.withColumn("__key", key).join(best, F.col("__key") == best["__url"], "left").drop("__url", "__key").withColumns({"host": host_of(url), "path": path_of(url)})
     return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "method_rule")
 
 

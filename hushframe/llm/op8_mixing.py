@@ -7,8 +7,10 @@ that the expected tokens are ``budget`` of all.  A document is taken if a hash o
 a run again, a lost executor or another partitioning take the same documents.
 
 Targets: each margin's present share to the power of ``flatten``, normalised, or shares given by value (values without
-a given share keep their flattened one, scaled to what is left).  Only the table of cells is raked; documents are
-summed up by cell where they are and get their cell's probability by a join.
+a given share keep their flattened one, scaled to what is left).  A share given to a value that no token has goes to the
+others in proportion.  A cell is never taken more than whole, so a target above what ``budget`` leaves room for is met as
+far as it can be.  Only the table of cells is raked, by aggregations joined back; documents are summed up by cell where
+they are and get their cell's probability by a join.
 
 The topic is a rule on the text (``TOPICS``, the first pattern that occurs, else ``prose``) unless there is a column
 ``topic``.  Tokens are words.
@@ -21,11 +23,11 @@ column, which it replaces.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hushframe.llm.scratch import cut
 
@@ -40,76 +42,92 @@ TOPICS = [
     ("tabular", " \\| [^\\n]* \\| "),
     ("numeric", "[0-9]{6,}"),
 ]
+#: What a text with the topic has in any case, in lower case: the pattern runs on those texts alone.
+_NEEDS = {"licence": ("licen", "all rights", "copyright"), "contact": ("@",), "tabular": (" | ",)}
 _RESULT = ["n_tokens", "topic", "weight", "probability", "draw", "taken"]
 
 
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        fits = text.rlike(pattern)
+        if own := _NEEDS.get(name):
+            of = F.lower(text) if name == "licence" else text
+            fits = functools.reduce(Column.__or__, (of.contains(x) for x in own)) & fits
+        out = F.when(fits, name).otherwise(out)
     return out
 
 
+def _with_sums(cells: DataFrame, margin: str, **sums: Column) -> DataFrame:
+    """``cells`` with sums over the cells of each value of a margin, from an aggregation joined back."""
+    by = cells.groupBy(F.col(margin).alias("__value")).agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+    return cells.join(by, cells[margin].eqNullSafe(by["__value"])).drop("__value")
+
+
+def _targets(cells: DataFrame, margin: str, given: dict[str, float], flatten: float, total: float) -> DataFrame:
+    """``cells`` and ``t_<margin>``, the tokens that the cell's value of the margin shall have."""
+    name = f"t_{margin}"
+    share = F.when(F.col("own") > 0, F.pow(F.col("own") / F.lit(total), F.lit(flatten))).otherwise(0.0)
+    by = cut(cells.groupBy(F.col(margin).alias("__value")).agg(F.sum("tokens").alias("own")).withColumn("share", share))
+    named = F.coalesce(F.col("__value").isin(*given), F.lit(False)) if given else F.lit(False)
+    there = {r[0] for r in by.where(named & (F.col("own") > 0)).select("__value").collect()}  # no more than are given
+    given = {v: w for v, w in given.items() if v in there}
+    rest = by.where(~named).agg(F.sum("share")).first()[0] or 0.0
+    left = max(0.0, 1.0 - sum(given.values())) if rest else 0.0
+    scale = 1 / (sum(given.values()) + left) if sum(given.values()) + left > 0 else 0.0
+    target = F.when(named, F.lit(0.0)).otherwise(F.col("share") / F.lit(rest or 1.0) * left)
+    for value, want in given.items():
+        target = F.when(F.col("__value") == value, F.lit(float(want))).otherwise(target)
+    by = by.select("__value", (target * scale * F.lit(total)).alias(name))
+    return cells.join(by, cells[margin].eqNullSafe(by["__value"])).drop("__value")
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, flatten: float = FLATTEN) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) and ``weight``, the raked tokens; their sum is that of the tokens."""
-    everything = Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("total", F.sum("tokens").over(everything))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
     for m in MARGINS:
-        given = dict((targets or {}).get(m, {}))
-        share = F.sum("tokens").over(Window.partitionBy(m)) / F.col("total")
-        cells = cells.withColumn(f"s_{m}", F.when(share > 0, F.pow(share, F.lit(flatten))).otherwise(0.0))
-        first = F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1
-        named = F.col(m).isin(*given) if given else F.lit(False)
-        cells = cells.withColumns({f"f_{m}": first, f"n_{m}": F.coalesce(named, F.lit(False))})
-        rest = F.sum(F.when(F.col(f"f_{m}") & ~F.col(f"n_{m}"), F.col(f"s_{m}")).otherwise(0.0)).over(everything)
-        left = max(0.0, 1.0 - sum(given.values()))
-        target = F.col(f"s_{m}") / F.col(f"r_{m}") * left
-        for value, want in given.items():
-            target = F.when(F.col(m) == value, F.lit(float(want))).otherwise(target)
-        cells = cells.withColumn(f"r_{m}", rest).withColumn(f"t_{m}", target * F.col("total")).drop(f"s_{m}", f"f_{m}", f"n_{m}", f"r_{m}")
+        cells = _targets(cells, m, dict((targets or {}).get(m, {})), flatten, total)
     cells = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for k in range(rounds):
+    for _ in range(rounds):
         for m in MARGINS:
-            own = F.sum("weight").over(Window.partitionBy(m))
-            cells = cells.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"t_{m}") / own).otherwise(F.col("weight")))
-        if k % 2:
-            cells = cut(cells)
-    return cells.drop("total", *(f"t_{m}" for m in MARGINS))
+            cells = _with_sums(cells, m, own=F.col("weight"))
+            cells = cells.withColumn("weight", F.when(F.col("own") > 0, F.col("weight") * F.col(f"t_{m}") / F.col("own")).otherwise(F.col("weight"))).drop("own")
+        cells = cut(cells)
+    return cells.drop(*(f"t_{m}" for m in MARGINS))
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """``probability`` of each cell, at most one, such that the expected tokens are ``budget`` of all."""
-    everything = Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    cells = cells.withColumns({"want": F.sum("tokens").over(everything) * budget, "full": F.lit(False)})
+    want = float(cells.agg(F.sum("tokens")).first()[0] or 0) * budget
+    ratio, full = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")), F.lit(False)
     for _ in range(STEPS):
-        rest = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(everything)
-        taken = F.sum(F.when(F.col("full"), F.col("tokens")).otherwise(0)).over(everything)
-        cells = cells.withColumn("factor", F.when(rest > 0, (F.col("want") - taken) / rest).otherwise(0.0))
-        cells = cells.withColumn("full", F.col("full") | F.coalesce(F.col("ratio") * F.col("factor") >= 1, F.lit(True)))
-    p = F.when(F.col("full"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio") * F.col("factor"))))
+        # Cells at a probability of one leave the rest of the budget to the others.
+        sums = cells.agg(F.sum(F.when(~full, F.col("weight")).otherwise(0.0)).alias("rest"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("taken")).first()
+        factor = (want - (sums["taken"] or 0)) / sums["rest"] if sums["rest"] else 0.0
+        full = full | F.coalesce(ratio * F.lit(factor) >= 1, F.lit(True))
+    p = F.when(full, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio * F.lit(factor))))
     return cells.select(*MARGINS, "weight", p.alias("probability"))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, flatten: float = FLATTEN, seed: str = SEED) -> DataFrame:
-    """All columns of ``docs`` (which needs ``doc_id``, ``text``, ``source``, ``lang``) and ``n_tokens``, ``topic``,
-    ``weight`` (the cell's raked tokens), ``probability``, ``draw`` (0 to 1, by id) and ``taken``."""
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, flatten: float = FLATTEN, seed: str = SEED, with_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (which needs ``doc_id``, ``text``, ``source``, ``lang``; without ``text`` if not
+    ``with_text``) and ``n_tokens``, ``topic``, ``weight`` (the cell's raked tokens), ``probability``, ``draw`` (0 to 1, by
+    id) and ``taken``.  Texts are looked at once; what is known of them is written, and read by both steps."""
     topic = F.col("topic") if "topic" in docs.columns else topic_of(F.coalesce("text", F.lit("")))
-    columns = [c for c in docs.columns if c not in _RESULT]
+    columns = [c for c in docs.columns if c not in _RESULT and (with_text or c != "text")]
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/" + seed))), 1, 8), 16, 10).cast("double") / 2.0**32
-    light = docs.select(*(c for c in columns if c != "text"), words.alias("n_tokens"), topic.alias("topic"), draw.alias("draw"))
-    of_cell = cut(light.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    known = cut(docs.select(*columns, words.alias("n_tokens"), topic.alias("topic"), draw.alias("draw")))
+    of_cell = cut(known.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     cells = cut(calibrate(rake(of_cell, targets, flatten=flatten), budget)).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "probability")
-    kept = docs.select(*columns, words.alias("n_tokens"), topic.alias("topic"), draw.alias("draw"))
-    on = [kept[m].eqNullSafe(cells[f"__{m}"]) for m in MARGINS]
-    joined = kept.join(cells, on[0] & on[1] & on[2], "left").drop(*(f"__{m}" for m in MARGINS))
+    on = [known[m].eqNullSafe(cells[f"__{m}"]) for m in MARGINS]
+    joined = known.join(cells, on[0] & on[1] & on[2], "left").drop(*(f"__{m}" for m in MARGINS))
     return joined.select(*columns, "n_tokens", "topic", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("taken"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 3).alias("weight"), F.round("probability", 9).alias("probability"), "taken")
+    return mix(docs, with_text=False).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 3).alias("weight"), F.round("probability", 9).alias("probability"), "taken")
 
 
 def _sql() -> str:

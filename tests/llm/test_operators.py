@@ -124,6 +124,36 @@ def test_url_index_finds_what_all_rules_find(spark):
         assert got[u] == (host and host[0], (host or own or (0, 0, "allow"))[2], own and own[0])
 
 
+def _plain_verdict(url):
+    """The pattern rules by string operations."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    cut = min([i for c in "/?#" if (i := rest.find(c)) >= 0], default=len(rest))
+    host, path = rest[:cut].translate({c: c + 32 for c in range(65, 91)}), re.split("[?#]", rest[cut:])[0]
+    words = re.sub("[^A-Za-z0-9]", " ", host).split(" ")
+    own = next((w for w in op1_url_filters.BLOCKED_WORDS if w in words), None) or next((p for p in op1_url_filters.BLOCKED_PATHS if p in path), None)
+    return host, path, own
+
+
+def test_url_patterns_by_string_operations(spark, duck):
+    r = np.random.default_rng(1)
+    parts = ["ads", "/ads/", "bads/", "/myads", "ads.html", "/", "//", "\n", "/a/\nb", "/tracking/", "x/tracking", "/popup", "wp-login.php", "/wp-login.php", "?/ads/", "#", "spam", ".", "-"]
+    hosts = ["h.net", "Poker.net", "xpoker.net", "a-spam.b.net", "spam", "", "b.info", "spam.xxx.io"]
+    urls = sorted({f"http://{r.choice(hosts)}{'/' if r.random() < 0.8 else ''}{''.join(r.choice(parts, r.integers(0, 5)))}" for _ in range(1500)})
+    rows = [(i, u) for i, u in enumerate([*urls, None, None, "ads", "/ads/"])]
+    got = {x.page_id: x for x in op1_url_filters.judge_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    c = duckdb.connect()
+    c.execute("create table pages (page_id int, url varchar)")
+    c.executemany("insert into pages values (?, ?)", rows)
+    sql = {x[0]: x[1:] for x in c.execute(op1_url_filters.ORACLE_SQL).fetchall()}
+    blocked = 0
+    for i, u in rows:
+        host, path, own = _plain_verdict(u)
+        blocked += own is not None
+        assert (got[i].host, got[i].path, got[i].rule, got[i].method_rule, got[i].verdict) == (host, path, None, own, "block" if own else "allow"), u
+        assert sql[i] == (host, path, None, "block" if own else "allow", own), u
+    assert 100 < blocked < len(rows) - 100
+
+
 # 2 and 3
 
 
@@ -430,13 +460,19 @@ def test_margins_are_met(spark):
     r = np.random.default_rng(8)
     cells = [(f"s{i}", f"l{j}", f"t{k}", int(r.integers(1, 9000))) for i in range(4) for j in range(3) for k in range(2)]
     targets = {"lang": {"l0": 0.5, "l1": 0.3}, "source": {"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}}
-    got = op8_mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets, rounds=40).collect()
+    got = op8_mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets, rounds=12).collect()
     total = sum(c[3] for c in cells)
     share = lambda m, v: sum(x.weight for x in got if x[m] == v) / total
     assert all(abs(share("source", s) - w) < 1e-3 for s, w in targets["source"].items())
     assert abs(share("lang", "l0") - 0.5) < 1e-3 and abs(share("lang", "l2") - 0.2) < 1e-3
 
 
+def test_targets_that_no_row_has_go_to_the_others(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "x", "t", 30), (None, "x", "t", 0)], "source string, lang string, topic string, tokens long")
+    got = {r.source: r.weight for r in op8_mixing.rake(cells, {"source": {"a": 0.3, "b": 0.3, "none": 0.4}}).collect()}
+    assert abs(got["a"] - 20) < 1e-9 and abs(got["b"] - 20) < 1e-9 and got[None] == 0
+
+
 def test_mixing_on_odd_rows(edge, nothing):
     rows = op8_mixing.mix(edge.drop("topic")).collect()
     assert len(rows) == edge.count() and all(0 <= r.probability <= 1 and r.taken is not None for r in rows)
