@@ -50,8 +50,9 @@ from hushframe.llm.words import U, grams, hashed_words, mix, trimmed
 
 #: The sketch that tells frequent n-grams.
 BITS = 20
-#: Entries of a list that go into one salt.
-SALTED = 512
+#: Entries of a list that go into one salt; rows of a table of sets or pairs that is broadcast, at most.
+SALTED, BROADCAST = 512, 500_000
+_ROWS = 1 << 20
 #: Rounds of comparisons with pivots before lists are split; lists with at most so many pairs of unconnected sets aren't,
 #: and what is left after so many splits is compared pair by pair.
 ROUNDS, FEW, SPLITS = 4, 4096, 3
@@ -100,48 +101,49 @@ def _keys(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
 
 
 def _buckets(docs: DataFrame, words: int, num: int, den: int, sketch) -> DataFrame:
-    """One row for each batch: its documents with their sets' names and sizes, and the rarest n-grams of each set."""
+    """One row for each batch: its documents with their sets' names, sizes and numbers (unique by row), and the rarest
+    n-grams of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get(), 0
-        for batch in batches:
-            m = batch.num_rows
-            n, cent, kept, sid, tokens = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.int32), [None] * m, []
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            m, bucket, made = batch.num_rows, task.partitionId() << 22 | made, made + 1
+            n, cent, kept, name, tokens = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.int32), [None] * m, []
             for i, s in _sets(batch.column(1), words):
                 level = countmin.frequency(sketch.value, BITS, s)
-                n[i], cent[i], sid[i] = len(s), int(100 * level.mean()), _name(s)
+                n[i], cent[i], name[i] = len(s), int(100 * level.mean()), _name(s)
                 kept[i] = len(s) - -(-num * len(s) // den) + 1
                 tokens.append(s[_order(level, s)[: kept[i]]])
             array = lambda x: pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), x)
-            all_tokens = np.concatenate(tokens) if tokens else np.zeros(0, U)
-            made += 1
+            all_tokens = np.concatenate([np.zeros(0, U), *tokens])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(task.partitionId() << 32) + made]), array(batch.column(0)), array(pa.array(sid, pa.binary())), array(pa.array(n)), array(pa.array(cent)), array(pa.array(kept)),
-                    pa.array([all_tokens.tobytes()], pa.large_binary()).cast(pa.binary()), pa.array([len(all_tokens)], pa.int64()),
+                    pa.array([bucket]), array(batch.column(0)), array(pa.array(name, pa.binary())), array(pa.array((bucket << 20) + np.arange(m))), array(pa.array(n)), array(pa.array(cent)),
+                    array(pa.array(kept)), pa.array([all_tokens.tobytes()], pa.binary()), pa.array([len(all_tokens)], pa.int64()),
                 ],
-                ["bucket", "doc_id", "sid", "n", "cent", "kept", "keys", "n_keys"],
+                ["bucket", "doc_id", "name", "sid", "n", "cent", "kept", "keys", "n_keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, sid array<binary>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, name array<binary>, sid array<long>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
 
 
-def _entries(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """The index: token (of a block of a list), sid, n (size), pos, cent (how frequent the set's n-grams are on the mean),
+def _entries(buckets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The index, of one row of each set (``reps``): token (of a block of a list), sid, n (size), pos, cent (how frequent the set's n-grams are on the mean),
     need (least overlap with a partner in the block), and heat (binary logarithm of the list's length)."""
     step = np.log(den / num) * (1 + 1e-9)
     counted, bits = countmin.counted(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, n, cent, kept, tokens, levels in zip(*batch.columns):
+            for sid, n, cent, kept, tokens, levels, of in zip(*batch.columns):
                 token = np.frombuffer(tokens.as_buffer(), U)
                 level = countmin.levels_of(token, levels.as_py(), bits)
                 size, most, few_of = (x.values.to_numpy(zero_copy_only=False) for x in (n, cent, kept))
                 row = np.repeat(np.arange(len(few_of)), few_of)
                 pos = np.arange(len(token)) - np.repeat(np.cumsum(few_of) - few_of, few_of)
-                use = np.flatnonzero(level)
+                mine = np.isin(sid.values.to_numpy(), of.values.to_numpy())
+                use = np.flatnonzero((level > 0) & mine[row])
                 token, row, pos, level = token[use], row[use], pos[use].astype(np.int32), level[use]
                 m = size[row]
                 block = (np.log(np.maximum(m, 1)) / step).astype(np.int64)
@@ -159,32 +161,51 @@ def _entries(buckets: DataFrame, num: int, den: int) -> DataFrame:
                     ["token", "sid", "n", "pos", "cent", "need", "heat"],
                 )
 
-    joined = buckets.where("n_keys > 0").join(counted, "bucket").select("sid", "n", "cent", "kept", "keys", "levels")
-    return joined.mapInArrow(trimmed(run), "token long, sid binary, n long, pos int, cent int, need long, heat int")
+    of = reps.groupBy(F.shiftright("sid", 20).alias("bucket")).agg(F.collect_list("sid").alias("of"))  # rows of one bucket
+    joined = buckets.where("n_keys > 0").join(counted, "bucket").join(of, "bucket").select("sid", "n", "cent", "kept", "keys", "levels", "of")
+    return joined.mapInArrow(trimmed(run), "token long, sid long, n long, pos int, cent int, need long, heat int")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _members(docs: DataFrame, reps: DataFrame, sids: DataFrame, words: int, sketch) -> DataFrame:
-    """``sid`` and ``grams``, in the order that all sets share, of these sets."""
+    """``sid`` and ``grams``, in the order that all sets share, of these sets; a set can come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            got = list(_sets(batch.column(0), words))
-            for k in range(0, len(got), 500):
-                part = [s for _, s in got[k : k + 500]]
-                at = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int32)
-                ordered = np.concatenate([s[_order(countmin.frequency(sketch.value, BITS, s), s)] for s in part])
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in part], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(ordered.view(np.int64)))], ["sid", "grams"])
+            name, sid = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            held, size = [], 0
+            for i, s in _sets(batch.column(0), words):
+                if sid[i] not in seen and _name(s) == name[i]:  # not another text of the same id
+                    seen.add(sid[i])
+                    held.append((sid[i], s[_order(countmin.frequency(sketch.value, BITS, s), s)]))
+                    size += len(s)
+                if size > 1 << 17:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
 
-    wanted = cut(sids.distinct().join(reps, "sid").select("doc_id").distinct())
-    own = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(trimmed(run), "sid binary, grams array<long>")
-    return cut(own.join(sids.distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+    def made(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        at = np.concatenate([[0], np.cumsum([len(s) for _, s in held])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([s for _, s in held]).view(np.int64)))], ["sid", "grams"])
+
+    wanted = cut(reps.join(sids.distinct(), "sid").select(F.col("doc_id").alias("of"), "name", "sid"))
+    return cut(docs.select("doc_id", "text").join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "name", "sid").mapInArrow(trimmed(run), "sid long, grams array<long>"))
 
 
 def _overlaps(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (a, na, b, nb) with the overlap of the two sets and whether they link."""
-    one, two = (sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab")
+    pairs = cut(pairs)
+    small = _small(pairs)
+    one, two = (small.join(sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")), s) for s in "ab")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "na", "b", "nb", both.alias("both")).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
+    got = one.select("a", "b", "na", "nb", "grams_a").join(two.select("a", "b", "grams_b"), ["a", "b"]).select("a", "na", "b", "nb", both.alias("both"))
+    return cut(got.dropDuplicates(["a", "b"]).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
 
 
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -195,11 +216,11 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
         named, of_set = _labelled(docs, words, num, den)
         of_set = cut(of_set)
         keep_only(made, named, of_set)
-    result = named.join(of_set, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    result = named.join(of_set, "name", "left").withColumn("component_id", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     if docs.columns == ["doc_id", "text"]:
         return result.select("doc_id", "n_shingles", "component_id")
-    per_id = result.groupBy(F.col("doc_id").alias("__id"), F.col("sid").alias("__sid")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
-    return _with_sid(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__sid_of").eqNullSafe(F.col("__sid"))).drop("__id", "__sid", "__sid_of")
+    per_id = result.groupBy(F.col("doc_id").alias("__id"), F.col("name").alias("__name")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
+    return _with_name(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__name_of").eqNullSafe(F.col("__name"))).drop("__id", "__name", "__name_of")
 
 
 def _salts(heat: Column) -> Column:
@@ -216,23 +237,32 @@ def _join(at: DataFrame, by_token: DataFrame, *further: str) -> DataFrame:
     return at.withColumn("salt", F.pmod(F.xxhash64("sid"), _salts(F.col("heat"))).cast("int")).join(by_token, ["token", "salt", *further]).drop("salt")
 
 
+def _several(at: DataFrame, small: Column) -> DataFrame:
+    """``token``, ``n`` (entries), ``pairs`` (of unconnected sets, one of which can be the smaller) and ``h`` of lists with any."""
+    of_comp = at.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if(small).alias("s"), F.max("heat").alias("h"))
+    of_list = of_comp.groupBy("token").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs"), F.max("h").alias("h"))
+    return of_list.where("pairs > 0")
+
+
 def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles and sid of each row, and component_id of each sid."""
+    """doc_id, n_shingles and name of each row, and component_id of each name."""
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(countmin.frequencies(docs.select("text"), lambda batch: _keys(batch, words), BITS))
     buckets = cut(_buckets(docs, words, num, den, sketch))
-    named = cut(buckets.select(F.inline(F.arrays_zip("doc_id", "n", "sid"))).select("doc_id", F.col("n").alias("n_shingles"), "sid"))
-    reps = cut(named.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    entries = _entries(buckets, num, den)
-    lists = cut(entries.groupBy("token", "sid").agg(*(F.first(c).alias(c) for c in ("n", "pos", "cent", "need", "heat"))).withColumn("at", F.lit(1)))
+    rows = buckets.select(F.inline(F.arrays_zip("doc_id", "n", "name", "sid"))).select("doc_id", F.col("n").alias("n_shingles"), "name", "sid")
+    named = cut(rows.drop("sid"))
+    # Of each set, the least id and a row that has it.
+    reps = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("r"))
+    reps = cut(reps.select("name", F.col("r.doc_id").alias("doc_id"), F.col("r.sid").alias("sid")))
+    lists = cut(_entries(buckets, reps, num, den).withColumn("at", F.lit(1)))
     drop(buckets)
     small = F.col("pos") < F.col("n") - _need(F.col("n"), F.col("n"), num, den) + F.col("at")  # can be the smaller set of a pair
     fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("at") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= _need(F.col("na"), F.col("nb"), num, den))
     order = [F.least("x", "y").alias("a"), F.when(F.col("x") <= F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") <= F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")]
 
     def star(at: DataFrame) -> DataFrame:
-        """``at`` with the pivot of each list; lists of one set go."""
-        pivot = at.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p"), F.max("sid").alias("hi"), F.min("sid").alias("lo"), F.max("heat").alias("h")).where("lo < hi")
+        """``at`` with the pivot of each list; lists without two sets or without one that can be a pair's smaller go."""
+        pivot = at.groupBy("token").agg(F.min(F.struct(-F.col("cent"), "n", "sid", "pos")).alias("p"), F.count("*").alias("c"), F.count_if(small).alias("s"), F.max("heat").alias("h")).where("c > 1 and s > 0")
         return _join(at.drop("pivot", "np", "pp"), _everywhere(pivot.select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp"), "h"), "h"))
 
     def with_pivots(at: DataFrame) -> DataFrame:
@@ -248,13 +278,11 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     for k in range(ROUNDS):
         # What is left of the lists whose sets aren't all connected; comp is a set's component so far.
         links = known.where("linked").select("a", "b")
-        label = components(links).withColumnRenamed("v", "sid")
+        label = _small(components(links)).withColumnRenamed("v", "sid")
         at, now = at.drop("comp").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), at
-        mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("heat").alias("h")).where("lo < hi")
-        at = cut(_join(at, _everywhere(mixed.select("token", "h"), "h")))
+        at = cut(_join(at, _everywhere(_several(at, small).select("token", "h"), "h")))
         drop(now)
-        n = at.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if(small).alias("s")).groupBy("token").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs"))
-        n = n.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+        n = _several(at, small).agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
         if k + 1 == ROUNDS or not n["n"] or n["pairs"] <= LEFT * n["n"]:
             break
         # A list's entries that aren't connected with their pivot get a pivot of their own, the most central of them.
@@ -269,8 +297,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     done, ripe = [], []
     for k in range(SPLITS + 1):
         # Lists with few pairs are compared pair by pair, the others split by the next n-gram of their sets.
-        of_comp = at.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if(small).alias("s"), F.max("heat").alias("h"))
-        pairs_of = of_comp.groupBy("token").agg((F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs"), F.max("h").alias("h")).where("pairs > 0")
+        pairs_of = _several(at, small).select("token", "pairs", "h")
         at = cut(_join(at, _everywhere(pairs_of, "h")))
         long = at.where(F.col("pairs") > FEW).drop("pairs")
         done.append(at.where((F.col("pairs") <= FEW) | F.lit(k == SPLITS)).drop("pairs"))
@@ -286,8 +313,8 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         at = longer.select(F.xxhash64("token", F.get("grams", F.col("next"))).alias("token"), "sid", "n", F.col("next").alias("pos"), "need", "heat", "comp", "pivot", "np", (F.col("at") + 1).alias("at"))
 
     at = functools.reduce(DataFrame.unionByName, done)
-    with_pivot = known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both").union(known.select("b", "a", "both"))
-    at = at.join(with_pivot, ["sid", "pivot"], "left").withColumn("both", F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
+    with_pivot = cut(known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both").union(known.select("b", "a", "both")))
+    at = at.join(_small(with_pivot), ["sid", "pivot"], "left").withColumn("both", F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
     at = cut(at)
     x = at.where(small).select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"), "at")
     y = at.select("token", F.col("pivot").alias("py"), F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"))
@@ -303,20 +330,20 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
 
     of_set = reps.join(label.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = of_set.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return named, of_set.join(least, "comp").select("sid", "component_id")
+    return named, of_set.join(least, "comp").select("name", "component_id")
 
 
-def _with_sid(docs: DataFrame, words: int) -> DataFrame:
+def _with_name(docs: DataFrame, words: int) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid = [None] * batch.num_rows
+            name = [None] * batch.num_rows
             for i, s in _sets(batch.column(place), words):
-                sid[i] = _name(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "__sid_of"])
+                name[i] = _name(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.binary())], [*batch.schema.names, "__name_of"])
 
-    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("binary").alias("__sid_of")).schema)
+    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("binary").alias("__name_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
