@@ -55,8 +55,8 @@ SALTED, BROADCAST = 512, 500_000
 _ROWS = 1 << 20
 #: Rounds of comparisons with pivots before lists are split; lists with at most so many pairs of unconnected sets aren't,
 #: and what is left after so many splits is compared pair by pair.
-ROUNDS, FEW, SPLITS = 4, 4096, 3
-#: Rounds end when there are at most so many pairs of unconnected sets for each entry.
+ROUNDS, FEW, SPLITS = 4, 1 << 22, 3
+#: Rounds end when there are at most so many pairs of unconnected sets for each entry, or nearly as many as before.
 LEFT = 64
 _WHOLE, _OTHER = U(0xD6E8FEB86659FD93), U(0xA24BAED4963EE407)
 
@@ -275,6 +275,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     drop(lists)
     sets = _members(docs, reps, at.select("sid"), words, sketch)
     known = _overlaps(sets, with_pivots(at), num, den)
+    before = float("inf")
     for k in range(ROUNDS):
         # What is left of the lists whose sets aren't all connected; comp is a set's component so far.
         links = known.where("linked").select("a", "b")
@@ -283,8 +284,9 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         at = cut(_join(at, _everywhere(_several(at, small).select("token", "h"), "h")))
         drop(now)
         n = _several(at, small).agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
-        if k + 1 == ROUNDS or not n["n"] or n["pairs"] <= LEFT * n["n"]:
+        if k + 1 == ROUNDS or not n["n"] or n["pairs"] <= LEFT * n["n"] or n["pairs"] > 0.9 * before:
             break
+        before = n["pairs"]
         # A list's entries that aren't connected with their pivot get a pivot of their own, the most central of them.
         of = at.where("sid = pivot").select("token", "pivot", F.col("comp").alias("of"), F.col("heat").alias("h"))
         apart = cut(star(_join(at, _everywhere(of, "h"), "pivot").where("comp <> of").drop("of")))
