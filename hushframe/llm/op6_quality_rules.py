@@ -1,11 +1,13 @@
 """Quality rules: base rules on counts of a text, then robust multivariate outliers, by DataFrame functions only.
 
 Method: minimum covariance determinant per language and source.  The statistics of a text become a vector of
-transformed values; concentration steps from the medians give, for each group, the mean and covariance of the
-three quarters of its rows that lie closest together; rows whose Mahalanobis distance exceeds ``CUTOFF`` are
-rejected.  Distances are scaled so that the group's median is that of the chi-square distribution.  Variances have a
-floor (``SCALES``), since most texts have no symbols or repeats at all and a single one isn't an outlier.  Groups under
-``LEAST`` rows take the estimate of their language, and languages under it that of all rows.
+transformed values.  For each group, concentration steps from several starts (medians with fixed scales, medians with
+the group's own spreads, mean and covariance of all its rows) give the mean and covariance of the three quarters of its
+rows that lie closest together; of these, the one with the smallest determinant is the group's estimate.  Rows whose
+Mahalanobis distance exceeds ``CUTOFF``, a quantile of the chi-square distribution, are rejected; distances are scaled so
+that the group's median is that distribution's.  Variances aren't taken below a floor (``SCALES``), since most texts have
+no symbols or repeats at all and a single one isn't an outlier.  Groups under ``LEAST`` rows take the estimate of their
+language, and languages under it that of all rows.
 
 Only rows that pass the base rules take part in the estimates.  Quantiles come from counts by bin, so a group that holds
 a third of all rows is summed up where its rows are; nothing but group estimates is joined back.
@@ -17,6 +19,8 @@ input other than ``text`` are carried along, except those named as a result colu
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +32,17 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 SHARE, STEPS, LEAST = 0.75, 3, 60
 #: Smallest standard deviation of each transformed value.
 SCALES = (0.7, 0.5, 1.0, 1.2, 1.5)
-#: Squared scaled distance above which a row is rejected, and the chi-square median for five values.
-CUTOFF, MEDIAN = 60.0, 4.351
+#: How much correlations are shrunk, so that statistics that go together have an inverse.
+SHRINK = 0.02
+#: Squared scaled distance above which a row is rejected, the chi-square quantile for five values at 1 - 10**-9, and the
+#: median for five values.
+CUTOFF, MEDIAN = 52.65, 4.351
 _P = len(SCALES)
 _X = [f"x{i}" for i in range(_P)]
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _GROUP = ["g_level", "g_lang", "g_source"]
+_START = [*_GROUP, "start"]
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -78,23 +86,25 @@ def _quantile(df: DataFrame, keys: list[str], value: Column, width: float, share
 
 
 def _join(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    named = other.select(*(F.col(c).alias(f"__{c}") if c in _GROUP else F.col(c) for c in other.columns))
-    on = [df[c].eqNullSafe(named[f"__{c}"]) for c in _GROUP]
-    return df.join(named, on[0] & on[1] & on[2], how).drop(*(f"__{c}" for c in _GROUP))
+    keys = [c for c in _START if c in df.columns and c in other.columns]
+    named = other.select(*(F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in other.columns))
+    return df.join(named, functools.reduce(Column.__and__, (df[c].eqNullSafe(named[f"__{c}"]) for c in keys)), how).drop(*(f"__{c}" for c in keys))
 
 
-def _distance() -> Column:
-    z = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(_X)]
-    return sum(((1 if i == j else 2) * F.col(f"p{i}{j}") * z[i] * z[j] for i, j in _PAIRS), F.lit(0.0))
+def _distance(x: list[Column], of=F.col) -> Column:
+    z = [v - of(f"m{i}") for i, v in enumerate(x)]
+    return sum(((1 if i == j else 2) * of(f"p{i}{j}") * z[i] * z[j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _estimate(near: DataFrame) -> DataFrame:
-    """By group: mean m, and p, the inverse of the covariance with the floor added (by sweeping)."""
-    a = near.groupBy(*_GROUP).agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)), *(F.covar_pop(_X[i], _X[j]).alias(f"p{i}{j}") for i, j in _PAIRS))
-    a = cut(a.withColumns({f"p{i}{i}": F.col(f"p{i}{i}") + SCALES[i] ** 2 for i in range(_P)}))
+def _estimate(near: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys: mean m, and p, the inverse of the covariance with floored variances (by sweeping), and the covariance's
+    log_det."""
+    a = near.groupBy(*keys).agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)), *(F.covar_pop(_X[i], _X[j]).alias(f"p{i}{j}") for i, j in _PAIRS))
+    regular = {f"p{i}{j}": F.greatest(f"p{i}{i}", F.lit(SCALES[i] ** 2)) if i == j else F.col(f"p{i}{j}") * (1 - SHRINK) for i, j in _PAIRS}
+    a = cut(a.withColumns(regular).withColumn("log_det", F.lit(0.0)))
     at = lambda i, j: F.col(f"p{min(i, j)}{max(i, j)}")
     for k in range(_P):
-        new = {}
+        new = {"log_det": F.col("log_det") + F.log(at(k, k))}
         for i, j in _PAIRS:
             if i == j == k:
                 new[f"p{i}{j}"] = -1 / at(k, k)
@@ -113,14 +123,25 @@ def robust_estimates(stats: DataFrame) -> DataFrame:
     rows = stats.where("not base_failed").select(*(v.alias(x) for v, x in zip(_vector(), _X)), level.alias("g"))
     rows = cut(rows.select(*_X, F.col("g.l").alias("g_level"), F.col("g.a").alias("g_lang"), F.col("g.s").alias("g_source")))
     long = rows.select(*_GROUP, F.posexplode(F.array(*_X)).alias("k", "x"))
-    medians = _quantile(long, [*_GROUP, "k"], F.col("x"), 0.01, 0.5).groupBy(*_GROUP).agg(*(F.max(F.when(F.col("k") == i, F.col("q"))).alias(f"m{i}") for i in range(_P)))
-    of = cut(medians.withColumns({f"p{i}{j}": F.lit(1 / SCALES[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}))
+    wide = lambda df, name: df.groupBy(*_GROUP).agg(*(F.max(F.when(F.col("k") == i, F.col("q"))).alias(f"{name}{i}") for i in range(_P)))
+    medians = cut(wide(_quantile(long, [*_GROUP, "k"], F.col("x"), 0.01, 0.5), "m"))
+    middle = F.array(*(F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(_X)))
+    spreads = wide(_quantile(_join(rows, medians).select(*_GROUP, F.posexplode(middle).alias("k", "x")), [*_GROUP, "k"], F.col("x"), 0.01, 0.5), "d")
+    params = [*(f"m{i}" for i in range(_P)), *(f"p{i}{j}" for i, j in _PAIRS)]
+    fixed = medians.withColumns({f"p{i}{j}": F.lit(1 / SCALES[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
+    # The median absolute deviation of a normal distribution is 0.6745 of its standard deviation.
+    own = _join(medians, spreads).withColumns({f"p{i}{j}": F.pow(F.greatest(F.col(f"d{i}") / 0.6745, F.lit(SCALES[i])), F.lit(-2.0)) if i == j else F.lit(0.0) for i, j in _PAIRS})
+    every = _estimate(rows, _GROUP)
+    starts = [df.select(*_GROUP, F.lit(k).alias("start"), *params) for k, df in enumerate((fixed, own, every))]
+    of = cut(functools.reduce(DataFrame.unionByName, starts))
     # Squared distances are binned by their logarithm.
-    binned = F.log(_distance() + 1e-6)
+    binned = F.log(_distance([F.col(x) for x in _X]) + 1e-6)
     for _ in range(STEPS):
         d = _join(rows, of)
-        limit = _quantile(d, _GROUP, binned, 0.02, SHARE)
-        of = _estimate(_join(d, limit).where(binned <= F.col("q")).select(*_X, *_GROUP))
+        limit = _quantile(d, _START, binned, 0.02, SHARE)
+        of = _estimate(_join(d, limit).where(binned <= F.col("q")).select(*_X, *_START), _START)
+    best = of.groupBy(*_GROUP).agg(F.min(F.struct("log_det", "start", *params)).alias("b"))
+    of = cut(best.select(*_GROUP, "b.*").drop("start", "log_det"))
     middle = _quantile(_join(rows, of), _GROUP, binned, 0.02, 0.5).select(*_GROUP, (MEDIAN / F.exp("q")).alias("factor"))
     n = rows.groupBy(*_GROUP).agg(F.count("*").alias("n"))
     return cut(_join(_join(of, middle), n))
@@ -131,17 +152,22 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     ``distance`` (scaled and squared) and ``kept``."""
     stats = cut(base_statistics(docs))
     of = robust_estimates(stats)
-    params = ["n", "factor", *(f"m{i}" for i in range(_P)), *(f"p{i}{j}" for i, j in _PAIRS)]
-    groups = stats.select("lang", "source").distinct()
-    for k in range(3):
-        own = of.where((F.col("g_level") == k) & ((F.col("n") >= LEAST) if k else F.lit(True)))
-        own = own.select(F.col("g_lang").alias("__a"), F.col("g_source").alias("__s"), F.struct(*params).alias(f"of{k}"))
-        on = F.lit(True) if k == 0 else groups["lang"].eqNullSafe(own["__a"])
-        groups = groups.join(own, on & (groups["source"].eqNullSafe(own["__s"]) if k > 1 else F.lit(True)), "left").drop("__a", "__s")
-    groups = cut(groups.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.coalesce("of2", "of1", "of0").alias("of")))
+    params = F.struct("n", "factor", *(f"m{i}" for i in range(_P)), *(f"p{i}{j}" for i, j in _PAIRS))
+    own = lambda k: of.where((F.col("g_level") == k) & (F.col("n") >= LEAST)).select(F.col("g_lang").alias("__a"), F.col("g_source").alias("__s"), params.alias(f"of{k}"))
+    groups = stats.select(F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
+    for k in (1, 2):
+        by = own(k)
+        on = groups["__lang"].eqNullSafe(by["__a"])
+        groups = groups.join(by, on & groups["__source"].eqNullSafe(by["__s"]) if k == 2 else on, "left").drop("__a", "__s")
+    # The estimate of all rows is one row, so its numbers go into the expression.
+    if every := of.where("g_level = 0").select(params.alias("p")).first():
+        kinds = of.select(params.alias("p")).schema["p"].dataType
+        of0 = F.struct(*(F.lit(every.p[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields))
+    else:
+        of0 = F.lit(None)
+    groups = cut(groups.select("__lang", "__source", F.coalesce("of2", "of1", of0).alias("__of")))
     both = stats.join(groups, stats["lang"].eqNullSafe(groups["__lang"]) & stats["source"].eqNullSafe(groups["__source"]), "left")
-    both = both.select(*stats.columns, *(v.alias(x) for v, x in zip(_vector(), _X)), "of.*")
-    distance = _distance() * F.col("factor")
+    distance = _distance(_vector(), lambda name: F.col("__of")[name]) * F.col("__of")["factor"]
     kept = ~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))
     return both.select(*stats.columns, distance.alias("distance"), kept.alias("kept"))
 
