@@ -21,12 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.words import U, mix, trimmed
+from hushframe.llm.words import U, mix, trim, trimmed
 
 DEPTH = 2
 BLOCK_BITS = 18
 #: Keys of a range on the mean; cells a key, as a binary logarithm.
-RANGE, SPARE = 1 << 20, 10
+RANGE, SPARE = 1 << 18, 10
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909)]
 
 
@@ -109,6 +109,7 @@ def repeated(buckets: DataFrame) -> tuple[DataFrame, int]:
 
 def _merged(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The cells of each bucket of a range, all of them, and the merged count of each."""
+    trim()  # of the range before
     cells = [unpacked(x) for x in part.column("cells").to_pylist()]
     n = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in part.column("counts").to_pylist()])
     every = np.concatenate(cells)

@@ -3,15 +3,17 @@
 Method: the two classes, toxic and ordinary, have Kneser-Ney models of the bytes of a word given up to five bytes before
 (from the word's start on).  Only the highest order has counts by class; rare expressions are smoothed through
 continuation counts of the lower orders, which the classes share.  So what neither class has seen often is judged alike by
-both, and the log-likelihood ratio of a word comes from what was seen.  A text is scored by its ratios per byte over the
-whole text, over its most toxic windows of ``SPAN`` words and over its most toxic words, and by how many words
-speak for the toxic class; a logistic function turns them into a probability.  It is fitted to the labelled rows' values
-under models that have counted all rows but those of the row's own third.
+both, and the log-likelihood ratio of a word comes from what was seen.  A text is scored by its length-normalised
+log-likelihood ratios alone: per byte over the whole text, and, since a few toxic words in a long text hardly move the
+ratio of the whole, per word over its most toxic runs of each of ``SPANS`` words and over its ``TOP`` most toxic words
+wherever they stand, and the shares of its words whose ratio is above each of ``SPEAKS``; a logistic function turns
+these into a probability.  It is fitted to the labelled rows' values under models that have counted all rows but those of the row's
+own third.
 
 Bounds: the models count every labelled row for learning and every byte sequence, those seen once included.  Up to
 ``MAX_GRAMS`` sequences the models are made on the driver and broadcast.  Beyond that they are made and kept as shuffled
 tables that grow with the input, and the documents, dealt into buckets of about ``BUCKET`` bytes of text, get the entries
-that a bucket's texts need by a join; the scores are the same.  Only the logistic function, of ten parameters, is fitted
+that a bucket's texts need by a join; the scores are the same.  Only the logistic function, of eleven parameters, is fitted
 to at most ``ROWS`` rows.  Counting and scoring run on the executors over whole texts; nothing else of a row than its text
 enters a score.
 
@@ -37,10 +39,10 @@ from hushframe.llm.scratch import bounded_batches, cut, drop
 from hushframe.llm.words import U, buffers, trimmed
 
 ROWS, MAX_GRAMS, ORDER, PARTS = 60_000, 1_000_000, 6, 3
-DISCOUNT, SPAN, SPEAKS = 0.75, 24, 3.0
+DISCOUNT, SPANS, TOP, SPEAKS = 0.75, (1, 2, 4, 8, 24), (3, 8), (1.5, 3.0)
 THRESHOLD = 0.7
 PIECE, BUCKET = 1 << 20, 8 << 20
-_FEATURES = 9
+_FEATURES = 1 + len(SPANS) + len(TOP) + len(SPEAKS)
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58] = np.arange(48, 58)
 _PLAIN[97:123] = np.arange(97, 123)
@@ -289,29 +291,28 @@ def _ratios(m: Model, g: np.ndarray) -> np.ndarray:
 class _Seen:
     """What the features of one text are made from, piece by piece."""
 
-    __slots__ = ("bytes", "hints", "span_best", "speaks", "sum", "top", "words")
+    __slots__ = ("best", "bytes", "speaks", "sum", "top", "words")
 
     def __init__(self) -> None:
-        self.bytes = self.words = self.speaks = self.hints = 0
-        self.sum, self.span_best, self.top = 0.0, -9.0, np.zeros(0)
+        self.bytes = self.words = 0
+        self.sum, self.best, self.speaks, self.top = 0.0, [-9.0] * len(SPANS), [0] * len(SPEAKS), np.zeros(0)
 
     def add(self, word: np.ndarray, size: int) -> None:
         self.bytes, self.words, self.sum = self.bytes + size, self.words + len(word), self.sum + float(word.sum())
-        self.speaks += int((word > SPEAKS).sum())
-        self.hints += int((word > SPEAKS / 2).sum())
-        self.top = np.sort(np.concatenate([self.top, np.partition(word, -8)[-8:] if len(word) > 8 else word]))[-8:]
-        total = np.concatenate([[0.0], np.cumsum(np.clip(word, -4, 8))])
-        k = min(SPAN, len(word))
-        self.span_best = max(self.span_best, float((total[k:] - total[:-k]).max()) / SPAN if k else -9.0)
+        word = np.clip(word, -4, 12)
+        total = np.concatenate([[0.0], np.cumsum(word)])
+        for i, span in enumerate(SPANS):
+            k = min(span, len(word))  # a shorter text is as a run with nothing around it
+            self.best[i] = max(self.best[i], float((total[k:] - total[:-k]).max()) / span)
+        most = max(TOP)
+        self.top = np.sort(np.concatenate([self.top, np.partition(word, -most)[-most:] if len(word) > most else word]))[-most:]
+        self.speaks = [n + int((word > least).sum()) for n, least in zip(self.speaks, SPEAKS)]
 
     def features(self) -> list[float]:
-        n, top = max(1, self.words), self.top[::-1]
         if not self.words:
             return [0.0] * _FEATURES
-        return [
-            float(np.clip(self.sum / max(1, self.bytes), -3, 3)), min(12.0, top[0]), float(np.minimum(12, top[:2]).mean()), float(np.minimum(12, top[:4]).mean()),
-            self.span_best, float(np.log1p(self.speaks)), float(np.sqrt(self.speaks / n)), float(np.log1p(self.words)), float(np.sqrt(self.hints / n)),
-        ]
+        shares = [float(np.sqrt(n / self.words)) for n in self.speaks]
+        return [float(np.clip(self.sum / self.bytes, -3, 3)), *self.best, *(float(self.top[-k:].sum()) / k for k in TOP), *shares]
 
 
 def features(m: Model, column: pa.Array) -> np.ndarray:

@@ -21,10 +21,12 @@ _SCOPES = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only if the session names none."""
+    """The shared folder of the session; a temporary one only if the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="hushframe-"))
     return _OWN[0]
@@ -59,15 +61,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more, and let Spark's cleaner, which waits for the driver's
-    garbage collection, remove the shuffle files of finished steps."""
+    """Delete tables made by :func:`cut` that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_hushframe_path", None)
         if path in _WRITTEN:
             _WRITTEN.remove(path)
             _delete(df.sparkSession, path)
-    for df in tables[:1]:
-        df.sparkSession._jvm.System.gc()
 
 
 def keep_only(made: list[DataFrame], *kept: DataFrame) -> None:
@@ -86,6 +85,6 @@ def release(spark: SparkSession) -> int:
 def bounded_batches(spark: SparkSession) -> None:
     """Have Arrow batches of few megabytes unless the session has its own bound: rows with whole texts are large, and a
     batch exists several times, in the JVM's buffers and in the Python worker."""
-    for key, default, own in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")):
+    for key, default, own in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")):
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, own)
