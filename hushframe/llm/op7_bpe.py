@@ -36,7 +36,7 @@ from hushframe.llm.scratch import bounded_batches
 from hushframe.llm.words import trim
 
 #: Pieces remembered with their tokens at most, and bytes of the longest.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 60_000, 48
 SLICE, _TAIL = 1 << 16, 8
 _SIMPLE = 24
 #: Characters that ``regex`` takes for letters or numbers and the library, with an older Unicode, does not.
