@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,21 +48,43 @@ def valid(d: Column, text: Column) -> Column:
     return d["approved"] & (d["start"] >= 0) & (d["end"] > d["start"]) & (d["end"] <= F.length(text)) & d["placeholder"].isNotNull()
 
 
-def resolved(at: Column) -> Column:
-    """Spans that don't overlap: longer ones first among those that meet, earlier ones first among equals."""
-    order = F.array_sort(at, lambda a, b: F.when(a["end"] - a["start"] != b["end"] - b["start"], (b["end"] - b["start"]) - (a["end"] - a["start"])).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
-    free = lambda kept, d: ~F.exists(kept, lambda k: (k["start"] < d["end"]) & (d["start"] < k["end"]))
-    return F.aggregate(order, F.slice(at, 1, 0), lambda kept, d: F.when(free(kept, d), F.concat(kept, F.array(d))).otherwise(kept))
+def _safe(text: Column, at: Column) -> Column:
+    """``text`` with each run of spans that meet replaced as a whole, by the placeholder of its longest (then first) span."""
+    order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
+
+    def reach_of(s: Column) -> Column:
+        """How far the spans before each one reach, and all of them; a span that begins there or later begins a run."""
+        return F.aggregate(F.transform(s, lambda d: d["end"]), F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+
+    def heads_of(s: Column, reach: Column) -> Column:
+        both = F.transform(s, lambda d, i: F.struct(d["start"].alias("start"), i.alias("i"), F.get(reach, i).alias("reach")))
+        return F.filter(both, lambda x: x["start"] >= x["reach"])
+
+    def joined(s: Column, reach: Column, heads: Column) -> Column:
+        def piece(h: Column, j: Column) -> Column:
+            size = F.coalesce(F.get(heads, j + 1)["i"], F.size(s)) - h["i"]
+            longest = F.array_max(F.transform(F.slice(s, h["i"] + 1, size), lambda d: F.struct((d["end"] - d["start"]).alias("n"), (-d["start"]).alias("s"), (-d["ord"]).alias("o"), d["placeholder"].alias("p"))))
+            return F.concat(F.substring(text, h["reach"] + 1, h["start"] - h["reach"]), longest["p"])
+
+        return F.concat(F.array_join(F.transform(heads, piece), ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    return _let(order, lambda s: _let(reach_of(s), lambda reach: _let(heads_of(s, reach), lambda heads: joined(s, reach, heads))))
+
+
+def _let(value: Column, over: Callable[[Column], Column]) -> Column:
+    """``over`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), over), 1)
 
 
 def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     """``text`` with approved spans replaced.
 
     ``compat`` replaces from the last start to the first at the places of the original text, so overlapping spans damage
-    what lies between, as the application does; ``safe`` drops overlapping spans first.
+    what lies between, as the application does; ``safe`` replaces spans that overlap as one, so nothing of any is left.
     """
     at = F.filter(detections, lambda d: valid(d, text))
-    at = resolved(at) if mode == "safe" else at
+    if mode == "safe":
+        return _safe(text, at)
     order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], b["start"] - a["start"]).otherwise(a["ord"] - b["ord"]))
     return F.aggregate(order, text, lambda acc, d: F.concat(F.substring(acc, F.lit(1), d["start"]), d["placeholder"], F.substring(acc, d["end"] + 1, F.length(acc))))
 

@@ -14,7 +14,7 @@ from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report
 from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
-from hushframe.plans.config import Company, Config, Custom, Named
+from hushframe.plans.config import CATEGORIES, Company, Config, Custom, Detection, Named
 from hushframe.plans.profiles import seed
 from hushframe.sources.documents import combined_ocr, html_text
 from hushframe.sources.sinks import export_name, pdf_pages
@@ -324,13 +324,71 @@ def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIG = Config(company=Company("Example", ["Example Ltd"], ["example.com"]), custom=Custom(["license", "copyright"], [Named("the", ["and"])], [Named("of")]))
 
 
-@query()
+_WORDS_ONLY = "regexp_replace(span_text, '[^0-9A-Za-z]', '', 'g')"
+#: By name of a check, the same in SQL over span_text and its digits d.
+_CHECKS = {
+    "": "true",
+    "email": "NOT contains(span_text, '..') AND NOT starts_with(span_text, '.') AND NOT ends_with(span_text, '.') AND len(string_split(span_text, '@')[1]) <= 64 AND len(string_split(span_text, '@')[2]) <= 253 AND regexp_full_match(string_split(span_text, '@')[2], '[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')",
+    "luhn": LUHN_SQL,
+    "ipv4": "regexp_full_match(span_text, '(?:(?:0|[1-9][0-9]{0,2})\\.){3}(?:0|[1-9][0-9]{0,2})')",
+    "iban_shape": f"len({_WORDS_ONLY}) BETWEEN 15 AND 34 AND regexp_full_match({_WORDS_ONLY}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+')",
+}
+
+
+def _rule_table_sql(config: Config, of: str) -> str:
+    """All rules and terms that a configuration turns on, over ``of`` (doc_id, text): the first rule that has a place keeps
+    it, and values are numbered by their first place in order of rules, within document and template."""
+    on, s = config.detection.categories, config.detection
+    word = lambda w: rf"\b{re.escape(w)}\b"
+    steps = [(sub, t, c >= 90, _CHECKS[check], p, f, None) for _, cat, sub, c, t, check, f, p in V.RULES if cat in on and c >= s.min_confidence]
+    steps += [("company_name", "<COMPANY_NAME>", True, "true", word(w), "i", None) for w in [config.company.name, *config.company.aliases] if "company" in on]
+    for d in map(re.escape, config.company.domains):
+        steps.append(("internal_url", "<INTERNAL_URL_{n}>", True, "true", rf"https?://[^\s]*{d}[^\s]*|\b[a-zA-Z0-9.-]*\.{d}\b", "i", None))
+    steps += [("keyword", "<KEYWORD_{n}>", True, "true", word(w), "i", None) for w in config.custom.keywords]
+    for sub, template, group in (("client", "<CLIENT_{n}>", config.custom.clients), ("project", "<PROJECT_{n}>", config.custom.projects)):
+        steps += [(sub, template, True, "true", word(w), "i", e.name) for e in group for w in [e.name, *e.aliases]]
+    one = lambda r, sub, t, yes, check, p, f, name: f"""SELECT doc_id, {r} AS r, '{sub}' AS subcategory, '{t}' AS template, {str(yes and s.auto_mask).lower()} AS approved, start, span_text, {f"'{name}'" if name else "span_text"} AS value
+        FROM (SELECT *, regexp_replace(span_text, '[^0-9]', '', 'g') AS d FROM ({_span_sql(of, "doc_id", "text", p, f)})) WHERE {check}"""
+    every = " UNION ALL ".join(one(r, *step) for r, step in enumerate(steps))
+    return f"""WITH f AS MATERIALIZED (SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY doc_id, start, len(span_text) ORDER BY r) = 1
+), e AS (SELECT *, lower(trim(value)) AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY r, start) AS emission FROM f
+), m AS (SELECT *, min(emission) OVER (PARTITION BY doc_id, replace(template, '_{{n}}', ''), norm) AS place FROM e
+), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, replace(template, '_{{n}}', '') ORDER BY place) AS n FROM m)
+SELECT doc_id, subcategory, start, CAST(start + len(span_text) AS INTEGER) AS "end", replace(template, '{{n}}', CAST(n AS VARCHAR)) AS placeholder, approved FROM n"""
+
+
+@query(_rule_table_sql(CONFIG, "(SELECT doc_id, text FROM documents WHERE len(text) >= 3)"))
 def detect_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine B over every document, with a configuration."""
     found = detect_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), CONFIG)
     return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
 
+_HEX, _KEY = "md5(cast(c_custkey as string))", "lpad(cast(c_custkey as string), 9, '0')"
+#: A note for each customer, with something for every rule to find, right and wrong; the same in both dialects.
+NOTE = "concat_ws('\n', " + ", ".join([
+    f"concat('mail user', {_KEY}, '@mail', {_KEY}, '.example.com or a..b@x.org.')", f"concat('call +966 55 123 ', substr({_KEY}, 6, 4), ' or 05', substr({_KEY}, 2, 8))", f"concat('id 1', {_KEY}, ' and 2', {_KEY})",
+    f"concat('ssn 123-45-', substr({_KEY}, 6, 4))", f"concat('iban GB82WEST', {_KEY}, '12345 SA44', {_KEY}, '12345678901 XX12AB')", f"concat('card 4111 1111 1111 ', substr({_KEY}, 6, 4), ' and 5500-0000-0000-0004')",
+    f"concat('passport AB', substr({_KEY}, 3, 7))", f"concat('host 10.', cast(c_custkey % 300 as string), '.3.4 or 10.01.2.3')",
+    "concat('v6 ', " + ", ':', ".join(f"substr({_HEX}, {i * 4 + 1}, 4)" for i in range(8)) + ")", f"concat('see shop', {_KEY}, '.example.io and www.a.b.example.com')", f"concat('get https://www.example.org/', {_HEX}, '?a=1')",
+    f"concat('api_key = ', {_HEX})", f"concat('AKIA', upper(substr({_HEX}, 1, 16)))", f"concat('http://bob:', {_HEX}, '@db.example.net/x')", "'-----BEGIN RSA PRIVATE KEY-----'",
+    f"concat('paid USD 1,', substr({_KEY}, 7, 3), '.50, $5 and ', cast(c_custkey as string), ' dollars or 7,123,456.78')", f"concat('account # ', {_KEY})", "concat('rate ', cast(c_custkey % 90 as string), '%x and 12.5%')",
+    f"concat('ghp_', {_HEX}, 'abcd eyJ', {_HEX}, '.eyJ', {_HEX}, '.', {_HEX})", f"concat('xoxb-1234567890-1', {_KEY}, '-', {_HEX}, ' AIza', {_HEX}, 'abc')", f"concat({_HEX}, substr({_HEX}, 1, 8))",
+    "concat(cast(c_custkey % 999 + 1 as string), ' Old Main street, 12345-6789')", f"concat('DL: ', upper(substr({_HEX}, 1, 9)))", f"concat('postgres://u:p@h/', {_HEX})", f"concat('sk_live_', {_HEX})",
+    "concat('mac ', " + ", ':', ".join(f"substr({_HEX}, {i * 2 + 1}, 2)" for i in range(6)) + ")", f"concat(substr({_HEX}, 1, 8), '-', substr({_HEX}, 9, 4), '-', substr({_HEX}, 13, 4), '-', substr({_HEX}, 17, 4), '-', substr({_HEX}, 21, 12))",
+    "concat(c_name, ' of the ', c_mktsegment)",
+]) + ")"
+NOTES = Config(company=Company("Acme", ["Example Ltd"], ["example.com"]), custom=Custom(["paid", "rate"], [Named("street", ["host"])], [Named("passport")]), detection=Detection(0, True, list(CATEGORIES)))
+
+
+@query(_rule_table_sql(NOTES, "(SELECT c_custkey AS doc_id, " + NOTE.replace("as string", "AS VARCHAR").replace("'\n'", "chr(10)") + " AS text FROM customer)"))
+def rules_over_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of engine B, on a note for each customer."""
+    notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(NOTE).alias("text"))
+    found = detect_rules(notes, NOTES)
+    return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
+
+
 def _masked(mode: str, kept: int | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = mask.to_detections(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=kept))

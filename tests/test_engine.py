@@ -137,7 +137,8 @@ def test_masking(spark):
     assert _masked(spark, "ab cd ef", [(0, 2, "[A]", True), (3, 5, "[B]", True), (6, 8, "[C]", False)], "safe") == "[A] [B] ef"
     assert _masked(spark, "abcdef", [], "safe") == "abcdef"
     overlap = [(0, 4, "[LONG]", True), (2, 6, "[X]", True)]
-    assert _masked(spark, "abcdef", overlap, "safe") == "[LONG]ef"
+    assert _masked(spark, "abcdefgh", overlap, "safe") == "[LONG]gh"  # nothing of either span is left
+    assert _masked(spark, "0123456789ABCDEF", [(8, 14, "[B]", True), (0, 10, "[A]", True), (14, 15, "[C]", True)], "safe") == "[A][C]F"
     assert _masked(spark, "abcdef", overlap, "compat") == "[LONG]]"  # the earlier span cuts by its old end
     assert _masked(spark, "abc", [(0, 9, "[A]", True), (-1, 2, "[B]", True)], "safe") == "abc"
 
