@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report
 from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
+from hushframe.operators.pixels import hashed
 from hushframe.plans.config import CATEGORIES, Company, Config, Custom, Detection, Named
 from hushframe.plans.profiles import seed
 from hushframe.sources.documents import combined_ocr, html_text
@@ -264,6 +266,19 @@ def hash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("a", "b", images.hamming(F.col("a"), F.col("b")).cast("int").alias("distance"), images.similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+_BMP = (b"BM" + struct.pack("<IIIIiiHHIIIIII", 246, 0, 54, 40, 8, -8, 1, 24, 0, 192, 0, 0, 0, 0)).hex()
+_GREY = "least(255, greatest(0, floor((cast({} as double) + 1) * 127.5)))"
+_BITS = "[CASE WHEN v > list_sum(p) / 64 THEN 1 ELSE 0 END FOR v IN p]"
+
+
+@query(f"SELECT vec_id, array_to_string([substr('0123456789abcdef', CAST(8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4] AS BIGINT) + 1, 1) FOR k IN range(16)], '') AS hash FROM (SELECT vec_id, {_BITS} AS b FROM (SELECT vec_id, [{_GREY.format('x')} FOR x IN embedding[1:64]] AS p FROM embeddings))")
+def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of pictures, decoded from their bytes: the first 64 values of each vector as grey points."""
+    points = F.expr(f"transform(slice(embedding, 1, 64), x -> repeat(lpad(hex(cast({_GREY.format('x')} as bigint)), 2, '0'), 3))")
+    pictures = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.concat(F.lit(_BMP), F.array_join(points, ""))).alias("data"))
+    return hashed(pictures).select("vec_id", "hash")
+
+
 PATHS = ["/home/a/report.TXT", "/etc/passwd.txt", "relative.txt", "/home/../etc/x.txt", "/home/a/x.exe", "/home/a/noext", ""]
 _PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS p(path)"
 _ALLOWED = ", ".join(f"'{e}'" for e in validate.EXTENSIONS)

@@ -1,7 +1,7 @@
 """Documents from files: text formats by expressions, office formats with the standard library alone.
 
-``read_documents`` is the ``binaryFile`` source with one row for each file; parsing runs where the file was read.  PDF text
-and text recognition need libraries that are optional: without them a PDF has the text of :data:`NO_PDF` and an image none.
+``read_documents`` is the ``binaryFile`` source with one row for each file; parsing runs where the file was read.  A PDF
+without readable text has a note as its text; text of images would need a library for recognition, so images have none.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.functions import fixed_values as V
+from hushframe.sources.pdf import read_pdf
 
-NO_PDF = "[PDF text extraction is not available]"
 IMAGES, IMAGE_BYTES, ALL_IMAGE_BYTES = 100, 10 * 1024 * 1024, 50 * 1024 * 1024
 _SPACE = r"[\t\n\x0B\f\r    -     　﻿]+"
 _CONTENT_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
@@ -119,15 +119,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """``files`` (ext, content) with ``text``, ``sheets`` and ``error``: a file that can't be read has an error and no text."""
+    """``files`` (ext, content) with ``text``, ``sheets``, ``error`` and ``info`` (pages, title and author of a PDF): a file that
+    can't be read has an error and no text."""
     places = [files.columns.index(c) for c in ("ext", "content")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, sheets, error = [], [], []
+            text, sheets, error, info = [], [], [], []
             for ext, content in zip(*(batch.column(i) for i in places)):
                 ext, b = ext.as_py(), content.as_py() or b""
-                t, s, e = None, None, None
+                t, s, e, about = None, None, None, None
                 try:
                     if ext == "docx":
                         t = docx_text(b)
@@ -136,7 +137,7 @@ def parse(files: DataFrame) -> DataFrame:
                     elif ext == "json":
                         t = json_text(b.decode("utf-8", "replace"))
                     elif ext == "pdf":
-                        t = NO_PDF
+                        t, about = read_pdf(b)
                     elif ext in V.IMAGE_EXTENSIONS:
                         t = ""
                     elif ext in V.DOCUMENT_EXTENSIONS:
@@ -148,9 +149,10 @@ def parse(files: DataFrame) -> DataFrame:
                 text.append(t)
                 sheets.append(s)
                 error.append(e)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(sheets, pa.list_(pa.string())), pa.array(error, pa.string())], [*batch.schema.names, "text", "sheets", "error"])
+                info.append(about and list(about.items()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(sheets, pa.list_(pa.string())), pa.array(error, pa.string()), pa.array(info, pa.map_(pa.string(), pa.string()))], [*batch.schema.names, "text", "sheets", "error", "info"])
 
-    out = files.mapInArrow(run, files.selectExpr("*", "cast(null as string) text", "cast(null as array<string>) sheets", "cast(null as string) error").schema)
+    out = files.mapInArrow(run, files.selectExpr("*", "cast(null as string) text", "cast(null as array<string>) sheets", "cast(null as string) error", "cast(null as map<string,string>) info").schema)
     return out.withColumn("text", F.when(F.col("ext") == "html", html_text(F.col("text"))).otherwise(F.col("text")))
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from hushframe.plans import queries as Q
 
-TABLES = ["customer", "documents", "pages", "conversations", "benchmark", "labels"]
+TABLES = ["customer", "documents", "pages", "conversations", "benchmark", "labels", "embeddings"]
 
 
 @pytest.fixture(scope="module")
