@@ -5,7 +5,7 @@ chunk of ``CHUNK`` bytes keeps the largest answer of each filter; chunks overlap
 with the document.  A hidden layer turns a chunk's maxima into features, and their mean and maximum over all chunks
 of a document make one probability.  Training is by stochastic gradients with Adam on the driver, on a bounded sample
 of labelled rows: ``ROWS`` rows and ``BYTES`` bytes at most, whole texts, chosen by a hash of the id (a text larger
-than a fiftieth of ``BYTES`` isn't learnt from).  Scoring is on the executors, a slice of bytes at a time, and nothing of
+than a fiftieth of ``BYTES`` isn't learnt from; of rows that repeat an id, the shortest text is, then the least hash).  Scoring is on the executors, a slice of bytes at a time, and nothing of
 a row but its text enters a score.
 
 Defined cases: null or empty text is one chunk of zeros and gets the score that has; texts of any length are read whole,
@@ -194,14 +194,15 @@ def probabilities(w: Weights | None, column: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Weights | None:
     """Weights from a bounded sample of labelled rows (``labels``: doc_id, quality) of ``docs``."""
     chosen = F.broadcast(sample(labels, "quality", learn, ROWS))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)), "t": F.xxhash64("text")})
     rows = rows.where(F.col("size") <= BYTES // 50)
-    sizes = rows.select("doc_id", "size", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    one = lambda *more: rows.groupBy("doc_id", "label").agg(F.min(F.struct("size", "t", *more)).alias("one"))
+    sizes = one().select("doc_id", "one.size", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
     last = int((sizes["size"].cumsum() <= BYTES).sum())
     if not last:
         return None
     most = int(sizes["h"].iloc[last - 1])
-    got = rows.where(F.xxhash64("doc_id") <= most).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toPandas().sort_values("doc_id")
+    got = one("text").where(F.xxhash64("doc_id") <= most).select("doc_id", F.coalesce("one.text", F.lit("")).alias("text"), "label").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(t.encode(), np.uint8) for t in got["text"]], got["label"].to_numpy())
 
 

@@ -194,6 +194,33 @@ def test_network_gradients():
         assert abs((new[0] - new[1]) / 2e-4 - g[k][i]) < 2e-2 * max(1e-3, abs(g[k][i]))
 
 
+def test_network_by_plain_loops():
+    m, r = op2_quality_classifier, np.random.default_rng(3)
+    w = {k: x + r.normal(0, 0.1, x.shape) for k, x in m.start().items()} | {"prior": np.float64(0.3)}
+    leaky = lambda x: np.where(x > 0, x, m.LEAK * x)
+
+    def plain(text):
+        b, half = (text or "").encode(), m.WIDTH // 2
+        b += bytes(-(-(len(b) + half) // m.BLOCK) * m.BLOCK - len(b))
+        steps = {i: np.concatenate([w["embed"][x] for x in b[i : i + m.WIDTH]]) @ w["filter"] for i in range(0, len(b) - half, half)}
+        starts = [0]
+        while starts[-1] + m.CHUNK < len(b):
+            starts.append(min(starts[-1] + m.CHUNK * 3 // 4, len(b) - m.CHUNK))
+        chunks = [leaky(np.max([steps[i] for i in steps if s <= i < s + m.CHUNK], 0) + w["bias"]) for s in starts]
+        h = np.array([leaky(c @ w["hidden"] + w["hidden_bias"]) for c in chunks])
+        return 1 / (1 + np.exp(-(np.concatenate([h.mean(0), h.max(0)]) @ w["out"] + w["out_bias"][0] + w["prior"])))
+
+    texts = ["", None, "a", "x" * 59, "x" * 60, "x" * 61, "é😀 " * 40, *("".join(map(chr, r.integers(32, 300, n))) for n in (100, 250, 256, 500, 1000, 3000))]
+    assert np.allclose(m.probabilities(w, pa.array(texts)), [plain(t) for t in texts], atol=1e-6)
+
+
+def test_classifier_learns_the_same_from_repeated_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows = [(i, f"text {i} {'good' if i % 2 else 'bad'} {k}" * (k + 1)) for i in range(20) for k in range(3)]
+    one, two = (op2_quality_classifier.train(spark.createDataFrame(x, "doc_id long, text string").repartition(5), labels, F.lit(True)) for x in (rows, [*rows[::-1], *rows[::3]]))
+    assert all((one[k] == two[k]).all() for k in one)
+
+
 def test_network_reads_long_texts_in_slices(monkeypatch):
     w = op2_quality_classifier.start() | {"prior": np.float32(0)}
     texts = pa.array(["ab c" * 5000, "", None, "xyz" * 40_000, "q"])
