@@ -80,9 +80,10 @@ def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     """``text`` with approved spans replaced.
 
     ``compat`` replaces from the last start to the first at the places of the original text, so overlapping spans damage
-    what lies between, as the application does; ``safe`` replaces spans that overlap as one, so nothing of any is left.
+    what lies between, as the application does; ``safe`` replaces spans that overlap as one, so nothing of any is left;
+    ``unchecked`` is ``compat`` without looking whether places lie within the text (beyond its end, it is appended to).
     """
-    at = F.filter(detections, lambda d: valid(d, text))
+    at = F.filter(detections, lambda d: d["approved"] if mode == "unchecked" else valid(d, text))
     if mode == "safe":
         return _safe(text, at)
     order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], b["start"] - a["start"]).otherwise(a["ord"] - b["ord"]))

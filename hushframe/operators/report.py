@@ -26,9 +26,12 @@ def type_counts(detections: DataFrame, kind: str = "type") -> DataFrame:
     return detections.groupBy(kind).agg(F.count("*").alias("n"))
 
 
-def mapping(detections: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """By document and placeholder: distinct original values, the category of the first, and the number of values."""
-    once = detections.where("approved").groupBy(doc, "placeholder", "text").agg(F.min("start").alias("first"), F.min_by("category", "start").alias("category"))
+def mapping(detections: DataFrame, doc: str = "doc_id", backwards: bool = False) -> DataFrame:
+    """By document and placeholder: distinct original values, the category of the first, and the number of values.
+
+    Values are in order of their first places; ``backwards``, from the last place in the text to the first."""
+    at = detections.where("approved").withColumn("__at", -F.col("start") if backwards else F.col("start"))
+    once = at.groupBy(doc, "placeholder", "text").agg(F.min("__at").alias("first"), F.min_by("category", "__at").alias("category"))
     own = once.groupBy(doc, "placeholder").agg(F.array_sort(F.collect_list(F.struct("first", "text", "category"))).alias("v"))
     return own.select(doc, "placeholder", F.transform("v", lambda x: x["text"]).alias("original_values"), F.col("v")[0]["category"].alias("category"), F.size("v").cast("long").alias("occurrences"))
 

@@ -185,13 +185,26 @@ def placeholder_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask.numbered(df).select("doc_id", "start", "span_text", "number")
 
 
-@query(f"SELECT doc_id, placeholder, list(span_text ORDER BY f) AS original_values, 'pii' AS category, count(*) AS occurrences FROM (SELECT doc_id, '[' || upper(source) || ']' AS placeholder, span_text, min(start) AS f FROM ({_EMAIL_SPANS}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL) GROUP BY doc_id, placeholder")
-def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders and their original values."""
+def _mapping_sql(order: str, first: str) -> str:
+    return f"SELECT doc_id, placeholder, list(span_text ORDER BY f {order}) AS original_values, 'pii' AS category, count(*) AS occurrences FROM (SELECT doc_id, '[' || upper(source) || ']' AS placeholder, span_text, {first}(start) AS f FROM ({_EMAIL_SPANS}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL) GROUP BY doc_id, placeholder"
+
+
+def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     df = QUERIES["spans_email"](spark, sf_dir).join(docs, "doc_id")
-    df = df.select("doc_id", F.concat(F.lit("["), F.upper("source"), F.lit("]")).alias("placeholder"), F.col("span_text").alias("text"), "start", F.lit("pii").alias("category"), F.lit(True).alias("approved"))
-    return report.mapping(df)
+    return df.select("doc_id", F.concat(F.lit("["), F.upper("source"), F.lit("]")).alias("placeholder"), F.col("span_text").alias("text"), "start", F.lit("pii").alias("category"), F.lit(True).alias("approved"))
+
+
+@query(_mapping_sql("", "min"))
+def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders and their original values."""
+    return report.mapping(_by_source(spark, sf_dir))
+
+
+@query(_mapping_sql("DESC", "max"))
+def mapping_backwards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders and their original values, from the last place to the first."""
+    return report.mapping(_by_source(spark, sf_dir), backwards=True)
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{re2(EMAIL)}', '[EMAIL]', 'g') AS masked_text, CAST(len(regexp_extract_all(text, '{re2(EMAIL)}')) AS INTEGER) AS n FROM documents")

@@ -229,3 +229,9 @@ def test_sql_functions(spark):
     assert (row.a, row.b, row.c, row.d) == (True, True, False, None)
     df = spark.createDataFrame([("Ahmed", "Al-Otaibi", "Dr.")], "a string, b string, c string")
     assert df.select(sql.arabic_first_name(F.col("a")), sql.arabic_family_name(F.col("b")), sql.name_prefix(F.col("c"))).first()[:] == (True, True, True)
+
+
+def test_unchecked_masking_appends_beyond_the_end(spark):
+    one = "struct('a' text, cast({} as int) start, cast({} as int) end, '[X]' placeholder, {} approved, {} ord)"
+    df = spark.sql("select 'abcdef' text, array(" + ", ".join([one.format(1, 2, "true", 0), one.format(9, 12, "true", 1), one.format(4, 5, "false", 2)]) + ") detections")
+    assert [df.select(mask.masked(F.col("text"), F.col("detections"), m)).first()[0] for m in ("unchecked", "compat", "safe")] == ["a[X]cdef[X]", "a[X]cdef", "a[X]cdef"]
