@@ -13,6 +13,7 @@ from hushframe.llm import (
     op8_mixing,
     op9_html_extraction,
     op10_ngram_jaccard,
+    op11_filter_audit,
 )
 
 _MODULES = [
@@ -26,6 +27,7 @@ _MODULES = [
     op8_mixing,
     op9_html_extraction,
     op10_ngram_jaccard,
+    op11_filter_audit,
 ]
 
 
