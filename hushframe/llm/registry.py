@@ -14,6 +14,7 @@ from hushframe.llm import (
     op9_html_extraction,
     op10_ngram_jaccard,
     op11_filter_audit,
+    op12_conversation_trie,
 )
 
 _MODULES = [
@@ -28,6 +29,7 @@ _MODULES = [
     op9_html_extraction,
     op10_ngram_jaccard,
     op11_filter_audit,
+    op12_conversation_trie,
 ]
 
 
