@@ -22,6 +22,7 @@ counts; an empty table gives no rows; further columns are ignored, whatever thei
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -76,7 +77,7 @@ def _joined(x: tuple, y: tuple) -> tuple:
     return tuple(sums.items())
 
 
-def _near(rows: Iterable[tuple]) -> Iterator[tuple]:
+def _near(held: int, rows: Iterable[tuple]) -> Iterator[tuple]:
     """Of one input partition: (route, (text, id, tallies)) of texts to be routed, and the same without a text of rows
     that need no comparison: ``(None, True)`` for copies, ``(None, False)`` for rows without id."""
     chains = Chains()
@@ -88,7 +89,7 @@ def _near(rows: Iterable[tuple]) -> Iterator[tuple]:
         lost = chains.meet(key, text, doc_id, tallies)
         if lost:
             yield at, (True, *lost)
-        if chains.size > HELD:
+        if chains.size > held:
             yield from ((k, rest) for k, *rest in chains.links())
             chains = Chains()
     yield from ((k, rest) for k, *rest in chains.links())
@@ -118,7 +119,7 @@ def route(docs: DataFrame, *values: str) -> DataFrame:
     rows = docs.select("doc_id", F.struct(*values), text.alias("text"), F.xxhash64(text)).rdd.map(lambda r: (r[0], tuple(r[1]), r[2], r[3]))
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // SHARE)
-    routed = rows.mapPartitions(_near).partitionBy(parts, lambda key: key)
+    routed = rows.mapPartitions(functools.partial(_near, HELD)).partitionBy(parts, lambda key: key)
     schema = T.StructType([docs.schema["doc_id"], *(docs.schema[v] for v in values), T.StructField("copy", T.BooleanType()), T.StructField("n", T.LongType())])
     return spark.createDataFrame(routed.mapPartitions(_far), schema, verifySchema=False)
 

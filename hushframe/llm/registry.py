@@ -15,6 +15,7 @@ from hushframe.llm import (
     op10_ngram_jaccard,
     op11_filter_audit,
     op12_conversation_trie,
+    op13_warc,
 )
 
 _MODULES = [
@@ -30,6 +31,7 @@ _MODULES = [
     op10_ngram_jaccard,
     op11_filter_audit,
     op12_conversation_trie,
+    op13_warc,
 ]
 
 

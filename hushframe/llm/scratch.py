@@ -74,6 +74,12 @@ def keep_only(made: list[DataFrame], *kept: DataFrame) -> None:
     drop(*(df for df in made if not any(df is k for k in kept)))
 
 
+def written(path: str) -> str:
+    """Have :func:`release` delete this folder as well."""
+    _WRITTEN.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table written by :func:`cut` in this process; call it when no result that uses them is needed."""
     n = len(_WRITTEN)
