@@ -245,22 +245,28 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` (which needs ``text``) and ``ids`` (array of int)."""
+def encode(docs: DataFrame, path: str | None = None, check: bool = False) -> DataFrame:
+    """All columns of ``docs`` (which needs ``text``) and ``ids`` (array of int); with ``check`` ``decodes`` as well:
+    whether the ids decode to the text, found in the same pass by the same worker."""
     bounded_batches(docs.sparkSession)
-    docs, path = docs.drop("ids"), path or default_path()
+    docs, path = docs.drop("ids", *["decodes"] * check), path or default_path()
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for batch in batches:
-            parts = [np.fromiter(chain.from_iterable(t.encode(x.as_py() or "")), np.int32) for x in batch.column(place)]
+            parts, same = [], []
+            for x in batch.column(place):
+                text = x.as_py() or ""
+                parts.append(np.fromiter(chain.from_iterable(t.encode(text)), np.int32))
+                if check:
+                    same.append("".join(t.decode(parts[-1][i : i + SLICE].tolist() for i in range(0, len(parts[-1]), SLICE))) == text)
             at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, *[pa.array(same, pa.bool_())] * check], [*batch.schema.names, "ids", *["decodes"] * check])
         t.forget()
 
-    return docs.mapInArrow(run, docs.select("*", F.expr("array(1)").alias("ids")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.expr("array(1)").alias("ids"), *[F.lit(True).alias("decodes")] * check).schema)
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
