@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hushframe.llm import op2_quality_classifier as quality
 from hushframe.llm.labelled import fold
 from hushframe.llm.op5_substring_dedup import remove_repeats
-from hushframe.llm.op7_bpe import decode, encode
+from hushframe.llm.op7_bpe import encode
 from hushframe.llm.op8_mixing import mix
 from hushframe.llm.op10_ngram_jaccard import near_copies
 from hushframe.llm.scratch import cut
@@ -50,9 +50,8 @@ def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    got = decode(encode(docs.select("doc_id", "lang", "source", "text")))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return got.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    got = encode(docs.select("doc_id", "lang", "source", "text"), check=True)
+    return got.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [
