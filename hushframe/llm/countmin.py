@@ -8,7 +8,9 @@ It tells the frequent keys from the others.
 :func:`counted` has as many cells as the keys need to be told apart (about ``SPARE`` cells a key), and no task ever holds
 it all.  Rows of a table are buckets with their keys.  A bucket's sketch is sparse, the sorted numbers of its cells with
 counts, and goes by ranges of cells to the tasks that merge them; each merged range goes back to the buckets it came
-from, with the merged count of each of their cells.  Ranges and buckets keep their size when the input grows.
+from, with the merged count of each of their cells.  Ranges and buckets keep their size when the input grows, and a bucket
+sends rows only for the ranges that its own keys fall into.  A key of every bucket doesn't bring all of them to one task:
+buckets are dealt by salt, about ``TOGETHER`` of them are merged to one row of a range, and those rows are merged in turn.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.scratch import cut
 from hushframe.llm.words import U, mix, trim, trimmed
 
 DEPTH = 2
 BLOCK_BITS = 18
 #: Keys of a range on the mean; cells a key, as a binary logarithm.
 RANGE, SPARE = 1 << 18, 10
+#: Buckets that are merged in one step, on the mean.
+TOGETHER = 256
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909)]
 
 
@@ -71,7 +76,7 @@ def frequency(rows: list[bytes], bits: int, keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Sorted values as compressed differences, one plane of bytes after the other."""
+    """Values as compressed differences, one plane of bytes after the other."""
     return zstandard.compress(np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
@@ -83,57 +88,91 @@ def counted(buckets: DataFrame) -> tuple[DataFrame, int]:
     """``bucket`` and ``levels`` for ``buckets`` (bucket: a number of its own, keys: 64-bit values, n_keys), and how many
     bits of a key make its cell; :func:`levels_of` reads the two."""
     rows, bits = _sent(buckets)
+    rows = cut(rows)
+    groups = rows.groupBy("range", "salt").applyInArrow(_added, "range long, salt int, cells binary, counts binary")
 
-    def merged(part: pa.Table) -> pa.Table:
-        cells, _, count = _merged(part)
-        level = np.where(count > 1, 1 + np.log2(np.maximum(count, 1)), 0).astype(np.uint8)
-        ends = np.cumsum([len(k) for k in cells])
-        found = [zstandard.compress(level[e - len(k) : e].tobytes(), 1) for k, e in zip(cells, ends)]
-        return pa.table([part.column("bucket"), part.column("range"), pa.array(found, pa.binary())], names=["bucket", "range", "level"])
+    def levels(part: pa.Table) -> pa.Table:
+        cells, every, count = _merged(part)
+        found = [_packed(x) for x in np.split(count, np.cumsum([len(c) for c in cells])[:-1])]
+        return pa.table([part.column("range"), part.column("salt"), part.column("cells"), pa.array(found, pa.binary())], names=["range", "salt", "cells", "counts"])
+
+    def back(own: pa.Table, whole: pa.Table) -> pa.Table:
+        trim()
+        cell, count = _pairs(whole)
+        level = (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)
+        level[count <= 1] = 0
+        found = [zstandard.compress(level[np.searchsorted(cell, unpacked(x))].tobytes(), 1) for x in own.column("cells").to_pylist()]
+        return pa.table([own.column("bucket"), own.column("range"), pa.array(found, pa.binary())], names=["bucket", "range", "level"])
 
-    back = rows.groupBy("range").applyInArrow(merged, "bucket long, range long, level binary")
-    return back.groupBy("bucket").agg(F.collect_list(F.struct("range", "level")).alias("levels")), bits  # a byte for each key of a bucket
+    whole = groups.groupBy("range").applyInArrow(levels, "range long, salt int, cells binary, counts binary")
+    got = rows.groupBy("range", "salt").cogroup(whole.groupBy("range", "salt")).applyInArrow(back, "bucket long, range long, level binary")
+    return got.groupBy("bucket").agg(F.collect_list(F.struct("range", "level")).alias("levels")), bits  # a byte for each key of a bucket
 
 
 def repeated(buckets: DataFrame) -> tuple[DataFrame, int]:
     """``range``, ``cells`` (:func:`unpacked` reads them) and ``n`` of all cells that are counted twice or more."""
     rows, bits = _sent(buckets)
+    groups = rows.groupBy("range", "salt").applyInArrow(_added, "range long, salt int, cells binary, counts binary")
 
     def merged(part: pa.Table) -> pa.Table:
         _, cell, count = _merged(part)
         twice = np.unique(cell[count > 1])
         return pa.table([part.column("range")[:1], pa.array([_packed(twice)], pa.binary()), pa.array([len(twice)], pa.int64())], names=["range", "cells", "n"])
 
-    return rows.groupBy("range").applyInArrow(merged, "range long, cells binary, n long"), bits
+    return groups.groupBy("range").applyInArrow(merged, "range long, cells binary, n long"), bits
+
+
+def _pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All cells of all rows with their counts."""
+    cells, counts = (np.concatenate([np.zeros(0, U), *map(unpacked, part.column(c).to_pylist())]) for c in ("cells", "counts"))
+    return cells, counts
+
+
+def _added(part: pa.Table) -> pa.Table:
+    """One row of the cells of all rows of a range and salt, with the sums of their counts."""
+    trim()  # of the part before
+    cells, counts = _pairs(part)
+    cell, at = np.unique(cells, return_inverse=True)
+    n = np.bincount(at, counts).astype(U)
+    return pa.table([part.column("range")[:1], part.column("salt")[:1], pa.array([_packed(cell)], pa.binary()), pa.array([_packed(n)], pa.binary())], names=["range", "salt", "cells", "counts"])
 
 
 def _merged(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The cells of each bucket of a range, all of them, and the merged count of each."""
+    """The cells of each row of a range, all of them, and the merged count of each."""
     trim()  # of the range before
     cells = [unpacked(x) for x in part.column("cells").to_pylist()]
-    n = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in part.column("counts").to_pylist()])
-    every = np.concatenate(cells)
+    every, counts = np.concatenate(cells), np.concatenate([unpacked(x) for x in part.column("counts").to_pylist()])
     _, at = np.unique(every, return_inverse=True)
-    return cells, every, np.bincount(at, n)[at]
+    return cells, every, np.bincount(at, counts).astype(U)[at]
+
+
+def split(cell: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges that sorted cells fall into, each with its first place and the one after its last."""
+    of = cell >> U(shift)
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    return zip(of[at].tolist(), at.tolist(), [*at[1:].tolist(), len(cell)])
 
 
 def _sent(buckets: DataFrame) -> tuple[DataFrame, int]:
-    """The buckets' sparse sketches by range, and the bits of a cell."""
-    total = buckets.agg(F.sum("n_keys")).first()[0] or 0
-    bits, ranges = min(62, int(total).bit_length() + SPARE), 1 + total // RANGE
+    """The buckets' sparse sketches by range and salt, and the bits of a cell."""
+    total, n_buckets = buckets.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.count("*")).first()
+    bits, salts = min(62, int(total).bit_length() + SPARE), 1 + n_buckets // TOGETHER
+    shift = bits - min(bits, (total // RANGE).bit_length())
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([-(-(i << bits) // ranges) for i in range(ranges)], U)
         for batch in batches:
-            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for bucket, salt, keys in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2)):
                 cell, n = np.unique(np.frombuffer(keys.as_buffer(), U) >> U(64 - bits), return_counts=True)
-                at = np.searchsorted(cell, edges)
-                own = [(i, a, z) for i, (a, z) in enumerate(zip(at, [*at[1:], len(cell)])) if z > a]
+                own = [*split(cell, shift)]
                 cells = [_packed(cell[a:z]) for _, a, z in own]
-                counts = [zstandard.compress(np.minimum(n[a:z], 255).astype(np.uint8).tobytes(), 1) for _, a, z in own]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in own], pa.int64()), pa.array([bucket] * len(own), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["range", "bucket", "cells", "counts"])
-
-    return buckets.where("n_keys > 0").select("bucket", "keys").mapInArrow(trimmed(sent), "range long, bucket long, cells binary, counts binary"), bits
+                counts = [_packed(n[a:z].astype(U)) for _, a, z in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _, _ in own], pa.int64()), pa.array([salt] * len(own), pa.int32()), pa.array([bucket] * len(own), pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())],
+                    ["range", "salt", "bucket", "cells", "counts"],
+                )
+
+    salted = buckets.where("n_keys > 0").select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(salts)).cast("int").alias("salt"), "keys")
+    return salted.mapInArrow(trimmed(sent), "range long, salt int, bucket long, cells binary, counts binary"), bits
 
 
 def levels_of(keys: np.ndarray, levels: list[dict], bits: int) -> np.ndarray:

@@ -118,14 +118,14 @@ def _buckets(docs: DataFrame, words: int, num: int, den: int, sketch) -> DataFra
             all_tokens = np.concatenate([np.zeros(0, U), *tokens])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([bucket]), array(batch.column(0)), array(pa.array(name, pa.binary())), array(pa.array((bucket << 20) + np.arange(m))), array(pa.array(n)), array(pa.array(cent)),
+                    pa.array([bucket]), array(batch.column(0)), array(batch.column(2)), array(pa.array(name, pa.binary())), array(pa.array((bucket << 20) + np.arange(m))), array(pa.array(n)), array(pa.array(cent)),
                     array(pa.array(kept)), pa.array([all_tokens.tobytes()], pa.binary()), pa.array([len(all_tokens)], pa.int64()),
                 ],
-                ["bucket", "doc_id", "name", "sid", "n", "cent", "kept", "keys", "n_keys"],
+                ["bucket", "doc_id", "text_key", "name", "sid", "n", "cent", "kept", "keys", "n_keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, name array<binary>, sid array<long>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, text_key array<long>, name array<binary>, sid array<long>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
 
 
 def _entries(buckets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,7 +172,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, reps: DataFrame, sids: DataFrame, words: int, sketch) -> DataFrame:
-    """``sid`` and ``grams``, in the order that all sets share, of these sets; a set can come more than once."""
+    """``sid`` and ``grams``, in the order that all sets share, of these sets.
+
+    A set's text is found by id and hash of the text, so rows without id, or with an id that repeats, meet those of equal
+    text alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -194,8 +198,10 @@ def _members(docs: DataFrame, reps: DataFrame, sids: DataFrame, words: int, sket
         at = np.concatenate([[0], np.cumsum([len(s) for _, s in held])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([s for _, s in held]).view(np.int64)))], ["sid", "grams"])
 
-    wanted = cut(reps.join(sids.distinct(), "sid").select(F.col("doc_id").alias("of"), "name", "sid"))
-    return cut(docs.select("doc_id", "text").join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "name", "sid").mapInArrow(trimmed(run), "sid long, grams array<long>"))
+    wanted = cut(reps.join(sids.distinct(), "sid").select(F.col("doc_id").alias("of"), "text_key", "name", "sid"))
+    found = docs.select("doc_id", "text").join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("text_key")))
+    sets = cut(found.select("text", "name", "sid").mapInArrow(trimmed(run), "sid long, grams array<long>"))
+    return cut(sets.dropDuplicates(["sid"])) if sets.count() > wanted.count() else sets  # rows that repeat id and text
 
 
 def _overlaps(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -219,8 +225,8 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     result = named.join(of_set, "name", "left").withColumn("component_id", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     if docs.columns == ["doc_id", "text"]:
         return result.select("doc_id", "n_shingles", "component_id")
-    per_id = result.groupBy(F.col("doc_id").alias("__id"), F.col("name").alias("__name")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
-    return _with_name(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__name_of").eqNullSafe(F.col("__name"))).drop("__id", "__name", "__name_of")
+    per_id = result.groupBy(F.col("doc_id").alias("__hushframe_id"), F.col("name").alias("__hushframe_name")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
+    return _with_name(docs, words).join(per_id, F.col("doc_id").eqNullSafe(F.col("__hushframe_id")) & F.col("__hushframe_name_of").eqNullSafe(F.col("__hushframe_name"))).drop("__hushframe_id", "__hushframe_name", "__hushframe_name_of")
 
 
 def _salts(heat: Column) -> Column:
@@ -249,12 +255,14 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(countmin.frequencies(docs.select("text"), lambda batch: _keys(batch, words), BITS))
     buckets = cut(_buckets(docs, words, num, den, sketch))
-    rows = buckets.select(F.inline(F.arrays_zip("doc_id", "n", "name", "sid"))).select("doc_id", F.col("n").alias("n_shingles"), "name", "sid")
-    named = cut(rows.drop("sid"))
+    rows = buckets.select(F.inline(F.arrays_zip("doc_id", "text_key", "n", "name", "sid"))).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "name", "sid")
+    named = cut(rows.drop("sid", "text_key"))
     # Of each set, the least id and a row that has it.
-    reps = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("r"))
-    reps = cut(reps.select("name", F.col("r.doc_id").alias("doc_id"), F.col("r.sid").alias("sid")))
-    lists = cut(_entries(buckets, reps, num, den).withColumn("at", F.lit(1)))
+    reps = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "text_key")).alias("r"))
+    reps = cut(reps.select("name", F.col("r.doc_id").alias("doc_id"), F.col("r.sid").alias("sid"), F.col("r.text_key").alias("text_key")))
+    with scope() as used:
+        lists = cut(_entries(buckets, reps, num, den).withColumn("at", F.lit(1)))
+        keep_only(used, lists)
     drop(buckets)
     small = F.col("pos") < F.col("n") - _need(F.col("n"), F.col("n"), num, den) + F.col("at")  # can be the smaller set of a pair
     fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("at") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= _need(F.col("na"), F.col("nb"), num, den))
@@ -343,9 +351,9 @@ def _with_name(docs: DataFrame, words: int) -> DataFrame:
             name = [None] * batch.num_rows
             for i, s in _sets(batch.column(place), words):
                 name[i] = _name(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.binary())], [*batch.schema.names, "__name_of"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.binary())], [*batch.schema.names, "__hushframe_name_of"])
 
-    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("binary").alias("__name_of")).schema)
+    return docs.mapInArrow(trimmed(run), docs.select("*", F.lit(None).cast("binary").alias("__hushframe_name_of")).schema)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

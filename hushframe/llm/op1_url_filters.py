@@ -99,11 +99,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple] | None = None) -> DataFr
         F.max(F.when(F.col("kind") == "host", F.struct("weight", "rule", "verdict"))).alias("h"),
         F.max(F.when(F.col("kind") == "pattern", F.struct("weight", "rule", "verdict"))).alias("m"),
     )
-    best = best.select(F.col("url").alias("__url"), F.col("h.rule").alias("rule"), F.coalesce("h.verdict", "m.verdict").alias("verdict"), F.col("m.rule").alias("method_rule"))
+    best = best.select(F.col("url").alias("__hushframe_url"), F.col("h.rule").alias("rule"), F.coalesce("h.verdict", "m.verdict").alias("verdict"), F.col("m.rule").alias("method_rule"))
     url = F.col("url")
     # Rows without url don't meet in one key of the join: each looks for a number of its own, which no url has.
     key = F.coalesce(url, F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
-    judged = pages.withColumn("__key", key).join(best, F.col("__key") == best["__url"], "left").drop("__url", "__key").withColumns({"host": host_of(url), "path": path_of(url)})
+    judged = pages.withColumn("__hushframe_key", key).join(best, F.col("__hushframe_key") == best["__hushframe_url"], "left").drop("__hushframe_url", "__hushframe_key").withColumns({"host": host_of(url), "path": path_of(url)})
     return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "method_rule")
 
 

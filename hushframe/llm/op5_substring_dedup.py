@@ -182,8 +182,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with scope() as made:
         flags = cut(_flags(docs.select("doc_id", "text"), window))
         keep_only(made, flags)
-    flags = flags.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
-    joined = docs.join(flags, (docs["doc_id"] == flags["__id"]) & (F.xxhash64(docs["text"]) == flags["__key"]), "left").drop("__id", "__key")
+    flags = flags.select(F.col("doc_id").alias("__hushframe_id"), F.col("text_key").alias("__hushframe_key"), F.col("starts").alias("__hushframe_starts"))
+    joined = docs.join(flags, (docs["doc_id"] == flags["__hushframe_id"]) & (F.xxhash64(docs["text"]) == flags["__hushframe_key"]), "left").drop("__hushframe_id", "__hushframe_key")
     place = joined.columns.index("text")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
