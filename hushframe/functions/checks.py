@@ -119,5 +119,22 @@ def has_letter_and_digit(s: str) -> bool:
     return bool(re.search("[A-Za-z]", s)) and bool(re.search("[0-9]", s))
 
 
+def email_strict_column(c: Column) -> Column:
+    local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
+    edges = ~F.contains(c, F.lit("..")) & ~c.startswith(".") & ~c.endswith(".")
+    return edges & (F.length(local) <= 64) & (F.length(domain) <= 253) & domain.rlike(r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z")
+
+
+def ipv4_column(c: Column) -> Column:
+    number = r"(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    return c.rlike(rf"^(?:{number}\.){{3}}{number}\z")
+
+
+def iban_shape_column(c: Column) -> Column:
+    c = F.upper(F.regexp_replace(c, r"\s", ""))
+    return F.length(c).between(15, 34) & c.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z")
+
+
 #: Checks that rules can name.
 BY_NAME = {"email": email_strict, "luhn": luhn, "ipv4": ipv4, "iban_shape": iban_shape}
+COLUMN_BY_NAME = {"email": email_strict_column, "luhn": luhn_column, "ipv4": ipv4_column, "iban_shape": iban_shape_column}

@@ -9,6 +9,7 @@ import functools
 import re
 import re._constants as K
 import re._parser as P
+from typing import NamedTuple
 
 #: What ``\s`` stands for, inside a class.
 SPACES = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -16,9 +17,14 @@ _JAVA_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _TOKEN = re.compile(r"\\.|\[\^?\]?|\]|\.|.", re.S)
 
 
-def _rewritten(pattern: str, edge: str, end: str) -> str:
-    out, inside = [], False
+_WORD_ATOM = re.compile(r"(?:[A-Za-z0-9_]|\\[dw]|\[(?:[A-Za-z0-9_]-[A-Za-z0-9_]|[A-Za-z0-9_]|\\[dw])+\])(?![?*]|\{0)")
+
+
+def _rewritten(pattern: str, edge: str, end: str, before_word: str | None = None) -> str:
+    """``before_word`` is the edge where a word character follows in any case."""
+    out, inside, at = [], False, 0
     for t in _TOKEN.findall(pattern):
+        at += len(t)
         if inside:
             if t == "\\s":
                 t = SPACES
@@ -35,7 +41,7 @@ def _rewritten(pattern: str, edge: str, end: str) -> str:
         elif t == "\\S":
             t = f"[^{SPACES}]"
         elif t == "\\b":
-            t = edge
+            t = before_word if before_word and _WORD_ATOM.match(pattern, at) else edge
         elif t == "\\z":
             t = end
         elif t == ".":
@@ -46,7 +52,7 @@ def _rewritten(pattern: str, edge: str, end: str) -> str:
 
 def to_java(pattern: str, flags: str = "") -> str:
     """For ``rlike`` and the ``regexp_`` functions; Java's own ``\\b`` isn't ASCII."""
-    made = _rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), _JAVA_EDGE, r"\z")
+    made = _rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), _JAVA_EDGE, r"\z", r"(?<!\w)")
     return ("(?i)" if "i" in flags else "") + made
 
 
@@ -99,3 +105,93 @@ def requirements(pattern: str, flags: str = "") -> frozenset[frozenset[str]]:
         return frozenset(out)
 
     return of(P.parse(compiled.pattern, compiled.flags & ~re.DEBUG))
+
+
+#: Literals that stand for a branch of more than so many aren't told.
+_MOST_LITERALS = 300
+
+
+class Needs(NamedTuple):
+    """What every match has: one of ``literals`` (in lower case; none if nothing is known), a run of so many ``digits``,
+    and one of so many of the characters that keys and words are made of (``run``)."""
+
+    literals: tuple[str, ...]
+    digits: int
+    run: int
+
+
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")
+#: The class of :class:`Needs`' runs.
+RUN_CLASS = "[A-Za-z0-9_+/=-]"
+
+
+@functools.lru_cache(4096)
+def needs(pattern: str, flags: str = "") -> Needs:
+    """What a text must have for a pattern to match, to be looked at before matching: a few plain searches tell which of
+    many patterns a text can have."""
+    compiled = to_python(pattern, flags)
+
+    def chars(op: object, arg: object) -> frozenset[str] | None:
+        """The characters that one atom can be, if they are few."""
+        if op is K.LITERAL:
+            return frozenset(chr(arg))
+        if op is K.IN:
+            out: set[str] = set()
+            for kind, x in arg:
+                if kind is K.LITERAL:
+                    out.add(chr(x))
+                elif kind is K.RANGE and x[1] - x[0] < 64:
+                    out |= set(map(chr, range(x[0], x[1] + 1)))
+                elif kind is K.CATEGORY and x is K.CATEGORY_DIGIT:
+                    out |= set("0123456789")
+                else:
+                    return None
+            return frozenset(out)
+        return None
+
+    def longest(seq: object, of: frozenset[str]) -> int:
+        """The longest run of characters of a set that every match has."""
+        best = now = 0
+        for op, arg in seq:
+            if op is K.AT or op in (K.ASSERT, K.ASSERT_NOT):
+                continue
+            repeat = op in (K.MAX_REPEAT, K.MIN_REPEAT)
+            atom = arg[2][0] if repeat and len(arg[2]) == 1 else (op, arg)
+            own = chars(*atom)
+            if own and own <= of:
+                now += arg[0] if repeat else 1
+                best = max(best, now)
+                continue
+            now = 0
+            inner = [arg[-1]] if op is K.SUBPATTERN else [arg[2]] if repeat and arg[0] > 0 else arg[1] if op is K.BRANCH else []
+            if inner:
+                best = max(best, min(longest(x, of) for x in inner))
+        return best
+
+    def literals(seq: object) -> frozenset[str]:
+        """The rarest of what every match has one of; empty if nothing is known."""
+        found, now = [], ""
+        for op, arg in [*seq, (None, None)]:
+            if op is K.LITERAL:
+                now += chr(arg).lower()
+                continue
+            if op is K.AT:
+                continue
+            if now:
+                found.append(frozenset([now]))
+                now = ""
+            if op is K.SUBPATTERN:
+                found.append(literals(arg[-1]))
+            elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and arg[0] > 0:
+                found.append(literals(arg[2]))
+            elif op is K.BRANCH:
+                each = [literals(b) for b in arg[1]]
+                if all(each):
+                    found.append(frozenset().union(*each))
+            elif op is K.IN and len(own := chars(op, arg) or ()) in range(1, 13) and not any(c.isalnum() for c in own):
+                found.append(own)
+        worth = lambda x: (min(len(w) + (not w.isalnum()) for w in x), -len(x))
+        return max((x for x in found if x and len(x) <= _MOST_LITERALS), key=worth, default=frozenset())
+
+    tree = list(P.parse(compiled.pattern, compiled.flags & ~re.DEBUG))
+    return Needs(tuple(sorted(literals(tree))), longest(tree, frozenset("0123456789")), longest(tree, _RUN))

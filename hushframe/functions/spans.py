@@ -1,8 +1,6 @@
-"""Spans of all matches of one pattern, as Spark expressions.
+"""Spans of all matches of a pattern, as Spark expressions: texts and positions, which are running sums of lengths.
 
-``regexp_extract_all`` gives texts without positions.  Anchored by ``\\G``, a pattern that takes the gap before each match
-as well gives both, and positions are sums of lengths.  The anchor keeps the unmatched rest from being tried again from
-each position.  Positions are 0-based code points; the end is exclusive.
+Positions are 0-based code points; the end is exclusive.
 """
 
 from __future__ import annotations
@@ -10,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.arrays import let, running
 from hushframe.functions.dialect import requirements, to_java
 
 SPAN = "array<struct<text:string,start:int,end:int>>"
@@ -26,28 +25,58 @@ def possible(text: Column, pattern: str, flags: str = "") -> Column:
     return out
 
 
+#: Marks that are put around matches: code points that Unicode never gives to a character.
+_BEGIN, _END, _PART = "\ufdd0", "\ufdd1", "\ufdd2"
+PLACE = "struct<text:string,start:int,end:int,part:string>"
+
+
+def places(text: Column, java: Column, group: Column | None = None) -> Column:
+    """Array of (text, start, end, part) of a Java pattern, which may be a column; ``part`` is the pattern's first group,
+    if it has one and ``group`` is true, else empty.
+
+    One pass puts marks around all matches, and the text is split at the marks.  A text that has such marks itself goes
+    the longer way.
+    """
+    plain = F.lit(_BEGIN + "$1" + _END)
+    to = plain if group is None else F.when(group, F.lit(_BEGIN + "$1" + _PART + "$2" + _END)).otherwise(plain)
+    marked = F.regexp_replace(text, F.concat(F.lit("("), java, F.lit("())")), to)
+
+    def made(pieces: Column) -> Column:
+        hits = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.substring_index(p, _END, 1))
+        has = lambda h: F.contains(h, F.lit(_PART))
+        part = lambda h: F.when(has(h), F.substring_index(h, _PART, -1)).otherwise("")
+        steps = F.transform(pieces, lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(1 + let(F.substring_index(p, _END, 1), lambda h: F.when(has(h), 1 + F.length(part(h))).otherwise(0))))
+
+        def placed(starts: Column) -> Column:
+            whole = lambda h: F.substring_index(h, _PART, 1)
+            return F.transform(hits, lambda h, i: F.struct(whole(h).alias("text"), F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(whole(h))).alias("end"), part(h).alias("part")))
+
+        return let(running(steps), placed)
+
+    short = let(marked, lambda m: F.when(F.contains(m, F.lit(_BEGIN)), let(F.split(m, _BEGIN), made)).otherwise(F.array().cast(f"array<{PLACE}>")))
+    return F.when(text.rlike(f"[{_BEGIN}{_END}{_PART}]"), _long_way(text, java, group)).otherwise(short)
+
+
+def _long_way(text: Column, java: Column, group: Column | None) -> Column:
+    """Anchored by ``\\G``, a pattern that takes the gap before each match as well gives texts and lengths of both.  The anchor
+    keeps the unmatched rest from being tried again from each position."""
+    both = F.concat(F.lit(r"\G((?s:.*?))("), java, F.lit("())"))
+    all_of = lambda i: F.regexp_extract_all(text, both, F.lit(i))
+
+    def made(hits: Column, ends: Column, parts: Column) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(h.alias("text"), (F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), F.coalesce(F.get(parts, i), F.lit("")).alias("part")))
+
+    parts = F.array().cast("array<string>") if group is None else F.when(group, all_of(3)).otherwise(F.array().cast("array<string>"))
+    return let(all_of(2), lambda hits: let(running(F.transform(all_of(0), F.length)), lambda ends: let(parts, lambda p: made(hits, ends, p))))
+
+
 def spans(text: Column, pattern: str, flags: str = "") -> Column:
     """Array of (text, start, end); empty for null or without a match.  Groups of the pattern must not be referred to."""
     java = to_java(pattern, flags)
-    both = F.lit(r"\G((?s:.*?))(" + java + ")")
-    gaps, hits = F.regexp_extract_all(text, both, F.lit(1)), F.regexp_extract_all(text, both, F.lit(2))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["hit"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    found = F.transform(places(text, F.lit(java)), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end")))
     # The plain test runs first: most texts have no match, and it is the cheaper one.
-    return F.when(possible(text, pattern, flags) & text.rlike(java), F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    return F.when(possible(text, pattern, flags) & text.rlike(java), found).otherwise(F.array().cast(SPAN))
 
 
 def count_matches(text: Column, pattern: str, flags: str = "") -> Column:
     return F.when(possible(text, pattern, flags), F.regexp_count(text, F.lit(to_java(pattern, flags)))).otherwise(0)
-
-
-def replaced(text: Column, at: Column, placeholder: str = "placeholder") -> Column:
-    """``text`` with each span of ``at`` replaced by its field ``placeholder``, last start first, as one fold."""
-    order = F.array_sort(at, lambda a, b: F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).otherwise(a["ord"] - b["ord"]))
-    return F.aggregate(order, text, lambda acc, d: F.concat(F.substring(acc, F.lit(1), d["start"]), d[placeholder], F.substring(acc, d["end"] + 1, F.length(acc))))

@@ -1,94 +1,89 @@
-"""Detection over a table of documents: both engines as one vectorised function, single rules as Spark expressions.
+"""Detection over a table of documents: both engines as expressions of one row, in the JVM.
 
 Each document is read once, in one stage and without a shuffle, so detection scales with the input's partitions and runs
-the same on a stream.  For one or a few rules :func:`detect_native` keeps everything inside the JVM.
+the same on a stream.  A user's terms are patterns among the others here, which suits the hundreds that a configuration
+holds; :mod:`hushframe.operators.terms` finds any number of them by an index.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import checks as C
 from hushframe.functions import fixed_values as V
-from hushframe.functions import rules as R
-from hushframe.functions.dialect import requirements
-from hushframe.functions.spans import SPAN, spans
+from hushframe.functions import native as N
+from hushframe.functions.arrays import blocks, firsts, let, part, running
+from hushframe.functions.dialect import SPACES
+from hushframe.functions.spans import SPAN, places, spans
 from hushframe.plans.config import Config
 
-ENTITY = "struct<text:string,type:string,start:int,end:int,confidence:int,emission:int>"
+ENTITY = N.ENTITY
 DETECTION = "struct<text:string,category:string,subcategory:string,confidence:int,start:int,end:int,placeholder:string,context:string,approved:boolean,emission:int>"
-#: Spans of a document that are kept, as the application does; None keeps all.
+#: Spans of a document that the application keeps, to be given as ``kept``; the default None keeps all.
 KEPT = 1000
+AROUND = 50
 
-_ENTITY_TYPE = pa.list_(pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.int32()), ("emission", pa.int32())]))
-_DETECTION_TYPE = pa.list_(
-    pa.struct(
-        [("text", pa.string()), ("category", pa.string()), ("subcategory", pa.string()), ("confidence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
-         ("placeholder", pa.string()), ("context", pa.string()), ("approved", pa.bool_()), ("emission", pa.int32())]
-    )
-)
-_EXTRA: list[R.Rule] = []
+_EXTRA: list[N.Rule] = []
 
 
-def register_rule(rule: R.Rule) -> None:
+def register_rule(rule: N.Rule) -> None:
     """A rule of the user's own, after the built-in ones; spans that a built-in rule has found stay as they are."""
     _EXTRA.append(rule)
 
 
-def _mapped(df: DataFrame, text: str, name: str, kind: pa.DataType, sql_type: str, run) -> DataFrame:
-    df = df.drop(name)
-    place = df.columns.index(text)
+def term_patterns(words: Iterable[str]) -> list[tuple[str, str]]:
+    """Patterns of a user's words: lower-cased, trimmed, each once."""
+    return [(rf"\b{re.escape(w)}\b", "i") for w in dict.fromkeys(w.strip().lower() for w in words) if w]
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([[x._asdict() for x in run(t.as_py())] for t in batch.column(place)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
-    return df.mapInArrow(over, df.select("*", F.expr(f"cast(array() as array<{sql_type}>)").alias(name)).schema)
+def people(text: Column, first_names: Iterable[str]) -> Column:
+    """Persons (text, start, end, confidence) by a dictionary: a known first name with one or two capitalised words
+    after it, none of which is a word that names don't have; then every place of each such name, in any case.  No language model is used,
+    so this finds other names than one would."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)))
+    names = F.filter(found, lambda n: known_person(n, first_names))
+    each = F.flatten(F.transform(names, lambda n: places(text, F.concat(F.lit(r"(?i)(?<!\w)"), n, F.lit(r"(?!\w)")))))
+    return F.coalesce(F.transform(each, lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), F.lit(85).alias("confidence"))), F.array().cast("array<struct<text:string,start:int,end:int,confidence:int>>"))
 
 
-def detect(df: DataFrame, text: str = "text", names: Iterable[str] = (), first_names: Iterable[str] = (), kept: int | None = KEPT) -> DataFrame:
-    """``df`` with ``entities`` of engine A: user's names first, names by heuristics, then all built-in types.
+#: Two or three capitalised words in a row, without a possessive.
+CAPITALISED = r"(?<!\w)[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}(?!\w|'s)"
+
+
+def known_person(name: Column, first_names: Iterable[str]) -> Column:
+    """Whether the first word of a name is known and none of its words is one that names don't have."""
+    parts = F.split(F.lower(name), " ")
+    return F.get(parts, 0).isin(sorted({n.lower() for n in first_names})) & no_role(name)
 
-    Null or empty text has none.  ``kept`` cuts after sorting by place.
-    """
-    known = frozenset(x.lower() for x in first_names)
-    rules = [R.Rule("person", 100, R.terms(names))]
-    if known:
-        rules.append(R.Rule("person", 85, [], accept=None))
-    rules += [*R.built_in(), *_EXTRA]
 
-    def run(t: str | None) -> list[R.Entity]:
-        if not t:
-            return []
-        found = R.detect(t, rules) if not known else _with_people(t, rules, known)
-        return found[:kept]
+def no_role(name: Column) -> Column:
+    return ~F.arrays_overlap(F.split(F.lower(name), " "), F.array(*map(F.lit, V.NOT_A_NAME)))
 
-    return _mapped(df, text, "entities", _ENTITY_TYPE, ENTITY, run)
 
+def detect(df: DataFrame, text: str = "text", names: Iterable[str] = (), first_names: Iterable[str] = (), kept: int | None = None) -> DataFrame:
+    """``df`` with ``entities`` of engine A: user's names first, names by a dictionary, then all built-in types.
 
-def _with_people(t: str, rules: list[R.Rule], known: frozenset[str]) -> list[R.Entity]:
-    out: dict[tuple[int, int], R.Entity] = {}
-    for i, rule in enumerate(rules):
-        for value, start, confidence in R.people(t, known) if i == 1 else R.matches(rule, t):
-            if value and (key := (start, start + len(value))) not in out:
-                out[key] = R.Entity(value, rule.type, *key, confidence, len(out))
-    return sorted(out.values(), key=lambda e: (e.start, e.emission))
+    Null or empty text has none.  ``kept`` cuts after sorting by place.
+    """
+    known = list(first_names)
+    own = N.Rule("person", 100, term_patterns(names))
+    found = N.entities(F.col(text), [own, *N.built_in(), *_EXTRA], people(F.col(text), known) if known else None)
+    return df.withColumn("entities", found if kept is None else F.slice(found, 1, kept))
 
 
 def person_names(df: DataFrame, names: Iterable[str], text: str = "text") -> DataFrame:
     """``df`` with ``persons``: every place of the user's names, without removing equal spans."""
-    rule = R.Rule("person", 100, R.terms(names))
-    run = lambda t: [R.Entity(v, "person", s, s + len(v), c, i) for i, (v, s, c) in enumerate(R.matches(rule, t or ""))]
-    return _mapped(df, text, "persons", _ENTITY_TYPE, ENTITY, run)
+    found = N.scan(F.col(text), [N.Patterns(term_patterns(names))])
+    one = lambda x, i: F.struct(x["text"].alias("text"), F.lit("person").alias("type"), x["start"].alias("start"), x["end"].alias("end"), F.lit(100).alias("confidence"), i.alias("emission"))
+    return df.withColumn("persons", F.coalesce(F.transform(found, one), F.array().cast(f"array<{ENTITY}>")))
 
 
-#: Rules that are one expression: pattern, flags, check and confidence (or what gives it for a span) by type.
+#: Types that are one expression without the table of patterns: pattern, flags, check and confidence (or what gives it for a span).
 NATIVE: dict[str, tuple[list[tuple[str, str]], object, object]] = {
     "email": (V.EMAILS, C.email_column, 95),
     "credit_card": (V.CARDS, C.card_column, 95),
@@ -100,7 +95,7 @@ NATIVE: dict[str, tuple[list[tuple[str, str]], object, object]] = {
     "medical_record": (V.MEDICAL, None, 90),
     "company_code": (V.COMPANY_CODES, None, 90),
     "gps": (V.GPS, None, 90),
-    "financial": (R._filled(V.FINANCIAL, V.AMOUNT_PARTS), None, 95),
+    "financial": (N.filled(V.FINANCIAL, V.AMOUNT_PARTS), None, 95),
     "phone": (V.PHONES, lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")).between(7, 15), 85),
 }
 
@@ -116,8 +111,11 @@ def native_spans(text: Column, kind: str) -> Column:
 
 
 def detect_native(df: DataFrame, kinds: Iterable[str], text: str = "text") -> DataFrame:
-    """``df`` with one row for each span of the given types, in the JVM alone: start, end, span_text, type, confidence."""
-    found = F.concat(*(native_spans(F.col(text), k) for k in kinds))
+    """``df`` with one row for each span of the given types, each type on its own: start, end, span_text, type, confidence."""
+    kinds, of = list(kinds), {r.type: r for r in N.built_in()}
+    table = [k for k in kinds if k not in NATIVE]
+    own = [F.transform(N.entities(F.col(text), [of[k]]), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "text", "type", "confidence")))) for k in table]
+    found = F.concat(*(native_spans(F.col(text), k) for k in kinds if k in NATIVE), *own)
     out = df.select("*", F.explode(found).alias("__s"))
     return out.select(*df.columns, F.col("__s.start").alias("start"), F.col("__s.end").alias("end"), F.col("__s.text").alias("span_text"), F.col("__s.type").alias("type"), F.col("__s.confidence").alias("confidence"))
 
@@ -129,78 +127,94 @@ def native_type() -> str:
 # Engine B
 
 
-def _context(text: str, start: int, end: int, around: int = 50) -> str:
-    a, z = max(0, start - around), min(len(text), end + around)
-    return ("..." if a else "") + text[a:z] + ("..." if z < len(text) else "")
-
-
-class _Steps:
-    """The parts of engine B that a configuration turns on, in their order."""
-
-    def __init__(self, config: Config) -> None:
-        s, self.config = config.detection, config
-        on = set(s.categories)
-        self.steps = []
-        for _, category, sub, confidence, template, check, flags, pattern in V.RULES:
-            if category in on and confidence >= s.min_confidence:
-                self.steps.append((category, sub, confidence, template, C.BY_NAME.get(check), s.auto_mask and confidence >= 90, [(pattern, flags, None)]))
-        word = lambda w: rf"\b{re.escape(w)}\b"
-        auto = s.auto_mask
-        if config.company.name and "company" in on:
-            self.steps.append(("company", "company_name", 100, "<COMPANY_NAME>", None, auto, [(word(w), "i", None) for w in [config.company.name, *config.company.aliases] if w]))
-        if "technical" in on:
-            self.steps.append(("technical", "internal_url", 95, "<INTERNAL_URL_{n}>", None, auto, [(rf"https?://[^\s]*{(d := re.escape(x))}[^\s]*|\b[a-zA-Z0-9.-]*\.{d}\b", "i", None) for x in config.company.domains if x]))
-        if "custom" in on:
-            self.steps.append(("custom", "keyword", 100, "<KEYWORD_{n}>", None, auto, [(word(w), "i", None) for w in config.custom.keywords if w]))
-            for sub, template, group in (("client", "<CLIENT_{n}>", config.custom.clients), ("project", "<PROJECT_{n}>", config.custom.projects)):
-                self.steps.append(("custom", sub, 100, template, None, auto, [(word(w), "i", e.name) for e in group for w in [e.name, *e.aliases] if w]))
-
-    def run(self, text: str | None, persons: Iterable[tuple[str, int]] = ()) -> list[dict]:
-        if not text or len(text) < 3:
-            return []
-        seen: set[tuple[int, int]] = set()
-        chars = frozenset(text)
-        numbers: dict[str, dict[str, int]] = {}
-        out: list[dict] = []
-
-        def add(category, sub, confidence, template, approved, value, start, name) -> None:
-            own = numbers.setdefault(template.replace("_{n}", ""), {})
-            n = own.setdefault((name or value).lower().strip(), len(own) + 1)
-            out.append({"text": value, "category": category, "subcategory": sub, "confidence": confidence, "start": start, "end": start + len(value), "placeholder": template.replace("{n}", str(n)), "context": _context(text, start, start + len(value)), "approved": approved, "emission": len(out)})
-
-        def step(category, sub, confidence, template, check, approved, patterns) -> None:
-            for pattern, flags, name in patterns:
-                if any(need.isdisjoint(chars) for need in requirements(pattern, flags)):
-                    continue
-                for m in R._compiled(pattern, flags).finditer(text):
-                    if m.span() in seen or not m[0] or check and not check(m[0]):
-                        continue
-                    seen.add(m.span())
-                    add(category, sub, confidence, template, approved, m[0], m.start(), name)
-
-        built_in = [s for s in self.steps if s[1] not in ("company_name", "internal_url", "keyword", "client", "project")]
-        for s in built_in:
-            step(*s)
-        if "pii" in self.config.detection.categories:
-            for value, start in persons:
-                if (start, start + len(value)) not in seen:
-                    seen.add((start, start + len(value)))
-                    add("pii", "person_name", 75, "<PERSON_{n}>", False, value, start, None)
-        for s in self.steps[len(built_in) :]:
-            step(*s)
-        return sorted(out, key=lambda d: (d["start"], d["emission"]))
+class Step(NamedTuple):
+    """One pattern of engine B with all that its spans get; ``name`` is numbered in place of the value, if there is one."""
+
+    category: str
+    subcategory: str
+    confidence: int
+    template: str
+    check: str
+    approved: bool
+    pattern: str
+    flags: str
+    name: str | None = None
+    dotted: bool = False
+
+
+def steps_of(config: Config, names: Iterable[str] = ()) -> list[Step]:
+    """What a configuration turns on, in order: the rule table, persons, company names, domains, keywords, clients, projects."""
+    s, on = config.detection, set(config.detection.categories)
+    word = lambda w: rf"\b{re.escape(w)}\b"
+    auto, out = s.auto_mask, []
+    for rule, category, sub, confidence, template, check, flags, pattern in V.RULES:
+        if category in on and confidence >= s.min_confidence:
+            out.append(Step(category, sub, confidence, template, check, auto and confidence >= 90, pattern, flags, dotted=rule in ("tech-ipv4", "tech-domain")))
+    if "pii" in on:
+        out += [Step("pii", "person_name", 75, "<PERSON_{n}>", "", False, p, f) for p, f in term_patterns(names)]
+    if config.company.name and "company" in on:
+        out += [Step("company", "company_name", 100, "<COMPANY_NAME>", "", auto, word(w), "i") for w in [config.company.name, *config.company.aliases] if w]
+    if "technical" in on:
+        out += [Step("technical", "internal_url", 95, "<INTERNAL_URL_{n}>", "", auto, rf"https?://[^\s]*{(d := re.escape(x))}[^\s]*|\b[a-zA-Z0-9.-]*\.{d}\b", "i") for x in config.company.domains if x]
+    if "custom" in on:
+        out += [Step("custom", "keyword", 100, "<KEYWORD_{n}>", "", auto, word(w), "i") for w in config.custom.keywords if w]
+        for sub, template, group in (("client", "<CLIENT_{n}>", config.custom.clients), ("project", "<PROJECT_{n}>", config.custom.projects)):
+            out += [Step("custom", sub, 100, template, "", auto, word(w), "i", e.name) for e in group for w in [e.name, *e.aliases] if w]
+    return out
+
+
+def ranked(found: Column) -> Column:
+    """For an array of (t, v, x): array of (i, n, x), where i is the place and n the rank of v's first place among all v of
+    the same t.  Sorts and sums of the array alone, so a text of many findings costs little more than its length."""
+
+    def members(by_value: Column, heads: Column) -> Column:
+        order = F.sort_array(F.transform(heads, lambda h, j: F.struct(h["t"].alias("t"), h["i"].alias("i"), j.alias("j"))))
+
+        def numbers(o: Column) -> Column:
+            begins = running(F.transform(o, lambda x, k: F.when((k > 0) & (F.get(o, k - 1)["t"] == x["t"]), 0).otherwise(k)), F.greatest)
+            return let(begins, lambda b: F.sort_array(F.transform(o, lambda x, k: F.struct(x["j"].alias("j"), (k - F.get(b, k) + 1).alias("n")))))
+
+        head = running(F.transform(by_value, lambda x, q: F.when((q > 0) & (F.get(by_value, q - 1)["t"] == x["t"]) & (F.get(by_value, q - 1)["v"] == x["v"]), 0).otherwise(1)))
+        made = lambda n: let(head, lambda h: F.transform(by_value, lambda x, q: F.struct(x["i"].alias("i"), F.get(n, F.get(h, q) - 1)["n"].alias("n"), x["x"].alias("x"))))
+        return F.sort_array(let(order, lambda o: let(numbers(o), made)))
+
+    by_value = F.sort_array(F.transform(found, lambda x, i: F.struct(x["t"].alias("t"), x["v"].alias("v"), i.alias("i"), x["x"].alias("x"))))
+    return let(by_value, lambda s: let(firsts(s, lambda x: F.struct(x["t"], x["v"])), lambda heads: members(s, heads)))
+
+
+def rule_detections(text: Column, steps: list[Step]) -> Column:
+    """Array of DETECTION."""
+    of = lambda values, x: F.get(F.array(*values), x["rule"])
+    checks = {name: [i for i, s in enumerate(steps) if s.check == name] for name in C.COLUMN_BY_NAME}
+    right = lambda x: F.coalesce(*(F.when(x["rule"].isin(own), C.COLUMN_BY_NAME[name](x["text"])) for name, own in checks.items() if own), F.lit(True))
+    found = F.filter(N.scan(text, [N.Patterns([(s.pattern, s.flags)], dotted=s.dotted) for s in steps]), lambda x: (x["text"] != "") & right(x))
+
+    def keyed(x: Column) -> Column:
+        value = F.coalesce(of([F.lit(s.name) for s in steps], x), x["text"])
+        norm = F.regexp_replace(F.regexp_replace(F.lower(value), f"^[{SPACES}]+", ""), rf"[{SPACES}]+\z", "")
+        return F.struct(of([F.lit(s.template.replace("_{n}", "")) for s in steps], x).alias("t"), norm.alias("v"), x.alias("x"))
+
+    def made(blocks_: Column, e: Column) -> Column:
+        x, s = e["x"], F.greatest(F.lit(0), e["x"]["start"] - AROUND)
+        end = F.least(F.length(text), x["end"] + AROUND)
+        context = F.concat(F.when(s > 0, "...").otherwise(""), part(blocks_, s, end), F.when(end < F.length(text), "...").otherwise(""))
+        return F.struct(
+            x["text"].alias("text"), of([F.lit(s.category) for s in steps], x).alias("category"), of([F.lit(s.subcategory) for s in steps], x).alias("subcategory"),
+            of([F.lit(s.confidence) for s in steps], x).alias("confidence"), x["start"].alias("start"), x["end"].alias("end"),
+            F.replace(of([F.lit(s.template) for s in steps], x), F.lit("{n}"), e["n"].cast("string")).alias("placeholder"), context.alias("context"),
+            of([F.lit(s.approved) for s in steps], x).alias("approved"), e["i"].cast("int").alias("emission"),
+        )
+
+    def all_of(found: Column) -> Column:
+        ordered = F.sort_array(F.transform(ranked(F.transform(N.kept_first(found), keyed)), lambda e: F.struct(e["x"]["start"].alias("start"), e["i"].alias("i"), e.alias("e"))))
+        return let(blocks(text), lambda b: F.transform(ordered, lambda o: made(b, o["e"])))
+
+    none = F.array().cast(f"array<{DETECTION}>")
+    return F.coalesce(F.when(F.length(text) >= 3, let(found, lambda f: F.when(F.size(f) > 0, all_of(f)))), none)
 
 
 def detect_rules(df: DataFrame, config: Config, text: str = "text", names: Iterable[str] = ()) -> DataFrame:
     """``df`` with ``detections`` of engine B: the rules and terms that ``config`` turns on, with placeholders numbered by
     first place in order of emission, within the document."""
-    steps, people = _Steps(config), R.Rule("person", 100, R.terms(names))
-    df = df.drop("detections")
-    place = df.columns.index(text)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [steps.run(t.as_py(), [(v, s) for v, s, _ in R.matches(people, t.as_py() or "")]) for t in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, _DETECTION_TYPE)], [*batch.schema.names, "detections"])
-
-    return df.mapInArrow(over, df.select("*", F.expr(f"cast(array() as array<{DETECTION}>)").alias("detections")).schema)
+    steps = steps_of(config, names)
+    return df.withColumn("detections", rule_detections(F.col(text), steps) if steps else F.array().cast(f"array<{DETECTION}>"))

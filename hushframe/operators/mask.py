@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hushframe.functions import fixed_values as V
+from hushframe.functions.arrays import blocks, let, part, running
 
 AROUND = 30
 
@@ -32,48 +31,61 @@ def to_detections(df: DataFrame, text: str = "text") -> DataFrame:
     """``entities`` as ``detections``: category, subcategory, fraction of confidence, placeholder by place in the list,
     context and approval, as the live path of the application gives them."""
 
-    def one(e: Column, i: Column) -> Column:
+    def one(of: Column, e: Column, i: Column) -> Column:
         start = F.greatest(F.lit(0), e["start"] - AROUND)
         return F.struct(
             F.concat_ws("-", F.lit("detection"), i, e["start"]).alias("id"), e["text"].alias("text"), category_of(e["type"]).alias("category"),
             F.concat(F.upper(F.substring(e["type"], 1, 1)), F.substring(e["type"], 2, 100)).alias("subcategory"), F.lit(0.85).alias("confidence"),
             e["start"].alias("start"), e["end"].alias("end"), F.concat(F.lit("["), prefix_of(e["type"]), F.lit("_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
-            F.substring(F.col(text), start + 1, e["end"] + AROUND - start).alias("context"), F.lit(True).alias("approved"), i.alias("ord"),
+            part(of, start, F.least(F.length(text), e["end"] + AROUND)).alias("context"), F.lit(True).alias("approved"), i.alias("ord"),
         )
 
-    return df.withColumn("detections", F.transform("entities", one))
+    return df.withColumn("detections", let(F.when(F.size("entities") > 0, blocks(F.col(text))), lambda of: F.transform("entities", lambda e, i: one(of, e, i))))
 
 
 def valid(d: Column, text: Column) -> Column:
     return d["approved"] & (d["start"] >= 0) & (d["end"] > d["start"]) & (d["end"] <= F.length(text)) & d["placeholder"].isNotNull()
 
 
+def _joined(of: Column, text: Column, pieces: Column) -> Column:
+    """``text`` with the stretches ``pieces`` (start, end, p), which are in order and apart, replaced by their ``p``."""
+    ends = lambda j: F.coalesce(F.get(pieces, j - 1)["end"], F.lit(0))
+    parts = F.transform(pieces, lambda x, j: F.concat(part(of, F.when(j == 0, 0).otherwise(ends(j)), x["start"]), x["p"]))
+    last = F.coalesce(F.element_at(F.transform(F.slice(pieces, F.greatest(F.lit(1), F.size(pieces)), 1), lambda x: x["end"]), 1), F.lit(0))
+    return F.concat(F.array_join(parts, ""), part(of, last, F.length(text)))
+
+
+def _by_place(at: Column) -> Column:
+    """(start, ord, end, p) of detections, in order."""
+    return F.sort_array(F.transform(at, lambda d: F.struct(d["start"].alias("start"), d["ord"].alias("ord"), d["end"].alias("end"), d["placeholder"].alias("p"))))
+
+
+def _reach(s: Column) -> Column:
+    """How far the spans up to each one reach."""
+    return running(F.transform(s, lambda d: d["end"]), F.greatest)
+
+
 def _safe(text: Column, at: Column) -> Column:
     """``text`` with each run of spans that meet replaced as a whole, by the placeholder of its longest (then first) span."""
-    order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
-
-    def reach_of(s: Column) -> Column:
-        """How far the spans before each one reach, and all of them; a span that begins there or later begins a run."""
-        return F.aggregate(F.transform(s, lambda d: d["end"]), F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
 
-    def heads_of(s: Column, reach: Column) -> Column:
-        both = F.transform(s, lambda d, i: F.struct(d["start"].alias("start"), i.alias("i"), F.get(reach, i).alias("reach")))
-        return F.filter(both, lambda x: x["start"] >= x["reach"])
+    def runs(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda d, i: F.struct(d["start"].alias("start"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["start"] >= F.get(reach, x["i"] - 1)))
 
-    def joined(s: Column, reach: Column, heads: Column) -> Column:
-        def piece(h: Column, j: Column) -> Column:
-            size = F.coalesce(F.get(heads, j + 1)["i"], F.size(s)) - h["i"]
-            longest = F.array_max(F.transform(F.slice(s, h["i"] + 1, size), lambda d: F.struct((d["end"] - d["start"]).alias("n"), (-d["start"]).alias("s"), (-d["ord"]).alias("o"), d["placeholder"].alias("p"))))
-            return F.concat(F.substring(text, h["reach"] + 1, h["start"] - h["reach"]), longest["p"])
+        def one(h: Column, j: Column, all_heads: Column) -> Column:
+            size = F.coalesce(F.get(all_heads, j + 1)["i"], F.size(s)) - h["i"]
+            longest = F.array_max(F.transform(F.slice(s, h["i"] + 1, size), lambda d: F.struct((d["end"] - d["start"]).alias("n"), (-d["start"]).alias("s"), (-d["ord"]).alias("o"), d["p"].alias("p"))))
+            return F.struct(h["start"].alias("start"), F.get(reach, h["i"] + size - 1).alias("end"), longest["p"].alias("p"))
 
-        return F.concat(F.array_join(F.transform(heads, piece), ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+        return let(heads, lambda all_heads: F.transform(all_heads, lambda h, j: one(h, j, all_heads)))
 
-    return _let(order, lambda s: _let(reach_of(s), lambda reach: _let(heads_of(s, reach), lambda heads: joined(s, reach, heads))))
+    pieces = let(_by_place(at), lambda s: let(_reach(s), lambda reach: runs(s, reach)))
+    return let(pieces, lambda x: let(blocks(text), lambda of: _joined(of, text, x)))
 
 
-def _let(value: Column, over: Callable[[Column], Column]) -> Column:
-    """``over`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), over), 1)
+def _spliced(text: Column, at: Column) -> Column:
+    """From the last start to the first, each at its places in the original text."""
+    order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], b["start"] - a["start"]).otherwise(a["ord"] - b["ord"]))
+    return F.aggregate(order, text, lambda acc, d: F.concat(F.substring(acc, F.lit(1), d["start"]), d["placeholder"], F.substring(acc, d["end"] + 1, F.length(acc))))
 
 
 def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
@@ -82,12 +94,20 @@ def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     ``compat`` replaces from the last start to the first at the places of the original text, so overlapping spans damage
     what lies between, as the application does; ``safe`` replaces spans that overlap as one, so nothing of any is left;
     ``unchecked`` is ``compat`` without looking whether places lie within the text (beyond its end, it is appended to).
+    Texts whose spans lie apart are put together from pieces; only those with overlapping spans in a mode other than ``safe`` are
+    spliced span by span, each of which costs a copy of the text.
     """
     at = F.filter(detections, lambda d: d["approved"] if mode == "unchecked" else valid(d, text))
     if mode == "safe":
-        return _safe(text, at)
-    order = F.array_sort(at, lambda a, b: F.when(a["start"] != b["start"], b["start"] - a["start"]).otherwise(a["ord"] - b["ord"]))
-    return F.aggregate(order, text, lambda acc, d: F.concat(F.substring(acc, F.lit(1), d["start"]), d["placeholder"], F.substring(acc, d["end"] + 1, F.length(acc))))
+        return F.when(F.size(at) > 0, _safe(text, at)).otherwise(text)
+
+    def apart(s: Column, reach: Column) -> Column:
+        return F.forall(F.transform(s, lambda d, i: (d["start"] >= F.when(i == 0, 0).otherwise(F.get(reach, i - 1))) & (d["end"] >= d["start"]) & (d["end"] <= F.length(text))), lambda x: x)
+
+    def either(a: Column) -> Column:
+        return let(_by_place(a), lambda s: F.when(let(_reach(s), lambda reach: apart(s, reach)), let(blocks(text), lambda of: _joined(of, text, s))).otherwise(_spliced(text, a)))
+
+    return F.when(F.size(at) > 0, let(at, either)).otherwise(text)
 
 
 def mask(df: DataFrame, text: str = "text", mode: str = "safe") -> DataFrame:
@@ -108,17 +128,17 @@ def placeholder(template: Column, number: Column) -> Column:
 
 def segments(text: Column, detections: Column) -> Column:
     """The text in pieces for display: (piece, ord of the detection or null); overlapping spans repeat text."""
-    order = F.array_sort(F.filter(detections, lambda d: d["approved"] & (d["end"] > d["start"])), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<piece:string,ord:int>>)").alias("out"))
+    at = F.filter(detections, lambda d: d["approved"] & (d["end"] > d["start"]))
 
-    def step(acc: Column, d: Column) -> Column:
-        plain = F.struct(F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), d["start"] - acc["at"])).alias("piece"), F.lit(None).cast("int").alias("ord"))
-        own = F.struct(F.substring(text, d["start"] + 1, d["end"] - d["start"]).alias("piece"), d["ord"].cast("int").alias("ord"))
-        return F.struct(d["end"].alias("at"), F.concat(acc["out"], F.array(plain, own)).alias("out"))
+    def of_all(s: Column, of: Column) -> Column:
+        n = F.length(text)
+        cut = lambda a, z: part(of, F.least(a, n), F.greatest(F.least(a, n), F.least(z, n)))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])
+        pieces = F.transform(s, lambda d, i: F.array(F.struct(cut(before(i), d["start"]).alias("piece"), F.lit(None).cast("int").alias("ord")), F.struct(cut(d["start"], d["end"]).alias("piece"), d["ord"].cast("int").alias("ord"))))
+        rest = F.struct(cut(F.coalesce(F.element_at(F.transform(F.slice(s, F.greatest(F.lit(1), F.size(s)), 1), lambda d: d["end"]), 1), F.lit(0)), n).alias("piece"), F.lit(None).cast("int").alias("ord"))
+        return F.filter(F.concat(F.flatten(pieces), F.array(rest)), lambda x: x["piece"] != "")
 
-    got = F.aggregate(order, zero, step)
-    rest = F.struct(F.substring(text, got["at"] + 1, F.length(text)).alias("piece"), F.lit(None).cast("int").alias("ord"))
-    return F.filter(F.concat(got["out"], F.array(rest)), lambda x: x["piece"] != "")
+    return let(_by_place(at), lambda s: let(blocks(text), lambda of: of_all(s, of)))
 
 
 def placeholders_in(text: Column) -> Column:

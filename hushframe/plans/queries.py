@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.functions import fixed_values as V
-from hushframe.functions import rules as R
+from hushframe.functions import native as N
 from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report
@@ -47,7 +47,7 @@ def re2(pattern: str, flags: str = "") -> str:
     return ("(?i)" if "i" in flags else "").join(["", p]).replace("'", "''")
 
 
-EMAIL, IPV4, CARD16 = V.EMAILS[0][0], R._filled(V.IPS[:1], V.IP_PARTS)[0][0], r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
+EMAIL, IPV4, CARD16 = V.EMAILS[0][0], N.filled(V.IPS[:1], V.IP_PARTS)[0][0], r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
 PLUS, SECRET, NUMBER, DOMAIN = V.PHONES[0][0], V.RULES[26][-1], V.SAUDI_IDS[0][0], V.RULES[12][-1]
 
 
@@ -265,7 +265,7 @@ _case_spans("vin", V.VINS, "regexp_matches(span_text, '[A-Z]') AND regexp_matche
 _case_spans("medical_record", V.MEDICAL)
 _case_spans("company_code", V.COMPANY_CODES)
 _case_spans("api_key", V.API_KEYS)
-_case_spans("financial", R._filled(V.FINANCIAL, V.AMOUNT_PARTS))
+_case_spans("financial", N.filled(V.FINANCIAL, V.AMOUNT_PARTS))
 _case_spans("gps", V.GPS)
 
 HASHES = [("ffd8c3a100000001", "ffd8c3a100000000"), ("0000000000000000", "ffffffffffffffff"), ("8f0f1e3c7c78f0f0", "8f0f1e3c7c78f0f0"), ("abcd", "8f0f1e3c7c78f0f0")]

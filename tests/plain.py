@@ -1,4 +1,4 @@
-"""Rules of the two detection engines, and the matcher that runs all of them over one text.
+"""A plain matcher, to hold the expressions against: both engines over one text, by Python's ``re``.
 
 Engine A has types with several patterns each, in an order that decides which of two equal spans stays.  Engine B has a
 table of rules with category, confidence and placeholder template, and terms from a configuration.
@@ -14,6 +14,7 @@ from typing import NamedTuple
 from hushframe.functions import checks as C
 from hushframe.functions import fixed_values as V
 from hushframe.functions.dialect import SPACES, requirements, to_python
+from hushframe.plans.config import Config
 
 Found = tuple[str, int, int]  # value, start, confidence
 _SPACE = re.compile(f"[{SPACES}]+")
@@ -98,7 +99,6 @@ def _phone(value: str) -> bool:
 def built_in() -> list[Rule]:
     """Engine A in the order of emission, without terms of a user and without names by heuristics."""
     names = {"FIRST": "|".join([*V.ARABIC_FIRST, *V.ARABIC_FIRST_FEMALE]), "FAMILY": "|".join(V.ARABIC_FAMILY)}
-    dates = {k: v.replace("(?:", "(?:") for k, v in V.DATE_PARTS.items()}
     return [
         Rule("person", 85, _filled(V.ARABIC_NAMES, names), words=frozenset([*V.ARABIC_FIRST, *V.ARABIC_FIRST_FEMALE]), accept=_arabic),
         Rule("financial", 95, _filled(V.FINANCIAL, V.AMOUNT_PARTS)),
@@ -112,7 +112,7 @@ def built_in() -> list[Rule]:
         Rule("saudi_id", 90, V.SAUDI_IDS, accept=_saudi_id),
         Rule("ssn", 95, V.SSNS, accept=_if(C.ssn)),
         Rule("passport", 85, V.PASSPORTS, group=True, accept=_if(lambda v: 6 <= len(v) <= 12)),
-        Rule("dob", 85, _filled(V.BIRTH_DATES, dates), once=True),
+        Rule("dob", 85, _filled(V.BIRTH_DATES, V.DATE_PARTS), once=True),
         Rule("mac_address", 95, V.MACS),
         Rule("api_key", 95, V.API_KEYS),
         Rule("license_plate", 85, V.PLATES, group=True, once=True, accept=_if(C.has_letter_and_digit)),
@@ -195,10 +195,85 @@ def people(text: str, first_names: frozenset[str]) -> Iterator[Found]:
     so this finds other names than one would."""
     refused = frozenset(V.NOT_A_NAME)
     found: dict[str, None] = {}
-    for m in re.finditer(r"(?<!\w)([A-Z][a-z]+)((?: [A-Z][a-z]+){1,2})(?!\w|'s)", text):
+    for m in re.finditer(r"(?<!\w)([A-Z][a-z]+)((?: [A-Z][a-z]+){1,2})(?!\w|'s)", text, re.ASCII):
         parts = m[0].split()
         if parts[0].lower() in first_names and not any(p.lower() in refused for p in parts):
             found[m[0]] = None
     for name in found:
-        for m in re.finditer(rf"\b{re.escape(name)}\b", text, re.ASCII):
-            yield name, m.start(), 85
+        for m in re.finditer(rf"\b{re.escape(name)}\b", text, re.ASCII | re.IGNORECASE):
+            yield m[0], m.start(), 85
+
+
+def with_people(text: str, rules: list[Rule], known: frozenset[str]) -> list[Entity]:
+    """Engine A with names by a dictionary, after the user's own (the first rule)."""
+    out: dict[tuple[int, int], Entity] = {}
+    for found, kind in [(matches(rules[0], text), rules[0].type), (people(text, known), "person"), *((matches(r, text), r.type) for r in rules[1:])]:
+        for value, start, confidence in found:
+            if value and (key := (start, start + len(value))) not in out:
+                out[key] = Entity(value, kind, *key, confidence, len(out))
+    return sorted(out.values(), key=lambda e: (e.start, e.emission))
+
+
+# Engine B
+
+
+def _context(text: str, start: int, end: int, around: int = 50) -> str:
+    a, z = max(0, start - around), min(len(text), end + around)
+    return ("..." if a else "") + text[a:z] + ("..." if z < len(text) else "")
+
+
+class _Steps:
+    """The parts of engine B that a configuration turns on, in their order."""
+
+    def __init__(self, config: Config) -> None:
+        s, self.config = config.detection, config
+        on = set(s.categories)
+        self.steps = []
+        for _, category, sub, confidence, template, check, flags, pattern in V.RULES:
+            if category in on and confidence >= s.min_confidence:
+                self.steps.append((category, sub, confidence, template, C.BY_NAME.get(check), s.auto_mask and confidence >= 90, [(pattern, flags, None)]))
+        word = lambda w: rf"\b{re.escape(w)}\b"
+        auto = s.auto_mask
+        if config.company.name and "company" in on:
+            self.steps.append(("company", "company_name", 100, "<COMPANY_NAME>", None, auto, [(word(w), "i", None) for w in [config.company.name, *config.company.aliases] if w]))
+        if "technical" in on:
+            self.steps.append(("technical", "internal_url", 95, "<INTERNAL_URL_{n}>", None, auto, [(rf"https?://[^\s]*{(d := re.escape(x))}[^\s]*|\b[a-zA-Z0-9.-]*\.{d}\b", "i", None) for x in config.company.domains if x]))
+        if "custom" in on:
+            self.steps.append(("custom", "keyword", 100, "<KEYWORD_{n}>", None, auto, [(word(w), "i", None) for w in config.custom.keywords if w]))
+            for sub, template, group in (("client", "<CLIENT_{n}>", config.custom.clients), ("project", "<PROJECT_{n}>", config.custom.projects)):
+                self.steps.append(("custom", sub, 100, template, None, auto, [(word(w), "i", e.name) for e in group for w in [e.name, *e.aliases] if w]))
+
+    def run(self, text: str | None, persons: Iterable[tuple[str, int]] = ()) -> list[dict]:
+        if not text or len(text) < 3:
+            return []
+        seen: set[tuple[int, int]] = set()
+        chars = frozenset(text)
+        numbers: dict[str, dict[str, int]] = {}
+        out: list[dict] = []
+
+        def add(category, sub, confidence, template, approved, value, start, name) -> None:
+            own = numbers.setdefault(template.replace("_{n}", ""), {})
+            n = own.setdefault((name or value).lower().strip(), len(own) + 1)
+            out.append({"text": value, "category": category, "subcategory": sub, "confidence": confidence, "start": start, "end": start + len(value), "placeholder": template.replace("{n}", str(n)), "context": _context(text, start, start + len(value)), "approved": approved, "emission": len(out)})
+
+        def step(category, sub, confidence, template, check, approved, patterns) -> None:
+            for pattern, flags, name in patterns:
+                if any(need.isdisjoint(chars) for need in requirements(pattern, flags)):
+                    continue
+                for m in _compiled(pattern, flags).finditer(text):
+                    if m.span() in seen or not m[0] or check and not check(m[0]):
+                        continue
+                    seen.add(m.span())
+                    add(category, sub, confidence, template, approved, m[0], m.start(), name)
+
+        built_in = [s for s in self.steps if s[1] not in ("company_name", "internal_url", "keyword", "client", "project")]
+        for s in built_in:
+            step(*s)
+        if "pii" in self.config.detection.categories:
+            for value, start in persons:
+                if (start, start + len(value)) not in seen:
+                    seen.add((start, start + len(value)))
+                    add("pii", "person_name", 75, "<PERSON_{n}>", False, value, start, None)
+        for s in self.steps[len(built_in) :]:
+            step(*s)
+        return sorted(out, key=lambda d: (d["start"], d["emission"]))

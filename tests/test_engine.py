@@ -2,11 +2,11 @@
 
 import re
 
+import plain as R
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import checks as C
-from hushframe.functions import rules as R
 from hushframe.functions import validate
 from hushframe.functions.dialect import requirements, to_java, to_python
 from hushframe.operators import images, mask, report
