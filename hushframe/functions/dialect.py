@@ -20,7 +20,7 @@ _TOKEN = re.compile(r"\\.|\[\^?\]?|\]|\.|.", re.S)
 _WORD_ATOM = re.compile(r"(?:[A-Za-z0-9_]|\\[dw]|\[(?:[A-Za-z0-9_]-[A-Za-z0-9_]|[A-Za-z0-9_]|\\[dw])+\])(?![?*]|\{0)")
 
 
-def _rewritten(pattern: str, edge: str, end: str, before_word: str | None = None) -> str:
+def rewritten(pattern: str, edge: str, end: str, before_word: str | None = None) -> str:
     """``before_word`` is the edge where a word character follows in any case."""
     out, inside, at = [], False, 0
     for t in _TOKEN.findall(pattern):
@@ -52,12 +52,12 @@ def _rewritten(pattern: str, edge: str, end: str, before_word: str | None = None
 
 def to_java(pattern: str, flags: str = "") -> str:
     """For ``rlike`` and the ``regexp_`` functions; Java's own ``\\b`` isn't ASCII."""
-    made = _rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), _JAVA_EDGE, r"\z", r"(?<!\w)")
+    made = rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), _JAVA_EDGE, r"\z", r"(?<!\w)")
     return ("(?i)" if "i" in flags else "") + made
 
 
 def to_python(pattern: str, flags: str = "") -> re.Pattern[str]:
-    made = _rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), r"\b", r"\Z")
+    made = rewritten(pattern.replace(r"[\S\s]*", r"(?:[^\n]|\n)*"), r"\b", r"\Z")
     return re.compile(made, re.ASCII | (re.IGNORECASE if "i" in flags else 0))
 
 

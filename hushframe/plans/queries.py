@@ -16,6 +16,7 @@ from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report
 from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
 from hushframe.operators.pixels import hashed
+from hushframe.plans import entities_sql
 from hushframe.plans.config import CATEGORIES, Company, Config, Custom, Detection, Named
 from hushframe.plans.profiles import seed
 from hushframe.sources.documents import combined_ocr, html_text
@@ -41,12 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def re2(pattern: str, flags: str = "") -> str:
-    """The pattern for DuckDB's matcher, as an SQL string."""
-    p = re.sub(r"\[([^\]]*)\\s([^\]]*)\]", r"[\1\\t\\n\\x0b\\f\\r \2]", pattern).replace(r"\s", r"[\t\n\x0b\f\r ]")
-    return ("(?i)" if "i" in flags else "").join(["", p]).replace("'", "''")
-
-
+re2 = entities_sql.re2
 EMAIL, IPV4, CARD16 = V.EMAILS[0][0], N.filled(V.IPS[:1], V.IP_PARTS)[0][0], r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"
 PLUS, SECRET, NUMBER, DOMAIN = V.PHONES[0][0], V.RULES[26][-1], V.SAUDI_IDS[0][0], V.RULES[12][-1]
 
@@ -332,21 +328,21 @@ def combined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("conv_id", combined_ocr(F.transform("t", lambda x: x["text"])).alias("combined")).where("combined <> ''")
 
 
-# Whole rule sets: one vectorised function for each document; compared with the expressions and a plain matcher in tests.
+# Whole rule sets, in one plan without Python.
 
 
-@query()
+@query(f'SELECT doc_id, v AS text, type, s AS start, e AS "end", confidence FROM ({entities_sql.entities("documents")})')
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine A over every document."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=None)
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.text", "e.type", "e.start", "e.end", "e.confidence")
 
 
-@query()
+@query(f"""SELECT doc_id AS page_id, type, s AS start, e AS "end" FROM ({entities_sql.entities(f"(SELECT page_id AS doc_id, trim({_HTML_SQL.format(x='html')}, ' ') AS text FROM pages)")})""")
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine A over the text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
-    return detect(pages, kept=None).select("page_id", F.explode("entities").alias("e")).select("page_id", "e.type", "e.start", "e.end")
+    return detect(pages).select("page_id", F.explode("entities").alias("e")).select("page_id", "e.type", "e.start", "e.end")
 
 
 CONFIG = Config(company=Company("Example", ["Example Ltd"], ["example.com"]), custom=Custom(["license", "copyright"], [Named("the", ["and"])], [Named("of")]))
@@ -417,16 +413,50 @@ def rules_over_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
 
-def _masked(mode: str, kept: int | None) -> Query:
+#: A note for each customer, with something for every type of engine A, right and wrong and overlapping.
+LETTER = "concat_ws('\n', " + ", ".join([
+    f"concat('Dr. Khalid Al-Otaibi met fatima  Hassan, ahmed bin u', {_KEY}, ' and Omar.')", f"concat('paid $1,', substr({_KEY}, 7, 3), '.50 or EUR 20 K, SAR ', cast(c_custkey as string), ', 100 dollars, 5 KWD')",
+    f"concat('cards 4111 1111 1111 ', substr({_KEY}, 6, 4), ', 4766', {_KEY}, '123, 378282246310005 and 5500-0000-0000-0004')", f"concat('GB82WEST12345698765432 to gb82 west 1234 5698 7654 32, SA44', {_KEY}, '12345678901, XX12', {_KEY}, 'ABCD')",
+    f"concat('hosts 10.', cast(c_custkey % 300 as string), '.3.4, 1.2.3.4, fe80::1, ::ffff:10.0.0.1, ::1 and ', " + ", ':', ".join(f"substr({_HEX}, {i * 4 + 1}, 4)" for i in range(8)) + ")",
+    f"concat('call +966 55 123 ', substr({_KEY}, 6, 4), ', 05', substr({_KEY}, 2, 8), ', (555) 123-', substr({_KEY}, 6, 4), ' ext 12, 1-800-555-0199, 00971 50 123 4567')", f"concat('mail user', {_KEY}, '@mail.example.com, a..b@x.org, .c@d.com')",
+    f"concat('see https://www.example.org/', {_HEX}, '?a=1). FTP://files.example.net/x; shop', {_KEY}, '.example.io, www.com.au, x-www.com, mail me@a.com or http://b.org')", f"concat('id 1', {_KEY}, ' and +2', {_KEY})",
+    f"concat('ssn 123-45-', substr({_KEY}, 6, 4), ', 123456789, 666-12-3456')", f"concat('Passport no: AB', substr({_KEY}, 3, 7), '; passport: ', {_KEY}, '; X', substr({_KEY}, 2, 8), ' is a passport')", f"concat('A', substr({_KEY}, 2, 8), ' alone')",
+    "concat('DOB: 1990-07-2', cast(c_custkey % 10 as string), ', born 3 May 1985, 12/11/2010, 2003-05-06, March 5, 2012')", "concat('mac ', " + ", ':', ".join(f"substr({_HEX}, {i * 2 + 1}, 2)" for i in range(6)) + f", ' or ', substr({_HEX}, 1, 4), '.', substr({_HEX}, 5, 4), '.', substr({_HEX}, 9, 4))",
+    f"concat('sk_live_', {_HEX}, ' AKIA', upper(substr({_HEX}, 1, 16)), ' ghp_', {_HEX}, 'abcd api_key = ', {_HEX}, ' Bearer ', {_HEX}, ' eyJ', {_HEX}, '.', {_HEX}, '.', {_HEX})", f"concat('plates ABC ', substr({_KEY}, 6, 4), ', AB-123-CD, car: 7XY ', substr({_KEY}, 7, 3))",
+    f"concat('MRN: ', {_KEY}, ' patient id: P-', {_KEY}, ' ICD-10 E11.9 CPT 99213 NPI:1', {_KEY})", f"concat('DL: ', upper(substr({_HEX}, 1, 9)), ', D', substr({_KEY}, 2, 8), ', ABCDE123456AB1CD')",
+    "concat('24.7136, 46.', cast(10000 + c_custkey as string), ' lat: 24.71361')", f"concat('VIN 1HGCM82633A', substr({_KEY}, 4, 6), ' 12345678901234567')", f"concat('PROJ-2024-', substr({_KEY}, 6, 4), ' INV-2024-00001 PO_2024_12345 TKT-', {_KEY}, ' order: AB-1', substr({_KEY}, 6, 4))",
+    f"concat('Shipping address:  ', cast(c_custkey as string), ' King Fahd Road, Riyadh 11564; tel 12 34')", "'deliver to: the old mill on the hill,'", "'location: nowhere'", f"concat('P.O. Box ', {_KEY}, ', Jeddah, 21411')", f"concat('عنوان: شارع الملك ', {_KEY}, ' الرياض')",
+]) + ")"
+_LETTERS_SQL = "(SELECT c_custkey AS doc_id, " + LETTER.replace("as string", "AS VARCHAR").replace("'\n'", "chr(10)") + " AS text FROM customer)"
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(LETTER).alias("text"))
+
+
+@query(f'SELECT doc_id, v AS text, type, s AS start, e AS "end", confidence, emission FROM ({entities_sql.entities(_LETTERS_SQL)})')
+def entities_over_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type of engine A, on a letter for each customer."""
+    found = detect(_letters(spark, sf_dir)).select("doc_id", F.explode("entities").alias("e"))
+    return found.select("doc_id", "e.text", "e.type", "e.start", "e.end", "e.confidence", F.col("e.emission").cast("long").alias("emission"))
+
+
+def _masked(mode: str, kept: int | None, of: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = mask.to_detections(detect(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=kept))
+        found = mask.to_detections(detect(of(spark, sf_dir), kept=kept))
         return mask.mask(found, mode=mode).select("doc_id", F.size("detections").alias("n"), F.sha2("masked_text", 256).alias("masked_sha256"))
 
     return run
 
 
-query(name="masked_safe")(_masked("safe", None))
-query(name="masked_compat")(_masked("compat", KEPT))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+query(entities_sql.masked("documents", "safe", None), "masked_safe")(_masked("safe", None, _texts))
+query(entities_sql.masked("documents", "compat", KEPT), "masked_compat")(_masked("compat", KEPT, _texts))
+query(entities_sql.masked(_LETTERS_SQL, "safe", None), "letters_masked_safe")(_masked("safe", None, _letters))
+query(entities_sql.masked(_LETTERS_SQL, "compat", 20), "letters_masked_compat")(_masked("compat", 20, _letters))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\b(?:apache license|version)\\b')) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '(?i)\\b(?:apache license|version)\\b')")
