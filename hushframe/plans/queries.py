@@ -13,7 +13,7 @@ from hushframe.functions import fixed_values as V
 from hushframe.functions import native as N
 from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
-from hushframe.operators import images, mask, report
+from hushframe.operators import images, mask, report, terms
 from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
 from hushframe.operators.pixels import hashed
 from hushframe.plans import entities_sql
@@ -466,6 +466,49 @@ def user_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("persons").alias("n")).where("n > 0")
 
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _runs_sql(of: str, key: str) -> str:
+    """key, run (one to three words with single spaces between them, in lower case), k (words), a and z (first and last), s and e (place)."""
+    low = _LOW.format("text")
+    return f"""SELECT {key}, run, k, a, z, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
+      WITH t AS (SELECT {key}, nr, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, row_number() OVER () AS nr, regexp_extract_all({low}, '[a-z0-9_]+') AS ws, regexp_split_to_array({low}, '[a-z0-9_]+') AS gs FROM {of} WHERE text IS NOT NULL)),
+      p AS (SELECT *, sum(len(g) + len(w)) OVER (PARTITION BY nr ORDER BY i) AS e1 FROM t),
+      q AS (SELECT *, e1 - len(w) AS s, lead(w) OVER o AS w2, lead(g) OVER o AS g2, lead(e1) OVER o AS e2, lead(w, 2) OVER o AS w3, lead(g, 2) OVER o AS g3, lead(e1, 2) OVER o AS e3 FROM p WINDOW o AS (PARTITION BY nr ORDER BY i))
+      SELECT {key}, w AS run, 1 AS k, w AS a, '' AS z, s, e1 AS e FROM q UNION ALL SELECT {key}, w || ' ' || w2, 2, w, w2, s, e2 FROM q WHERE g2 = ' '
+      UNION ALL SELECT {key}, w || ' ' || w2 || ' ' || w3, 3, w, w3, s, e3 FROM q WHERE g2 = ' ' AND g3 = ' ')"""
+
+
+@query(f"""SELECT doc_id, run AS term, s AS start, e AS "end" FROM ({_runs_sql("documents", "doc_id")}) WHERE run IN (SELECT run FROM ({_runs_sql("conversations", "conv_id")}) WHERE a <> z)""")
+def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in the documents of every run of one to three words that any conversation has (and that doesn't end as it begins)."""
+    own = F.expr("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+|[^a-z0-9_]+', 0)")
+    at = table(spark, sf_dir, "conversations").select(own.alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p"))))).where("size(p) > 0")
+    word = lambda k: F.get("p", F.col("i") - 1 + k)
+    runs = F.filter(F.array(
+        word(0), F.when((word(1) == " ") & (word(0) != word(2)), F.concat_ws(" ", word(0), word(2))),
+        F.when((word(1) == " ") & (word(3) == " ") & (word(0) != word(4)), F.concat_ws(" ", word(0), word(2), word(4))),
+    ), lambda x: x.isNotNull())
+    found = terms.find_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), at.where(word(0).rlike("^[a-z0-9_]")).select(F.explode(runs).alias("term")))
+    return found.select("doc_id", "term", "start", "end")
+
+
+_NAMED = "regexp_extract_all(regexp_replace(text, '([a-z])''s', '\\1_s', 'g'), '\\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}\\b')"
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b'))) AS first FROM conversations),
+    n AS (SELECT DISTINCT doc_id, unnest({_NAMED}) AS name FROM documents),
+    k AS (SELECT doc_id, name FROM n WHERE lower(string_split(name, ' ')[1]) IN (SELECT first FROM f) AND NOT list_has_any(string_split(lower(name), ' '), [{", ".join(f"'{w}'" for w in V.NOT_A_NAME)}]))
+    SELECT doc_id, name, s AS start, e AS "end" FROM k JOIN ({_runs_sql("documents", "doc_id")}) USING (doc_id) WHERE run = lower(name)"""
+)
+def people_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons by a dictionary: the capitalised words of all conversations stand for first names."""
+    names = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\w)[A-Z][a-z]+(?!\w)"), F.lit(0))).alias("name"))
+    return terms.people(table(spark, sf_dir, "documents").select("doc_id", "text"), names)
+
+
 def native_types(text: str = "text") -> dict[str, object]:
     """By type, the expression for its spans, for use in queries of one's own."""
     from hushframe.operators.detect import NATIVE
