@@ -9,8 +9,9 @@ It tells the frequent keys from the others.
 it all.  Rows of a table are buckets with their keys.  A bucket's sketch is sparse, the sorted numbers of its cells with
 counts, and goes by ranges of cells to the tasks that merge them; each merged range goes back to the buckets it came
 from, with the merged count of each of their cells.  Ranges and buckets keep their size when the input grows, and a bucket
-sends rows only for the ranges that its own keys fall into.  A key of every bucket doesn't bring all of them to one task:
-buckets are dealt by salt, about ``TOGETHER`` of them are merged to one row of a range, and those rows are merged in turn.
+sends rows only for the ranges that its own keys fall into.  A key of every bucket sends a row of each to one range, so
+beyond ``TOGETHER`` buckets these are dealt by salt as well: about so many are merged to one row of a range, and those rows
+are merged in turn.
 """
 
 from __future__ import annotations
@@ -23,15 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.scratch import cut
 from hushframe.llm.words import U, mix, trim, trimmed
 
 DEPTH = 2
 BLOCK_BITS = 18
 #: Keys of a range on the mean; cells a key, as a binary logarithm.
 RANGE, SPARE = 1 << 18, 10
-#: Buckets that are merged in one step, on the mean.
-TOGETHER = 256
+#: Buckets that are merged in one step, on the mean: rows of a few keys each in a range of a key that all buckets have.
+TOGETHER = 1 << 16
 _SEEDS = [U(0x2545F4914F6CDD1D), U(0x6A09E667F3BCC909)]
 
 
@@ -87,39 +87,54 @@ def unpacked(b: bytes) -> np.ndarray:
 def counted(buckets: DataFrame) -> tuple[DataFrame, int]:
     """``bucket`` and ``levels`` for ``buckets`` (bucket: a number of its own, keys: 64-bit values, n_keys), and how many
     bits of a key make its cell; :func:`levels_of` reads the two."""
-    rows, bits = _sent(buckets)
-    rows = cut(rows)
-    groups = rows.groupBy("range", "salt").applyInArrow(_added, "range long, salt int, cells binary, counts binary")
+    rows, bits, salts = _sent(buckets)
+    kind = "bucket long, range long, level binary"
 
-    def levels(part: pa.Table) -> pa.Table:
-        cells, every, count = _merged(part)
-        found = [_packed(x) for x in np.split(count, np.cumsum([len(c) for c in cells])[:-1])]
-        return pa.table([part.column("range"), part.column("salt"), part.column("cells"), pa.array(found, pa.binary())], names=["range", "salt", "cells", "counts"])
+    def levels(count: np.ndarray) -> np.ndarray:
+        level = (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)
+        level[count <= 1] = 0
+        return level
+
+    def merged(part: pa.Table) -> pa.Table:
+        cells, _, count = _merged(part)
+        found = [zstandard.compress(levels(x).tobytes(), 1) for x in np.split(count, np.cumsum([len(c) for c in cells])[:-1])]
+        return pa.table([part.column("bucket"), part.column("range"), pa.array(found, pa.binary())], names=["bucket", "range", "level"])
+
+    def twice(part: pa.Table) -> pa.Table:
+        """For each salt of a range, those of its cells that are counted twice or more, with their counts."""
+        cells, _, count = _merged(part)
+        each = [(c[n > 1], n[n > 1]) for c, n in zip(cells, np.split(count, np.cumsum([len(c) for c in cells])[:-1]))]
+        return pa.table([part.column("range"), part.column("salt"), *(pa.array([_packed(x[i]) for x in each], pa.binary()) for i in (0, 1))], names=["range", "salt", "cells", "counts"])
 
     def back(own: pa.Table, whole: pa.Table) -> pa.Table:
         trim()
         cell, count = _pairs(whole)
-        level = (1 + np.log2(np.maximum(count, 1))).astype(np.uint8)
-        level[count <= 1] = 0
-        found = [zstandard.compress(level[np.searchsorted(cell, unpacked(x))].tobytes(), 1) for x in own.column("cells").to_pylist()]
+        cell, count = np.append(cell, U(2**64 - 1)), np.append(count, U(0))
+        found = []
+        for x in own.column("cells").to_pylist():
+            x = unpacked(x)
+            at = np.searchsorted(cell, x)
+            found.append(zstandard.compress(levels(np.where(cell[at] == x, count[at], U(1))).tobytes(), 1))
         return pa.table([own.column("bucket"), own.column("range"), pa.array(found, pa.binary())], names=["bucket", "range", "level"])
 
-    whole = groups.groupBy("range").applyInArrow(levels, "range long, salt int, cells binary, counts binary")
-    got = rows.groupBy("range", "salt").cogroup(whole.groupBy("range", "salt")).applyInArrow(back, "bucket long, range long, level binary")
+    if salts == 1:
+        got = rows.groupBy("range").applyInArrow(merged, kind)
+    else:
+        whole = _by_salt(rows).groupBy("range").applyInArrow(twice, "range long, salt int, cells binary, counts binary")
+        got = rows.groupBy("range", "salt").cogroup(whole.groupBy("range", "salt")).applyInArrow(back, kind)
     return got.groupBy("bucket").agg(F.collect_list(F.struct("range", "level")).alias("levels")), bits  # a byte for each key of a bucket
 
 
 def repeated(buckets: DataFrame) -> tuple[DataFrame, int]:
     """``range``, ``cells`` (:func:`unpacked` reads them) and ``n`` of all cells that are counted twice or more."""
-    rows, bits = _sent(buckets)
-    groups = rows.groupBy("range", "salt").applyInArrow(_added, "range long, salt int, cells binary, counts binary")
+    rows, bits, salts = _sent(buckets)
 
     def merged(part: pa.Table) -> pa.Table:
         _, cell, count = _merged(part)
         twice = np.unique(cell[count > 1])
         return pa.table([part.column("range")[:1], pa.array([_packed(twice)], pa.binary()), pa.array([len(twice)], pa.int64())], names=["range", "cells", "n"])
 
-    return groups.groupBy("range").applyInArrow(merged, "range long, cells binary, n long"), bits
+    return (rows if salts == 1 else _by_salt(rows)).groupBy("range").applyInArrow(merged, "range long, cells binary, n long"), bits
 
 
 def _pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +143,10 @@ def _pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return cells, counts
 
 
+def _by_salt(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("range", "salt").applyInArrow(_added, "range long, salt int, cells binary, counts binary")
+
+
 def _added(part: pa.Table) -> pa.Table:
     """One row of the cells of all rows of a range and salt, with the sums of their counts."""
     trim()  # of the part before
@@ -153,8 +172,8 @@ def split(cell: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
     return zip(of[at].tolist(), at.tolist(), [*at[1:].tolist(), len(cell)])
 
 
-def _sent(buckets: DataFrame) -> tuple[DataFrame, int]:
-    """The buckets' sparse sketches by range and salt, and the bits of a cell."""
+def _sent(buckets: DataFrame) -> tuple[DataFrame, int, int]:
+    """The buckets' sparse sketches by range and salt, the bits of a cell, and the number of salts."""
     total, n_buckets = buckets.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.count("*")).first()
     bits, salts = min(62, int(total).bit_length() + SPARE), 1 + n_buckets // TOGETHER
     shift = bits - min(bits, (total // RANGE).bit_length())
@@ -172,7 +191,7 @@ def _sent(buckets: DataFrame) -> tuple[DataFrame, int]:
                 )
 
     salted = buckets.where("n_keys > 0").select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(salts)).cast("int").alias("salt"), "keys")
-    return salted.mapInArrow(trimmed(sent), "range long, salt int, bucket long, cells binary, counts binary"), bits
+    return salted.mapInArrow(trimmed(sent), "range long, salt int, bucket long, cells binary, counts binary"), bits, salts
 
 
 def levels_of(keys: np.ndarray, levels: list[dict], bits: int) -> np.ndarray:

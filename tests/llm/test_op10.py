@@ -37,7 +37,7 @@ def test_copies_of_one_id_and_text(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("together", [1, 3, 256])
+@pytest.mark.parametrize("together", [1, 3, countmin.TOGETHER])
 def test_counts_of_many_ranges_and_salts(spark, together, monkeypatch):
     """Counts are whole, however often one bucket has a key, and each bucket gets those of its own keys."""
     monkeypatch.setattr(countmin, "RANGE", 50)
