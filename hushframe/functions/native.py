@@ -194,7 +194,7 @@ def entities(text: Column, rules: list[Rule], people: Column | None = None) -> C
     """Array of ENTITY: of equal spans the first in order of the rules stays;
     by start, then by emission.  ``people`` are spans (text, start, end, confidence) of persons that come after the rules
     of type person with a confidence of 100."""
-    by_rule = lambda x, of: F.coalesce(*(F.when(x["rule"] == i, v) for i, v in of.items()))
+    by_rule = lambda x, of, default: F.coalesce(*(F.when(x["rule"] == i, v) for i, v in of.items()), default)
     once = [i for i, r in enumerate(rules) if r.once]
     grouped = [i for i, r in enumerate(rules) if r.group]
 
@@ -212,10 +212,10 @@ def entities(text: Column, rules: list[Rule], people: Column | None = None) -> C
         own = lambda x: F.when(x["rule"].isin(grouped) & (x["part"] != ""), _span(x["part"], x["start"] + x["at"])).otherwise(_span(x["text"], x["start"]))
         cut = F.transform(located, lambda x: let(own(x), lambda v: F.struct(x["rule"].alias("rule"), v["text"].alias("text"), v["start"].alias("start"))))
         changes = {i: r.change for i, r in enumerate(rules) if r.change}
-        made = F.transform(cut, lambda x: let(F.coalesce(by_rule(x, {i: f(of, x) for i, f in changes.items()}), _span(x["text"], x["start"])), lambda v: F.struct(x["rule"].alias("rule"), v["text"].alias("text"), v["start"].alias("start"))))
+        made = F.transform(cut, lambda x: let(by_rule(x, {i: f(of, x) for i, f in changes.items()}, _span(x["text"], x["start"])), lambda v: F.struct(x["rule"].alias("rule"), v["text"].alias("text"), v["start"].alias("start"))))
         keeps = {i: r.keep for i, r in enumerate(rules) if r.keep}
-        kept = F.filter(made, lambda x: (x["text"] != "") & F.coalesce(by_rule(x, {i: f(of, x) for i, f in keeps.items()}), F.lit(True)))
-        sure = lambda x: F.coalesce(by_rule(x, {i: r.confidence(x["text"]) if callable(r.confidence) else F.lit(r.confidence) for i, r in enumerate(rules)}), F.lit(0))
+        kept = F.filter(made, lambda x: (x["text"] != "") & by_rule(x, {i: f(of, x) for i, f in keeps.items()}, F.lit(True)))
+        sure = lambda x: by_rule(x, {i: r.confidence(x["text"]) if callable(r.confidence) else F.lit(r.confidence) for i, r in enumerate(rules)}, F.lit(0))
         kind = lambda x: F.get(F.array(*(F.lit(r.type) for r in rules)), x["rule"])
         return F.transform(kept, lambda x: F.struct(x["text"].alias("text"), kind(x).alias("type"), x["start"].cast("int").alias("start"), (x["start"] + F.length(x["text"])).cast("int").alias("end"), sure(x).cast("int").alias("confidence")))
 

@@ -64,6 +64,45 @@ def matching(images: DataFrame, target: str, threshold: float = 85, column: str
     return images.withColumn("similarity", similarity(F.col(column), F.lit(target))).where(F.col("similarity") >= threshold)
 
 
+def _bits(h: Column) -> Column:
+    """The 64 bits of a hash of 16 hex digits."""
+    half = lambda k: F.conv(F.substring(h, k, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def farthest(threshold: float, bits: int = 64) -> int:
+    """The most bits in which two hashes as similar as ``threshold`` (percent, two decimals) can differ; -1 if none can."""
+    return max((d for d in range(bits + 1) if round((bits - d) / bits * 100, 2) >= threshold), default=-1)
+
+
+def similar(images: DataFrame, targets: DataFrame, threshold: float = 85, image: str = "image_id", target: str = "target_id", column: str = "hash") -> DataFrame:
+    """Pairs of a table of images and a table of targets as similar as ``threshold`` asks: ``image``, ``target``,
+    ``distance``, ``similarity``.
+
+    Hashes that differ in at most D bits, cut into bands of which there are more than half as many, agree in one band but
+    for one bit at most.  So an image is filed under the value of each of its bands, a target under each of its own and those one bit
+    from it, and only pairs that meet there are compared.  A pair that meets in several bands counts in the first.  Equal
+    hashes are one until the pairs are known, so many equal pictures are compared once.  Hashes are of 16 hex digits; null
+    and other ones are similar to nothing.
+    """
+    far = farthest(threshold)
+    bands = far // 2 + 1
+    edges = [64 * i // bands for i in range(bands + 1)]
+    once = lambda df: df.select(F.lower(column).alias("h")).where(F.col("h").rlike(r"^[0-9a-f]{16}\z")).distinct().withColumn("v", _bits(F.col("h")))
+    cut = lambda v, i: F.shiftrightunsigned(v, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1).cast("long"))
+    filed = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).alias("part")) for i in range(bands)))
+    near = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).bitwiseXOR(F.lit(flip).cast("long")).alias("part")) for i in range(bands) for flip in [0, *(1 << b if b < 63 else -(1 << 63) for b in range(edges[i + 1] - edges[i]))])) if far > 0 else filed
+    x = once(images).select(F.col("h").alias("a"), F.col("v").alias("va"), F.inline(filed))
+    y = once(targets).select(F.col("h").alias("b"), F.col("v").alias("vb"), F.inline(near))
+    differs = lambda i: F.bit_count(cut(F.col("va"), i).bitwiseXOR(cut(F.col("vb"), i)))
+    first = F.coalesce(*(F.when(differs(i) <= 1, i) for i in range(bands)))
+    distance = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    pairs = x.join(y, ["band", "part"]).where((F.col("band") == first) & (distance <= far)).select("a", "b", distance.alias("distance"))
+    one = images.select(F.col(image), F.lower(column).alias("a")).join(pairs, "a")
+    both = one.join(targets.select(F.col(target), F.lower(column).alias("b")), "b")
+    return both.select(image, target, F.col("distance").cast("int").alias("distance"), F.round((64 - F.col("distance")) / 64 * 100, 2).alias("similarity"))
+
+
 def logo_detections(images: DataFrame, target: str, threshold: float = 85, text: str = "[LOGO]") -> DataFrame:
     """Matches as detections at place 0, which masking leaves out and mappings keep."""
     got = matching(images, target, threshold)

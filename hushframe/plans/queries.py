@@ -288,6 +288,17 @@ def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(pictures).select("vec_id", "hash")
 
 
+_HASH_SQL = SQL["picture_hashes"].replace("embedding[1:64]", "embedding")
+
+
+@query(f"SELECT image_id, target_id, CAST(distance AS INTEGER) AS distance, CAST(round((64 - distance) / 64.0 * 100, 2) AS DOUBLE) AS similarity FROM (SELECT i.vec_id AS image_id, t.vec_id AS target_id, {_XOR.replace('len(a)', 'len(i.hash)').replace('a[i:i]', 'i.hash[k:k]').replace('b[i:i]', 't.hash[k:k]').replace('FOR i IN', 'FOR k IN')} AS distance FROM ({_HASH_SQL}) i, ({_HASH_SQL}) t WHERE t.vec_id % 20 = 0) WHERE distance <= 21")
+def similar_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hashes of vectors, seen as 8 x 8 grey points, against those of every twentieth as the ones to look for, at two thirds of equal bits."""
+    grey = F.expr(f"transform(embedding, x -> cast({_GREY.format('x')} as double))")
+    all_of = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), images.average_hash(grey).alias("hash"))
+    return images.similar(all_of, all_of.where("image_id % 20 = 0").withColumnRenamed("image_id", "target_id"), threshold=67)
+
+
 PATHS = ["/home/a/report.TXT", "/etc/passwd.txt", "relative.txt", "/home/../etc/x.txt", "/home/a/x.exe", "/home/a/noext", ""]
 _PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS p(path)"
 _ALLOWED = ", ".join(f"'{e}'" for e in validate.EXTENSIONS)
