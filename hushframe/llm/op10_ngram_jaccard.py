@@ -51,7 +51,7 @@ from hushframe.llm.words import U, grams, hashed_words, mix, trimmed
 #: The sketch that tells frequent n-grams.
 BITS = 20
 #: Entries of a list that go into one salt; rows of a table of sets or pairs that is broadcast, at most.
-SALTED, BROADCAST = 512, 500_000
+SALTED, BROADCAST = 512, 50_000
 _ROWS = 1 << 20
 #: Rounds of comparisons with pivots before lists are split; lists with at most so many pairs of unconnected sets aren't,
 #: and what is left after so many splits is compared pair by pair.
