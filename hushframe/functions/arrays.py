@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 512
+_SHIFT = 9
+BLOCK = 1 << _SHIFT
 
 
 def let(value: Column, over: Callable[[Column], Column]) -> Column:
@@ -52,6 +53,6 @@ def blocks(text: Column) -> Column:
 
 def part(of: Column, start: Column, end: Column) -> Column:
     """Code points ``start`` up to ``end`` of the text whose :func:`blocks` these are; both lie within the text."""
-    first = F.floor(start / BLOCK).cast("int")
-    n = F.floor(end / BLOCK).cast("int") - first + 1
-    return F.substring(F.array_join(F.slice(of, first + 1, n), ""), start % BLOCK + 1, end - start)
+    first = F.shiftright(start, _SHIFT)
+    n = F.shiftright(end, _SHIFT) - first + 1
+    return F.substring(F.array_join(F.slice(of, first + 1, n), ""), start.bitwiseAND(F.lit(BLOCK - 1)) + 1, end - start)

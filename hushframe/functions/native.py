@@ -70,10 +70,11 @@ def scan(text: Column, rules: Iterable[Patterns]) -> Column:
     return F.when(text.isNotNull(), F.flatten(F.transform(possible, found)))
 
 
-def kept_first(found: Column) -> Column:
-    """Of spans with equal ``start`` and ``end`` the first one stays; in the order of the array."""
-    placed = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"), x.alias("x")))
-    once = firsts(F.sort_array(placed), lambda x: F.struct(x["start"], x["end"]))
+def kept_first(found: Column, *also: str) -> Column:
+    """Of spans with equal ``start`` and ``end`` (and further fields) the first one stays; in the order of the array."""
+    fields = ("start", "end", *also)
+    placed = F.transform(found, lambda x, i: F.struct(*(x[c].alias(c) for c in fields), i.alias("i"), x.alias("x")))
+    once = firsts(F.sort_array(placed), lambda x: F.struct(*(x[c] for c in fields)))
     return F.transform(F.sort_array(F.transform(once, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
 
 
@@ -190,10 +191,10 @@ def built_in() -> list[Rule]:
     ]
 
 
-def entities(text: Column, rules: list[Rule], people: Column | None = None) -> Column:
+def entities(text: Column, rules: list[Rule], people: Column | None = None, alone: bool = False) -> Column:
     """Array of ENTITY: of equal spans the first in order of the rules stays;
     by start, then by emission.  ``people`` are spans (text, start, end, confidence) of persons that come after the rules
-    of type person with a confidence of 100."""
+    of type person with a confidence of 100.  ``alone``: each type stands on its own, so equal spans of different types stay."""
     by_rule = lambda x, of, default: F.coalesce(*(F.when(x["rule"] == i, v) for i, v in of.items()), default)
     once = [i for i, r in enumerate(rules) if r.once]
     grouped = [i for i, r in enumerate(rules) if r.group]
@@ -226,5 +227,5 @@ def entities(text: Column, rules: list[Rule], people: Column | None = None) -> C
         own = F.transform(people, lambda x: F.struct(x["text"].alias("text"), F.lit("person").alias("type"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["confidence"].cast("int").alias("confidence")))
         first = lambda f: F.concat(F.filter(f, lambda x: (x["type"] == "person") & (x["confidence"] == 100)), own, F.filter(f, lambda x: (x["type"] != "person") | (x["confidence"] != 100)))
         found = let(found, first)
-    numbered = F.transform(kept_first(found), lambda x, i: F.struct(x["start"].alias("start"), i.alias("emission"), x.alias("x")))
+    numbered = F.transform(kept_first(found, *["type"] * alone), lambda x, i: F.struct(x["start"].alias("start"), i.alias("emission"), x.alias("x")))
     return F.transform(F.sort_array(numbered), lambda n: F.struct(*(n["x"][c].alias(c) for c in ("text", "type", "start", "end", "confidence")), n["emission"].cast("int").alias("emission")))

@@ -19,7 +19,7 @@ from hushframe.functions import fixed_values as V
 from hushframe.functions import native as N
 from hushframe.functions.arrays import blocks, firsts, let, part, running
 from hushframe.functions.dialect import SPACES
-from hushframe.functions.spans import SPAN, places, spans
+from hushframe.functions.spans import places
 from hushframe.plans.config import Config
 
 ENTITY = N.ENTITY
@@ -83,45 +83,32 @@ def person_names(df: DataFrame, names: Iterable[str], text: str = "text") -> Dat
     return df.withColumn("persons", F.coalesce(F.transform(found, one), F.array().cast(f"array<{ENTITY}>")))
 
 
-#: Types that are one expression without the table of patterns: pattern, flags, check and confidence (or what gives it for a span).
-NATIVE: dict[str, tuple[list[tuple[str, str]], object, object]] = {
-    "email": (V.EMAILS, C.email_column, 95),
-    "credit_card": (V.CARDS, C.card_column, 95),
-    "iban": (V.IBANS, lambda c: C.gulf_column(c) | C.mod97_column(c), lambda c: F.when(C.gulf_column(c), 90).otherwise(95)),
-    "ssn": (V.SSNS, C.ssn_column, 95),
-    "mac_address": (V.MACS, None, 95),
-    "vin": (V.VINS, lambda c: c.rlike("[A-Z]") & c.rlike("[0-9]"), 85),
-    "api_key": (V.API_KEYS, None, 95),
-    "medical_record": (V.MEDICAL, None, 90),
-    "company_code": (V.COMPANY_CODES, None, 90),
-    "gps": (V.GPS, None, 90),
-    "financial": (N.filled(V.FINANCIAL, V.AMOUNT_PARTS), None, 95),
-    "phone": (V.PHONES, lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")).between(7, 15), 85),
-}
-
-
-def native_spans(text: Column, kind: str) -> Column:
-    """Spans of one type as an expression: all patterns of the type, checked, each span once, by place."""
-    patterns, check, confidence = NATIVE[kind]
-    found = F.concat(*(spans(text, p, f) for p, f in patterns)) if len(patterns) > 1 else spans(text, *patterns[0])
-    if check is not None:
-        found = F.filter(found, lambda x: check(x["text"]))
-    one = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(kind).alias("type"), (confidence(x["text"]) if callable(confidence) else F.lit(confidence)).alias("confidence")))
-    return F.array_sort(F.array_distinct(one))
+#: The types of engine A, in their order.
+NATIVE = [
+    "person", "financial", "credit_card", "iban", "ip", "phone", "email", "url", "domain", "saudi_id", "ssn", "passport", "dob", "mac_address", "api_key",
+    "license_plate", "medical_record", "drivers_license", "gps", "vin", "company_code", "address",
+]
+
+
+def native_spans(text: Column, *kinds: str) -> Column:
+    """Spans (start, end, text, type, confidence) of types as an expression: each type on its own, each span once, by place."""
+    found = N.entities(text, [r for r in N.built_in() if r.type in kinds], alone=True)
+    return F.transform(found, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "text", "type", "confidence"))))
 
 
 def detect_native(df: DataFrame, kinds: Iterable[str], text: str = "text") -> DataFrame:
     """``df`` with one row for each span of the given types, each type on its own: start, end, span_text, type, confidence."""
-    kinds, of = list(kinds), {r.type: r for r in N.built_in()}
-    table = [k for k in kinds if k not in NATIVE]
-    own = [F.transform(N.entities(F.col(text), [of[k]]), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "text", "type", "confidence")))) for k in table]
-    found = F.concat(*(native_spans(F.col(text), k) for k in kinds if k in NATIVE), *own)
-    out = df.select("*", F.explode(found).alias("__s"))
-    return out.select(*df.columns, F.col("__s.start").alias("start"), F.col("__s.end").alias("end"), F.col("__s.text").alias("span_text"), F.col("__s.type").alias("type"), F.col("__s.confidence").alias("confidence"))
+    found = df.withColumn("__s", native_spans(F.col(text), *kinds))
+    return exploded(found, "__s").select(*df.columns, F.col("__s.start").alias("start"), F.col("__s.end").alias("end"), F.col("__s.text").alias("span_text"), F.col("__s.type").alias("type"), F.col("__s.confidence").alias("confidence"))
 
 
-def native_type() -> str:
-    return SPAN
+def exploded(df: DataFrame, array: str) -> DataFrame:
+    """A row for each element of an array column, in its place.
+
+    The outer form is taken and its null rows left out: for the inner one the optimizer asks in advance whether the array
+    has elements, which would find everything twice.
+    """
+    return df.select(*(F.explode_outer(array).alias(c) if c == array else F.col(c) for c in df.columns)).where(F.col(array).isNotNull())
 
 
 # Engine B
@@ -194,10 +181,10 @@ def rule_detections(text: Column, steps: list[Step]) -> Column:
         norm = F.regexp_replace(F.regexp_replace(F.lower(value), f"^[{SPACES}]+", ""), rf"[{SPACES}]+\z", "")
         return F.struct(of([F.lit(s.template.replace("_{n}", "")) for s in steps], x).alias("t"), norm.alias("v"), x.alias("x"))
 
-    def made(blocks_: Column, e: Column) -> Column:
+    def made(blocks_: Column, n: Column, e: Column) -> Column:
         x, s = e["x"], F.greatest(F.lit(0), e["x"]["start"] - AROUND)
-        end = F.least(F.length(text), x["end"] + AROUND)
-        context = F.concat(F.when(s > 0, "...").otherwise(""), part(blocks_, s, end), F.when(end < F.length(text), "...").otherwise(""))
+        end = F.least(n, x["end"] + AROUND)
+        context = F.concat(F.when(s > 0, "...").otherwise(""), part(blocks_, s, end), F.when(end < n, "...").otherwise(""))
         return F.struct(
             x["text"].alias("text"), of([F.lit(s.category) for s in steps], x).alias("category"), of([F.lit(s.subcategory) for s in steps], x).alias("subcategory"),
             of([F.lit(s.confidence) for s in steps], x).alias("confidence"), x["start"].alias("start"), x["end"].alias("end"),
@@ -207,7 +194,7 @@ def rule_detections(text: Column, steps: list[Step]) -> Column:
 
     def all_of(found: Column) -> Column:
         ordered = F.sort_array(F.transform(ranked(F.transform(N.kept_first(found), keyed)), lambda e: F.struct(e["x"]["start"].alias("start"), e["i"].alias("i"), e.alias("e"))))
-        return let(blocks(text), lambda b: F.transform(ordered, lambda o: made(b, o["e"])))
+        return let(blocks(text), lambda b: let(F.length(text), lambda n: F.transform(ordered, lambda o: made(b, n, o["e"]))))
 
     none = F.array().cast(f"array<{DETECTION}>")
     return F.coalesce(F.when(F.length(text) >= 3, let(found, lambda f: F.when(F.size(f) > 0, all_of(f)))), none)

@@ -31,20 +31,21 @@ def to_detections(df: DataFrame, text: str = "text") -> DataFrame:
     """``entities`` as ``detections``: category, subcategory, fraction of confidence, placeholder by place in the list,
     context and approval, as the live path of the application gives them."""
 
-    def one(of: Column, e: Column, i: Column) -> Column:
+    def one(of: Column, n: Column, e: Column, i: Column) -> Column:
         start = F.greatest(F.lit(0), e["start"] - AROUND)
         return F.struct(
             F.concat_ws("-", F.lit("detection"), i, e["start"]).alias("id"), e["text"].alias("text"), category_of(e["type"]).alias("category"),
             F.concat(F.upper(F.substring(e["type"], 1, 1)), F.substring(e["type"], 2, 100)).alias("subcategory"), F.lit(0.85).alias("confidence"),
             e["start"].alias("start"), e["end"].alias("end"), F.concat(F.lit("["), prefix_of(e["type"]), F.lit("_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
-            part(of, start, F.least(F.length(text), e["end"] + AROUND)).alias("context"), F.lit(True).alias("approved"), i.alias("ord"),
+            part(of, start, F.least(n, e["end"] + AROUND)).alias("context"), F.lit(True).alias("approved"), i.alias("ord"),
         )
 
-    return df.withColumn("detections", let(F.when(F.size("entities") > 0, blocks(F.col(text))), lambda of: F.transform("entities", lambda e, i: one(of, e, i))))
+    return df.withColumn("detections", let(F.when(F.size("entities") > 0, blocks(F.col(text))), lambda of: let(F.length(text), lambda n: F.transform("entities", lambda e, i: one(of, n, e, i)))))
 
 
-def valid(d: Column, text: Column) -> Column:
-    return d["approved"] & (d["start"] >= 0) & (d["end"] > d["start"]) & (d["end"] <= F.length(text)) & d["placeholder"].isNotNull()
+def valid(d: Column, length: Column) -> Column:
+    """Whether a detection counts, in a text of this length (to be computed once a text, not once a detection)."""
+    return d["approved"] & (d["start"] >= 0) & (d["end"] > d["start"]) & (d["end"] <= length) & d["placeholder"].isNotNull()
 
 
 def _joined(of: Column, text: Column, pieces: Column) -> Column:
@@ -97,15 +98,15 @@ def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     Texts whose spans lie apart are put together from pieces; only those with overlapping spans in a mode other than ``safe`` are
     spliced span by span, each of which costs a copy of the text.
     """
-    at = F.filter(detections, lambda d: d["approved"] if mode == "unchecked" else valid(d, text))
+    at = let(F.length(text), lambda n: F.filter(detections, lambda d: d["approved"] if mode == "unchecked" else valid(d, n)))
     if mode == "safe":
         return F.when(F.size(at) > 0, _safe(text, at)).otherwise(text)
 
-    def apart(s: Column, reach: Column) -> Column:
-        return F.forall(F.transform(s, lambda d, i: (d["start"] >= F.when(i == 0, 0).otherwise(F.get(reach, i - 1))) & (d["end"] >= d["start"]) & (d["end"] <= F.length(text))), lambda x: x)
+    def apart(s: Column, reach: Column, n: Column) -> Column:
+        return F.forall(F.transform(s, lambda d, i: (d["start"] >= F.when(i == 0, 0).otherwise(F.get(reach, i - 1))) & (d["end"] >= d["start"]) & (d["end"] <= n)), lambda x: x)
 
     def either(a: Column) -> Column:
-        return let(_by_place(a), lambda s: F.when(let(_reach(s), lambda reach: apart(s, reach)), let(blocks(text), lambda of: _joined(of, text, s))).otherwise(_spliced(text, a)))
+        return let(_by_place(a), lambda s: F.when(let(F.length(text), lambda n: let(_reach(s), lambda reach: apart(s, reach, n))), let(blocks(text), lambda of: _joined(of, text, s))).otherwise(_spliced(text, a)))
 
     return F.when(F.size(at) > 0, let(at, either)).otherwise(text)
 
@@ -130,15 +131,14 @@ def segments(text: Column, detections: Column) -> Column:
     """The text in pieces for display: (piece, ord of the detection or null); overlapping spans repeat text."""
     at = F.filter(detections, lambda d: d["approved"] & (d["end"] > d["start"]))
 
-    def of_all(s: Column, of: Column) -> Column:
-        n = F.length(text)
+    def of_all(s: Column, of: Column, n: Column) -> Column:
         cut = lambda a, z: part(of, F.least(a, n), F.greatest(F.least(a, n), F.least(z, n)))
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])
         pieces = F.transform(s, lambda d, i: F.array(F.struct(cut(before(i), d["start"]).alias("piece"), F.lit(None).cast("int").alias("ord")), F.struct(cut(d["start"], d["end"]).alias("piece"), d["ord"].cast("int").alias("ord"))))
         rest = F.struct(cut(F.coalesce(F.element_at(F.transform(F.slice(s, F.greatest(F.lit(1), F.size(s)), 1), lambda d: d["end"]), 1), F.lit(0)), n).alias("piece"), F.lit(None).cast("int").alias("ord"))
         return F.filter(F.concat(F.flatten(pieces), F.array(rest)), lambda x: x["piece"] != "")
 
-    return let(_by_place(at), lambda s: let(blocks(text), lambda of: of_all(s, of)))
+    return let(_by_place(at), lambda s: let(blocks(text), lambda of: let(F.length(text), lambda n: of_all(s, of, n))))
 
 
 def placeholders_in(text: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.arrays import let, running
 from hushframe.functions.dialect import SPACES
-from hushframe.operators.detect import CAPITALISED, no_role
+from hushframe.operators.detect import CAPITALISED, exploded, no_role
 
 BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 1 << 26
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,7 +94,7 @@ def _rows(docs: DataFrame, keys: list[str], text: str, most: int, longest: int,
         return let(short, lambda p: F.transform(F.filter(t, has), lambda x: one(x, p)))
 
     low = folded(F.col(text))
-    return docs.where(F.col(text).isNotNull()).select(*keys, F.explode(let(tokens(low), around)).alias("t")).select(*keys, F.col("t.token").alias("token"), F.col("t.at").alias("at"), F.col("t.before").alias("before"), F.col("t.after").alias("after"))
+    return exploded(docs.where(F.col(text).isNotNull()).select(*keys, let(tokens(low), around).alias("t")), "t").select(*keys, F.col("t.token").alias("token"), F.col("t.at").alias("at"), F.col("t.before").alias("before"), F.col("t.after").alias("after"))
 
 
 def _verified(met: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from hushframe.functions import native as N
 from hushframe.functions import validate
 from hushframe.functions.spans import count_matches, spans
 from hushframe.operators import images, mask, report, terms
-from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, native_spans, person_names
+from hushframe.operators.detect import KEPT, detect, detect_native, detect_rules, exploded, native_spans, person_names
 from hushframe.operators.pixels import hashed
 from hushframe.plans import entities_sql
 from hushframe.plans.config import CATEGORIES, Company, Config, Custom, Detection, Named
@@ -83,7 +83,7 @@ FROM (SELECT {key}, regexp_extract_all({text}, '{both}', 1) AS gaps, regexp_extr
 
 def _spans(name: str, pattern: str, flags: str = "") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans(F.col("text"), pattern, flags)).alias("s"))
+        df = exploded(table(spark, sf_dir, "documents").select("doc_id", spans(F.col("text"), pattern, flags).alias("s")), "s")
         return df.select("doc_id", F.col("s.text").alias("span_text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
     query(f"SELECT *, CAST(start + len(span_text) AS INTEGER) AS \"end\" FROM ({_span_sql('documents', 'doc_id', 'text', pattern, flags)})", name)(run)
@@ -346,14 +346,14 @@ def combined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine A over every document."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.text", "e.type", "e.start", "e.end", "e.confidence")
+    return exploded(found.select("doc_id", F.col("entities").alias("e")), "e").select("doc_id", "e.text", "e.type", "e.start", "e.end", "e.confidence")
 
 
 @query(f"""SELECT doc_id AS page_id, type, s AS start, e AS "end" FROM ({entities_sql.entities(f"(SELECT page_id AS doc_id, trim({_HTML_SQL.format(x='html')}, ' ') AS text FROM pages)")})""")
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine A over the text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
-    return detect(pages).select("page_id", F.explode("entities").alias("e")).select("page_id", "e.type", "e.start", "e.end")
+    return exploded(detect(pages).select("page_id", F.col("entities").alias("e")), "e").select("page_id", "e.type", "e.start", "e.end")
 
 
 CONFIG = Config(company=Company("Example", ["Example Ltd"], ["example.com"]), custom=Custom(["license", "copyright"], [Named("the", ["and"])], [Named("of")]))
@@ -396,7 +396,7 @@ SELECT doc_id, subcategory, start, CAST(start + len(span_text) AS INTEGER) AS "e
 def detect_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine B over every document, with a configuration."""
     found = detect_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), CONFIG)
-    return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
+    return exploded(found.select("doc_id", F.col("detections").alias("d")), "d").select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
 
 _HEX, _KEY = "md5(cast(c_custkey as string))", "lpad(cast(c_custkey as string), 9, '0')"
@@ -421,7 +421,7 @@ def rules_over_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of engine B, on a note for each customer."""
     notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(NOTE).alias("text"))
     found = detect_rules(notes, NOTES)
-    return found.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
+    return exploded(found.select("doc_id", F.col("detections").alias("d")), "d").select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
 
 #: A note for each customer, with something for every type of engine A, right and wrong and overlapping.
@@ -448,7 +448,7 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f'SELECT doc_id, v AS text, type, s AS start, e AS "end", confidence, emission FROM ({entities_sql.entities(_LETTERS_SQL)})')
 def entities_over_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every type of engine A, on a letter for each customer."""
-    found = detect(_letters(spark, sf_dir)).select("doc_id", F.explode("entities").alias("e"))
+    found = exploded(detect(_letters(spark, sf_dir)).select("doc_id", F.col("entities").alias("e")), "e")
     return found.select("doc_id", "e.text", "e.type", "e.start", "e.end", "e.confidence", F.col("e.emission").cast("long").alias("emission"))
 
 
