@@ -72,7 +72,7 @@ def _bits(h: Column) -> Column:
 
 def farthest(threshold: float, bits: int = 64) -> int:
     """The most bits in which two hashes as similar as ``threshold`` (percent, two decimals) can differ; -1 if none can."""
-    return max((d for d in range(bits + 1) if round((bits - d) / bits * 100, 2) >= threshold), default=-1)
+    return max((d for d in range(bits + 1) if int((bits - d) / bits * 10_000 + 0.5) / 100 >= threshold), default=-1)
 
 
 def similar(images: DataFrame, targets: DataFrame, threshold: float = 85, image: str = "image_id", target: str = "target_id", column: str = "hash") -> DataFrame:

@@ -52,7 +52,7 @@ def _joined(of: Column, text: Column, pieces: Column) -> Column:
     """``text`` with the stretches ``pieces`` (start, end, p), which are in order and apart, replaced by their ``p``."""
     ends = lambda j: F.coalesce(F.get(pieces, j - 1)["end"], F.lit(0))
     parts = F.transform(pieces, lambda x, j: F.concat(part(of, F.when(j == 0, 0).otherwise(ends(j)), x["start"]), x["p"]))
-    last = F.coalesce(F.element_at(F.transform(F.slice(pieces, F.greatest(F.lit(1), F.size(pieces)), 1), lambda x: x["end"]), 1), F.lit(0))
+    last = F.coalesce(F.get(pieces, F.size(pieces) - 1)["end"], F.lit(0))
     return F.concat(F.array_join(parts, ""), part(of, last, F.length(text)))
 
 
@@ -135,7 +135,7 @@ def segments(text: Column, detections: Column) -> Column:
         cut = lambda a, z: part(of, F.least(a, n), F.greatest(F.least(a, n), F.least(z, n)))
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])
         pieces = F.transform(s, lambda d, i: F.array(F.struct(cut(before(i), d["start"]).alias("piece"), F.lit(None).cast("int").alias("ord")), F.struct(cut(d["start"], d["end"]).alias("piece"), d["ord"].cast("int").alias("ord"))))
-        rest = F.struct(cut(F.coalesce(F.element_at(F.transform(F.slice(s, F.greatest(F.lit(1), F.size(s)), 1), lambda d: d["end"]), 1), F.lit(0)), n).alias("piece"), F.lit(None).cast("int").alias("ord"))
+        rest = F.struct(cut(F.coalesce(F.get(s, F.size(s) - 1)["end"], F.lit(0)), n).alias("piece"), F.lit(None).cast("int").alias("ord"))
         return F.filter(F.concat(F.flatten(pieces), F.array(rest)), lambda x: x["piece"] != "")
 
     return let(_by_place(at), lambda s: let(blocks(text), lambda of: let(F.length(text), lambda n: of_all(s, of, n))))

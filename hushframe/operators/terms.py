@@ -65,9 +65,13 @@ def index(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = usable.select("token").distinct()
     have = docs.select(F.explode(seen).alias("token")).join(_small(wanted), "token").groupBy("token").agg(F.count("*").alias("docs"))
     ranked = usable.join(have, "token", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), F.xxhash64("token").alias("h"), "token", "offset")).alias("m"))
-    n = F.length("term")
-    own = F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.right("term", n - k) == F.left("term", n - k)))
-    return ranked.where("m.docs > 0").select("term", F.col("m.token").alias("token"), F.col("m.offset").alias("offset"), own.alias("own"))
+    return ranked.where("m.docs > 0").select("term", F.col("m.token").alias("token"), F.col("m.offset").alias("offset"), _overlaps(F.col("term")).alias("own"))
+
+
+def _overlaps(term: Column) -> Column:
+    """Whether a term can begin within another place of itself."""
+    n = F.length(term)
+    return F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.right(term, n - k) == F.left(term, n - k)))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -145,5 +149,5 @@ def people(docs: DataFrame, first_names: DataFrame, doc: str = "doc_id", text: s
     texts = own.join(named.select(F.col("in").alias(doc)).distinct(), doc, "left_semi")
     longest = named.agg(F.coalesce(F.max(F.length("term")), F.lit(1))).first()[0]
     rows = _rows(texts, [doc], text, 5, longest, False)
-    met = rows.join(named, (F.col(doc) == F.col("in")) & (rows["token"] == named["token"])).select(doc, rows["token"], "at", "before", "after", "term", "name", F.lit(0).alias("offset"), F.lit(False).alias("own"))
-    return _verified(met, [doc, "name"]).select(doc, "name", "start", "end").distinct()
+    met = rows.join(named, (F.col(doc) == F.col("in")) & (rows["token"] == named["token"])).select(doc, rows["token"], "at", "before", "after", "term", "name", F.lit(0).alias("offset"), _overlaps(F.col("term")).alias("own"))
+    return _apart(_verified(met, [doc, "name"]).distinct(), [doc, "name"]).select(doc, "name", "start", "end")

@@ -511,8 +511,10 @@ _NAMED = "regexp_extract_all(regexp_replace(text, '([a-z])''s', '\\1_s', 'g'), '
 @query(
     f"""WITH f AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b'))) AS first FROM conversations),
     n AS (SELECT DISTINCT doc_id, unnest({_NAMED}) AS name FROM documents),
-    k AS (SELECT doc_id, name FROM n WHERE lower(string_split(name, ' ')[1]) IN (SELECT first FROM f) AND NOT list_has_any(string_split(lower(name), ' '), [{", ".join(f"'{w}'" for w in V.NOT_A_NAME)}]))
-    SELECT doc_id, name, s AS start, e AS "end" FROM k JOIN ({_runs_sql("documents", "doc_id")}) USING (doc_id) WHERE run = lower(name)"""
+    k AS (SELECT doc_id, name FROM n WHERE lower(string_split(name, ' ')[1]) IN (SELECT first FROM f) AND NOT list_has_any(string_split(lower(name), ' '), [{", ".join(f"'{w}'" for w in V.NOT_A_NAME)}])),
+    p AS (SELECT doc_id, name, len(name) AS n, list_sort(list(DISTINCT s)) AS found FROM k JOIN ({_runs_sql("documents", "doc_id")}) USING (doc_id) WHERE run = lower(name) GROUP BY doc_id, name),
+    o AS (SELECT doc_id, name, n, unnest(list_reduce(list_transform(found, lambda x: [x]), lambda a, b: CASE WHEN a[len(a)] + n <= b[1] THEN a || b ELSE a END)) AS s FROM p)
+    SELECT doc_id, name, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end" FROM o"""
 )
 def people_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons by a dictionary: the capitalised words of all conversations stand for first names."""

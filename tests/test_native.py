@@ -173,4 +173,5 @@ def test_similar_hashes(spark, threshold):
     got = {(r.image_id, r.target_id): (r.distance, r.similarity) for r in images.similar(x, y, threshold).collect()}
     ok = [(i, int(h, 16)) for i, h in rows if h and len(h) == 16]
     every = {(i, j): (v ^ w).bit_count() for i, v in ok for j, w in ok if j % 3 == 0 or j > 199}
-    assert got == {k: (d, round((64 - d) / 64 * 100, 2)) for k, d in every.items() if round((64 - d) / 64 * 100, 2) >= threshold}
+    like = lambda d: int((64 - d) / 64 * 10_000 + 0.5) / 100
+    assert got == {k: (d, like(d)) for k, d in every.items() if like(d) >= threshold}
