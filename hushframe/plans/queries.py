@@ -415,10 +415,16 @@ NOTE = "concat_ws('\n', " + ", ".join([
 NOTES = Config(company=Company("Acme", ["Example Ltd"], ["example.com"]), custom=Custom(["paid", "rate"], [Named("street", ["host"])], [Named("passport")]), detection=Detection(0, True, list(CATEGORIES)))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers over all cores: what is made of a row here takes far longer than reading it."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return own.repartition(max(own.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+
+
 @query(_rule_table_sql(NOTES, "(SELECT c_custkey AS doc_id, " + NOTE.replace("as string", "AS VARCHAR").replace("'\n'", "chr(10)") + " AS text FROM customer)"))
 def rules_over_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of engine B, on a note for each customer."""
-    notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(NOTE).alias("text"))
+    notes = _dealt(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.expr(NOTE).alias("text"))
     found = detect_rules(notes, NOTES)
     return exploded(found.select("doc_id", F.col("detections").alias("d")), "d").select("doc_id", "d.subcategory", "d.start", "d.end", "d.placeholder", "d.approved")
 
@@ -441,7 +447,7 @@ _LETTERS_SQL = "(SELECT c_custkey AS doc_id, " + LETTER.replace("as string", "AS
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(LETTER).alias("text"))
+    return _dealt(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), F.expr(LETTER).alias("text"))
 
 
 @query(f'SELECT doc_id, v AS text, type, s AS start, e AS "end", confidence, emission FROM ({entities_sql.entities(_LETTERS_SQL)})')
