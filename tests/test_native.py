@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import arrays
 from hushframe.functions import native as N
-from hushframe.functions.dialect import RUN_CLASS, needs, to_python
+from hushframe.functions.dialect import RUN_CLASS, first_characters, needs, to_java, to_python, to_search
 from hushframe.functions.spans import places
 from hushframe.operators import images, mask, terms
 from hushframe.operators.detect import detect, detect_native, detect_rules
@@ -53,6 +53,23 @@ def test_what_patterns_need(texts):
                 assert not to_python(p, f).search(t), (p, n)
 
 
+def test_searched_patterns(spark, texts):
+    """A pattern that leaves places at a look at one character finds what the plain one finds, and is a literal of the plan."""
+    rules = [(p, f) for r in N.built_in() for p, f in r.patterns] + [(r[-1], r[-2]) for r in R.V.RULES]
+    led = [(p, f) for p, f in rules if to_search(p, f) != to_java(p, f)]
+    assert len(led) > 0.9 * len(rules)
+    for t in filter(None, texts[-23:]):
+        for p, f in led:
+            assert all(m.group()[0] in first_characters(p, f) for m in to_python(p, f).finditer(t))
+    df = spark.createDataFrame([(t,) for t in texts[-23:]], "t string")
+    for i in range(0, len(led), 40):
+        of = led[i : i + 40]
+        both = df.select(*(F.regexp_extract_all("t", F.lit(f"({to(p, f)})"), F.lit(1)).alias(f"{to.__name__}{k}") for k, (p, f) in enumerate(of) for to in (to_java, to_search)))
+        for r in both.collect():
+            assert all(r[f"to_java{k}"] == r[f"to_search{k}"] for k in range(len(of)))
+    assert first_characters(r"a*") is None and first_characters(r"\b(?:x|[yz])", "i") == set("xyzXYZ")
+
+
 @pytest.mark.parametrize("people", [(), ("maria", "Stteen", "thnding")])
 def test_engine_a(spark, texts, people):
     names = ["Stteen Erachtz", "the", " a "]
