@@ -1,13 +1,16 @@
-"""Any number of terms in any number of documents, by an index of the terms' rarest tokens.
+"""Any number of terms in any number of documents, by an index of the terms.
 
 A term is found where its text stands, in any case of A-Z, with an edge of an ASCII word at either end: what the pattern
-``\\bterm\\b`` finds.  Inside, words of a term are whole words of the text, and a term without any word character is a
-whole stretch between words.  So each term is filed under one of its tokens, the one that the documents have least often; a
-document's tokens, with their places and as much text around as the longest term needs, meet the index in one join, and
-what stands there is compared with the term.  A term's cost is that of its rarest token, not of the number of terms.
+``\\bterm\\b`` finds.  So a term is a run of whole tokens, which are words and the whole stretches between words.  Terms of up to
+``SHORT`` tokens are joined as they are: a document gives its runs of each number of tokens that terms have, and a run that
+is a term is a place of it.  The work is that of the documents' runs and of the places, however many terms share a word.
+
+Longer terms are filed under one of their tokens, the one that the documents have least often; a document's tokens, with
+their places and as much text around as the longest such term needs, meet the index in one join, and what stands there is
+compared with the term.
 
 The index is broadcast if it is small by count and bytes (``BROADCAST_TERMS``, ``BROADCAST_BYTES``), so documents aren't
-shuffled; beyond that tokens are shuffled, with adaptive execution splitting those that are frequent.  Everything is
+shuffled; beyond that runs and tokens are shuffled, with adaptive execution splitting those that are frequent.  Everything is
 expressions and joins.
 """
 
@@ -22,6 +25,7 @@ from hushframe.functions.dialect import SPACES
 from hushframe.operators.detect import CAPITALISED, exploded, no_role
 
 BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 1 << 26
+SHORT = 5
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = "[a-z0-9_]+"
 
@@ -51,10 +55,14 @@ def _is_word(c: Column) -> Column:
     return c.rlike("^[a-z0-9_]")
 
 
+def _once(terms: DataFrame) -> DataFrame:
+    return terms.select(normal(F.col("term")).alias("term")).where("term <> ''").distinct()
+
+
 def index(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``term`` (normal form, each once), ``token`` (its rarest in ``docs``), ``offset`` (where that begins in the term),
     ``own`` (whether the term can overlap itself) and what verification needs; terms without any character are left out."""
-    once = terms.select(normal(F.col("term")).alias("term")).where("term <> ''").distinct()
+    once = _once(terms)
     parts = once.select("term", F.explode(tokens(F.col("term"))).alias("t")).select("term", F.col("t.token").alias("token"), F.col("t.at").alias("offset"))
     parts = parts.where("token <> ''").withColumn("word", _is_word(F.col("token")))
     # A term with a word is filed under a word; stretches between words count only for terms that have none.
@@ -74,6 +82,12 @@ def _overlaps(term: Column) -> Column:
     return F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.right(term, n - k) == F.left(term, n - k)))
 
 
+def _recurs(t: Column) -> Column:
+    """Whether a run of tokens can begin within another place of itself."""
+    n = F.size(t)
+    return F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.slice(t, k + 1, F.greatest(n - k, F.lit(0))) == F.slice(t, 1, F.greatest(n - k, F.lit(0)))))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """To be broadcast if it is small, by count and by bytes of its strings."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
@@ -122,16 +136,53 @@ def _apart(found: DataFrame, keys: list[str]) -> DataFrame:
     return plain.unionByName(places.select(*keys, "term", F.explode(kept).alias("start"), "n").select(*keys, "term", "start", (F.col("start") + F.col("n")).cast("int").alias("end")))
 
 
+def _runs(docs: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """``keys``, ``term`` and ``at`` of all runs of so many whole tokens that have an edge of a word at either end."""
+
+    def of_all(t: Column, p: Column) -> Column:
+        inner = lambda x: _is_word(x["token"]) | ((x["at"] > 0) & (x["i"] < F.size(p) - 1))
+        # A stretch at either end of the text has no edge on its outer side.
+        ends = let(F.transform(t, inner), lambda ok: F.transform(t, lambda x, i: F.struct(x["at"].alias("at"), F.filter(F.array(*(_run(p, ok, i, n) for n in sizes)), lambda r: r.isNotNull()).alias("runs"))))
+        return F.filter(ends, lambda x: F.size(x["runs"]) > 0)
+
+    def _run(p: Column, ok: Column, i: Column, n: int) -> Column:
+        stands = F.get(ok, i) & F.coalesce(F.get(ok, i + (n - 1)), F.lit(False))
+        return F.when(stands, F.concat(*(F.get(p, i + k) for k in range(n))))
+
+    own = let(tokens(folded(F.col(text))), lambda t: let(F.transform(t, lambda x: x["token"]), lambda p: of_all(t, p)))
+    at = exploded(docs.where(F.col(text).isNotNull()).select(*keys, own.alias("__t")), "__t")
+    return exploded(at.select(*keys, F.col("__t.at").alias("at"), F.col("__t.runs").alias("term")), "term")
+
+
 def find_terms(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Every place of every ``term`` of ``terms`` in ``docs``: ``doc``, ``term`` (normal form), ``start``, ``end``.
 
     Null terms and texts have none; terms that are equal in normal form are one; rows that repeat ``doc`` each give theirs.
     """
-    known = index(terms, docs, text).persist(StorageLevel.DISK_ONLY)  # it is asked for its bounds before it is joined
-    size = F.size(F.filter(tokens(F.col("term")), lambda t: t["token"] != ""))
-    most, longest, stretches = known.agg(F.coalesce(F.max(size), F.lit(1)), F.coalesce(F.max(F.length("term")), F.lit(1)), F.coalesce(F.max(~_is_word(F.col("token"))), F.lit(False))).first()
-    rows = _rows(docs.select(doc, text), [doc], text, most, longest, stretches)
-    return _apart(_verified(rows.join(_small(known), "token"), [doc]), [doc])
+    docs = docs.select(doc, text)
+    tokens_of = F.filter(F.transform(tokens(F.col("term")), lambda t: t["token"]), lambda t: t != "")
+    sized = _once(terms).select("term", tokens_of.alias("t")).select("term", F.size("t").alias("size"), F.when(F.size("t") <= SHORT, _recurs(F.col("t"))).otherwise(False).alias("own"))
+    # Asked for its bounds before it is joined; as a stored column, ``own`` isn't worked out anew for each run of a document.
+    sized = sized.persist(StorageLevel.DISK_ONLY)
+    kinds = sized.groupBy(F.least("size", F.lit(SHORT + 1)).alias("size"), "own").count().collect()
+    found = docs.sparkSession.createDataFrame([], docs.select(doc, F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).schema)
+
+    def placed(own: bool) -> DataFrame:
+        sizes = sorted(k["size"] for k in kinds if k["own"] == own and k["size"] <= SHORT)
+        of = sized.where((F.col("size") <= SHORT) & (F.col("own") == own)).select("term")
+        return _runs(docs, [doc], text, sizes).join(_small(of), "term").select(doc, "term", F.col("at").cast("int").alias("start"), (F.col("at") + F.length("term")).cast("int").alias("end"))
+
+    if any(k["size"] <= SHORT and not k["own"] for k in kinds):
+        found = placed(False)
+    if any(k["own"] for k in kinds):
+        found = found.unionByName(_apart(placed(True).withColumn("own", F.lit(True)), [doc]))
+    if any(k["size"] > SHORT for k in kinds):
+        longer = sized.where(F.col("size") > SHORT)
+        known = index(longer.select("term"), docs, text).persist(StorageLevel.DISK_ONLY)
+        most, longest = longer.agg(F.max("size"), F.max(F.length("term"))).first()
+        rows = _rows(docs, [doc], text, most, longest, False)  # a term of several tokens has a word
+        found = found.unionByName(_apart(_verified(rows.join(_small(known), "token"), [doc]), [doc]))
+    return found
 
 
 def people(docs: DataFrame, first_names: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -173,6 +173,15 @@ def test_terms(spark, monkeypatch):
     assert terms.find_terms(docs.limit(0), of).count() == terms.find_terms(docs, of.limit(0)).count() == 0
 
 
+def test_terms_that_share_words(spark):
+    """Short terms are met as whole runs, not at each place of a word that many of them have."""
+    words = [f"{a} {b} {c}" for a in "xyz" for b in "xyz" for c in "xyz"]
+    docs = spark.createDataFrame([(1, "x y x y x z, x  y; X Y Z")], "doc_id int, text string")
+    found = terms.find_terms(docs, spark.createDataFrame([(w,) for w in words], "term string"))
+    assert "offset" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.term, r.start) for r in found.collect()) == [("x y x", 0), ("x y z", 19), ("y x y", 2), ("y x z", 6)]
+
+
 def test_people(spark, texts):
     names = ["Maria", " stteen ", "thnding", None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
