@@ -16,8 +16,10 @@ Answers are derived from sets that are highly similar: each list has a pivot, it
 are frequent, as in the original of many copies), and every other entry is first compared with a pivot alone: the one
 that most of the set's lists have.  Entries that the links found so far already connect need no comparison.  For the
 others, overlaps with the common pivot bound the overlap of two sets from both sides,
-|x and p| + |y and p| - |p| <= |x and y| <= |x and p| + |y| - |y and p|, and decide most pairs without looking at them; only
-undecided pairs are compared in full.  A list in which many sets are still unconnected after that is split: two of its
+|x and p| + |y and p| - |p| <= |x and y| <= |x and p| + |y| - |y and p|, and decide most pairs without looking at them.  A set
+also has a profile, the numbers of its n-grams by ranges of their hashes: two sets share no more than the smaller numbers of
+each range.  Sets are read and compared in full only for pairs that neither bound decides, so those that share a few rare
+n-grams by chance, which a growing corpus has ever more of, cost a profile and not a set.  A list in which many sets are still unconnected after that is split: two of its
 sets that can link share a further n-gram among the next ones of either, so they meet again in a list of both n-grams.
 That goes on until lists are short, or until sets share as many n-grams as a link needs.  The result is exact: a pair is
 left out only if it can't link or if its two sets are connected anyway.
@@ -53,6 +55,8 @@ BITS = 20
 #: Entries of a list that go into one salt; rows of a table of sets or pairs that is broadcast, at most.
 SALTED, BROADCAST = 512, 500_000
 _ROWS = 1 << 20
+#: Ranges of a profile, as a binary logarithm.
+PROFILE = 7
 #: Rounds of comparisons with pivots before lists are split; lists with at most so many pairs of unconnected sets aren't,
 #: and what is left after so many splits is compared pair by pair.
 ROUNDS, FEW, SPLITS = 4, 1 << 22, 3
@@ -78,6 +82,11 @@ def _name(s: np.ndarray) -> bytes:
     return np.array([np.sum(mix(s ^ _WHOLE), dtype=U) + U(len(s)), np.sum(mix(mix(s) ^ _OTHER), dtype=U)], U).tobytes()
 
 
+def _profile(s: np.ndarray) -> bytes:
+    """The numbers of a set's n-grams by ranges of hashes, a byte each; larger ones are 255, which leaves a bound a bound."""
+    return np.minimum(np.bincount((s >> U(64 - PROFILE)).astype(np.int64), minlength=1 << PROFILE), 255).astype(np.uint8).tobytes()
+
+
 def _order(level: np.ndarray, s: np.ndarray) -> np.ndarray:
     """The places of a set's n-grams in the order that all sets share."""
     return np.lexsort((s, level))
@@ -101,31 +110,31 @@ def _keys(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
 
 
 def _buckets(docs: DataFrame, words: int, num: int, den: int, sketch) -> DataFrame:
-    """One row for each batch: its documents with their sets' names, sizes and numbers (unique by row), and the rarest
-    n-grams of each set."""
+    """One row for each batch: its documents with their sets' names, sizes, profiles and numbers (unique by row), and the
+    rarest n-grams of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get(), 0
         for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             m, bucket, made = batch.num_rows, task.partitionId() << 22 | made, made + 1
-            n, cent, kept, name, tokens = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.int32), [None] * m, []
+            n, cent, kept, name, profile, tokens = np.zeros(m, np.int64), np.zeros(m, np.int32), np.zeros(m, np.int32), [None] * m, [None] * m, []
             for i, s in _sets(batch.column(1), words):
                 level = countmin.frequency(sketch.value, BITS, s)
-                n[i], cent[i], name[i] = len(s), int(100 * level.mean()), _name(s)
+                n[i], cent[i], name[i], profile[i] = len(s), int(100 * level.mean()), _name(s), _profile(s)
                 kept[i] = len(s) - -(-num * len(s) // den) + 1
                 tokens.append(s[_order(level, s)[: kept[i]]])
             array = lambda x: pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), x)
             all_tokens = np.concatenate([np.zeros(0, U), *tokens])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([bucket]), array(batch.column(0)), array(batch.column(2)), array(pa.array(name, pa.binary())), array(pa.array((bucket << 20) + np.arange(m))), array(pa.array(n)), array(pa.array(cent)),
+                    pa.array([bucket]), array(batch.column(0)), array(batch.column(2)), array(pa.array(name, pa.binary())), array(pa.array(profile, pa.binary())), array(pa.array((bucket << 20) + np.arange(m))), array(pa.array(n)), array(pa.array(cent)),
                     array(pa.array(kept)), pa.array([all_tokens.tobytes()], pa.binary()), pa.array([len(all_tokens)], pa.int64()),
                 ],
-                ["bucket", "doc_id", "text_key", "name", "sid", "n", "cent", "kept", "keys", "n_keys"],
+                ["bucket", "doc_id", "text_key", "name", "profile", "sid", "n", "cent", "kept", "keys", "n_keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, text_key array<long>, name array<binary>, sid array<long>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(trimmed(run), f"bucket long, doc_id array<{kind}>, text_key array<long>, name array<binary>, profile array<binary>, sid array<long>, n array<long>, cent array<int>, kept array<int>, keys binary, n_keys long")
 
 
 def _entries(buckets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -204,14 +213,36 @@ def _members(docs: DataFrame, reps: DataFrame, sids: DataFrame, words: int, sket
     return cut(sets.dropDuplicates(["sid"])) if sets.count() > wanted.count() else sets  # rows that repeat id and text
 
 
-def _overlaps(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` (a, na, b, nb) with the overlap of the two sets and whether they link."""
-    pairs = cut(pairs)
+def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``pairs`` (a, na, b, nb) with ``most``, the overlap that the two profiles leave room for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 1 << PROFILE).astype(np.int32) for i in (4, 5))
+            most = (batch.column(1).to_numpy() + batch.column(3).to_numpy() - np.abs(x - y).sum(1)) // 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(most, pa.int64())], ["a", "na", "b", "nb", "most"])
+
     small = _small(pairs)
-    one, two = (small.join(sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")), s) for s in "ab")
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    got = one.select("a", "b", "na", "nb", "grams_a").join(two.select("a", "b", "grams_b"), ["a", "b"]).select("a", "na", "b", "nb", both.alias("both"))
-    return cut(got.dropDuplicates(["a", "b"]).withColumn("linked", F.col("both") >= _need(F.col("na"), F.col("nb"), num, den)))
+    one, two = (small.join(reps.select(F.col("sid").alias(s), F.col("profile").alias(f"profile_{s}")), s) for s in "ab")
+    both = one.join(two.select("a", "b", "profile_b"), ["a", "b"])
+    return cut(both.select("a", "na", "b", "nb", "profile_a", "profile_b").mapInArrow(run, "a long, na long, b long, nb long, most long"))
+
+
+def _overlaps(members, reps: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, na, b, nb) with the overlap of the two sets (``both``; null if they can't link), what it is at most, and
+    whether they link.  ``members`` gives the sets of a table of ``sid``."""
+    with scope() as made:
+        pairs = _bounded(cut(pairs), reps)
+        need = _need(F.col("na"), F.col("nb"), num, den)
+        near = cut(pairs.where(F.col("most") >= need).select("a", "b").distinct())
+        sets, small = members(near.select(F.explode(F.array("a", "b")).alias("sid"))), _small(near)
+        one, two = (small.join(sets.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}")), s) for s in "ab")
+        got = one.join(two, ["a", "b"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+        got = cut(got)  # numbers, so that the sets go before further tables are made
+        out = pairs.join(_small(got), ["a", "b"], "left").select("a", "na", "b", "nb", "both", F.coalesce("both", "most").alias("most"))
+        out = cut(out.dropDuplicates(["a", "b"]).withColumn("linked", F.coalesce(F.col("both") >= need, F.lit(False))))
+        keep_only(made, out)
+    return out
 
 
 def near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -255,11 +286,11 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     context = docs.sparkSession.sparkContext
     sketch = context.broadcast(countmin.frequencies(docs.select("text"), lambda batch: _keys(batch, words), BITS))
     buckets = cut(_buckets(docs, words, num, den, sketch))
-    rows = buckets.select(F.inline(F.arrays_zip("doc_id", "text_key", "n", "name", "sid"))).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "name", "sid")
-    named = cut(rows.drop("sid", "text_key"))
+    rows = buckets.select(F.inline(F.arrays_zip("doc_id", "text_key", "n", "name", "profile", "sid"))).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "name", "profile", "sid")
+    named = cut(rows.drop("sid", "text_key", "profile"))
     # Of each set, the least id and a row that has it.
-    reps = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "text_key")).alias("r"))
-    reps = cut(reps.select("name", F.col("r.doc_id").alias("doc_id"), F.col("r.sid").alias("sid"), F.col("r.text_key").alias("text_key")))
+    reps = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "text_key", "profile")).alias("r"))
+    reps = cut(reps.select("name", F.col("r.doc_id").alias("doc_id"), F.col("r.sid").alias("sid"), F.col("r.text_key").alias("text_key"), F.col("r.profile").alias("profile")))
     with scope() as used:
         lists = cut(_entries(buckets, reps, num, den).withColumn("at", F.lit(1)))
         keep_only(used, lists)
@@ -281,8 +312,8 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
 
     at = cut(star(lists))
     drop(lists)
-    sets = _members(docs, reps, at.select("sid"), words, sketch)
-    known = _overlaps(sets, with_pivots(at), num, den)
+    members = lambda sids: _members(docs, reps, sids, words, sketch)
+    known = _overlaps(members, reps, with_pivots(at), num, den)
     before = float("inf")
     for k in range(ROUNDS):
         # What is left of the lists whose sets aren't all connected; comp is a set's component so far.
@@ -298,7 +329,7 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         # A list's entries that aren't connected with their pivot get a pivot of their own, the most central of them.
         of = at.where("sid = pivot").select("token", "pivot", F.col("comp").alias("of"), F.col("heat").alias("h"))
         apart = cut(star(_join(at, _everywhere(of, "h"), "pivot").where("comp <> of").drop("of")))
-        more = _overlaps(sets, with_pivots(apart).join(known.select("a", "b"), ["a", "b"], "left_anti"), num, den)
+        more = _overlaps(members, reps, with_pivots(apart).join(known.select("a", "b"), ["a", "b"], "left_anti"), num, den)
         known = cut(known.unionByName(more))
         new = apart.select("token", "sid", F.col("pivot").alias("new"), F.col("np").alias("new_n"), F.col("pp").alias("new_p"))
         at = cut(at.join(new, ["token", "sid"], "left").withColumns({"pivot": F.coalesce("new", "pivot"), "np": F.coalesce("new_n", "np"), "pp": F.coalesce("new_p", "pp")}).drop("new", "new_n", "new_p"))
@@ -319,23 +350,23 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         linked = _join(full, _everywhere(least, "h")).where((F.col("sid") != F.col("m.sid")) & (F.col("at") >= _need(F.col("n"), F.col("m.n"), num, den)))
         ripe.append(linked.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")))
         last = F.least(F.col("n") - F.col("need") + F.col("at"), F.col("n") - 1).cast("int")
-        longer = long.join(sets, "sid").withColumn("last", last).where("pos < last").select("*", F.explode(F.sequence(F.col("pos") + 1, F.col("last"))).alias("next"))
+        longer = long.join(members(long.select("sid")), "sid").withColumn("last", last).where("pos < last").select("*", F.explode(F.sequence(F.col("pos") + 1, F.col("last"))).alias("next"))
         at = longer.select(F.xxhash64("token", F.get("grams", F.col("next"))).alias("token"), "sid", "n", F.col("next").alias("pos"), "need", "heat", "comp", "pivot", "np", (F.col("at") + 1).alias("at"))
 
     at = functools.reduce(DataFrame.unionByName, done)
-    with_pivot = cut(known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both").union(known.select("b", "a", "both")))
-    at = at.join(_small(with_pivot), ["sid", "pivot"], "left").withColumn("both", F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col("both")))
+    with_pivot = cut(known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "both", "most").union(known.select("b", "a", "both", "most")))
+    at = at.join(_small(with_pivot), ["sid", "pivot"], "left").withColumns({k: F.when(F.col("sid") == F.col("pivot"), F.col("n")).otherwise(F.col(k)) for k in ("both", "most")})
     at = cut(at)
-    x = at.where(small).select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"), "at")
-    y = at.select("token", F.col("pivot").alias("py"), F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"))
+    x = at.where(small).select("token", F.col("pivot").alias("px"), "np", F.col("sid").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("both").alias("ba"), F.col("most").alias("ma"), "at")
+    y = at.select("token", F.col("pivot").alias("py"), F.col("sid").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("both").alias("bb"), F.col("most").alias("mb"))
     pairs = x.join(y, "token").where((F.col("na") <= F.col("nb")) & (F.col("ca") != F.col("cb")) & fits)
     same = F.col("px") == F.col("py")
-    at_most = F.coalesce(F.when(same, F.least(F.col("ba") + F.col("nb") - F.col("bb"), F.col("bb") + F.col("na") - F.col("ba"))), F.least("na", "nb"))
+    at_most = F.coalesce(F.when(same, F.least(F.col("ma") + F.col("nb") - F.coalesce("bb", F.lit(0)), F.col("mb") + F.col("na") - F.coalesce("ba", F.lit(0)))), F.least("na", "nb"))
     at_least = F.coalesce(F.when(same, F.col("ba") + F.col("bb") - F.col("np")), F.lit(0))
     need = _need(F.col("na"), F.col("nb"), num, den)
     pairs = pairs.where(at_most >= need).select("x", F.col("na").alias("nx"), "y", F.col("nb").alias("ny"), (at_least >= need).alias("sure"))
     pairs = cut(pairs.select(*order, "sure").groupBy("a", "na", "b", "nb").agg(F.max("sure").alias("sure")).join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    last = _overlaps(sets, pairs.where("not sure").drop("sure"), num, den)
+    last = _overlaps(members, reps, pairs.where("not sure").drop("sure"), num, den)
     label = components(functools.reduce(DataFrame.union, [links, pairs.where("sure").select("a", "b"), last.where("linked").select("a", "b"), *ripe]))
 
     of_set = reps.join(label.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

@@ -65,3 +65,32 @@ def test_split_looks_at_ranges_that_are_there():
     assert time.perf_counter() - began < 2
     assert got[0][1] == 0 and got[-1][2] == len(cell) and all(x[2] == y[1] and x[0] < y[0] for x, y in zip(got, got[1:]))
     assert [*countmin.split(cell[:0], 12)] == []
+
+
+def test_sets_that_meet_by_chance_are_not_read(spark, monkeypatch):
+    """Texts of passages, each of which one other text has as well: rare n-grams that lead to no link."""
+    word = lambda *of: f"w{abs(hash(of))}"
+    passage = lambda a, b: " ".join(word(min(a, b), max(a, b), i) for i in range(40))
+    rows = [(i, " ".join(passage(i, (i + d) % 40) for d in (-3, -2, -1, 1, 2, 3))) for i in range(40)]
+    rows += [(100, f"{rows[7][1]} tail"), (101, None), (102, rows[7][1].replace(" ", "\n"))]
+    read, members = [], op10_ngram_jaccard._members
+
+    def counted(docs, reps, sids, *more):
+        read.append(sids.distinct().count())
+        return members(docs, reps, sids, *more)
+
+    monkeypatch.setattr(op10_ngram_jaccard, "_members", counted)
+    got = {r.doc_id: r.component_id for r in op10_ngram_jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows} | {100: 7, 102: 7}
+    assert 2 <= sum(read) <= 6, read
+
+
+def test_profiles_bound_overlaps(spark):
+    """What two profiles leave room for is never less than the overlap, also where numbers are cut off at 255."""
+    draw = np.random.default_rng(3)
+    pool = np.unique(draw.integers(0, 2**64, 60_000, dtype=np.uint64))
+    sets = [np.unique(draw.choice(pool, n, replace=False)) for n in (1, 30, 700, 9_000, 40_000, 59_000, 59_500)] + [pool[:50_000], pool[1_000:52_000], np.array([5], U)]
+    reps = spark.createDataFrame([(i, bytearray(op10_ngram_jaccard._profile(s))) for i, s in enumerate(sets)], "sid long, profile binary")
+    pairs = spark.createDataFrame([(i, len(x), j, len(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j], "a long, na long, b long, nb long")
+    got = {(r.a, r.b): r.most for r in op10_ngram_jaccard._bounded(pairs, reps).collect()}
+    assert len(got) == 45 and all(len(np.intersect1d(sets[a], sets[b])) <= most <= (len(sets[a]) + len(sets[b])) // 2 for (a, b), most in got.items())
