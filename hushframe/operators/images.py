@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First bytes (hex) by kind of image.
 MAGIC = [("png", "^89504E470D0A1A0A"), ("jpeg", "^FFD8FF"), ("gif", "^47494638"), ("bmp", "^424D"), ("webp", "^52494646.{8}57454250")]
 
+#: Hashes of a block, comparisons made at once, parts that targets are dealt to; blocks are compared whole if bands let more than this share of all pairs meet.
+BLOCK, AT_ONCE, PARTS, SELECTIVE = 4096, 1 << 18, 4, 1 / 64
+
 
 def image_kind(content: Column) -> Column:
     """png, jpeg, gif, bmp, webp or null."""
@@ -40,11 +46,17 @@ def image_size(b: bytes | None) -> tuple[int, int] | None:
     return None
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once for a row, however often it is named there or within functions of elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def average_hash(pixels: Column) -> Column:
     """16 hex digits of 64 grey values: a bit is set if its pixel is above the mean."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
-    bits = F.array_join(F.transform(pixels, lambda x: F.when(x > mean, "1").otherwise("0")), "")
-    return F.lower(F.concat(*(F.lpad(F.conv(F.substring(bits, 16 * i + 1, 16), 2, 16), 4, "0") for i in range(4))))
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.size(p)
+    bits = lambda p, m: F.array_join(F.transform(p, lambda x: F.when(x > m, "1").otherwise("0")), "")
+    digits = lambda b: F.lower(F.concat(*(F.lpad(F.conv(F.substring(b, 16 * i + 1, 16), 2, 16), 4, "0") for i in range(4))))
+    return _once(pixels, lambda p: _once(mean(p), lambda m: _once(bits(p, m), digits)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -75,31 +87,72 @@ def farthest(threshold: float, bits: int = 64) -> int:
     return max((d for d in range(bits + 1) if int((bits - d) / bits * 10_000 + 0.5) / 100 >= threshold), default=-1)
 
 
+def _by_blocks(x: DataFrame, y: DataFrame, far: int) -> DataFrame:
+    """Pairs ``a``, ``b``, ``distance`` of two tables of distinct hashes (``v``), all compared, a block with a block: no row of
+    Spark is made for a pair that is too far apart."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = np.concatenate([held, batch.column(0).to_numpy()])
+            while len(held) >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array([held[:BLOCK].tobytes()], pa.binary())], ["block"])
+                held = held[BLOCK:]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["block"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of_x, of_y in zip(*batch.columns):
+                one, two = (np.frombuffer(b.as_buffer(), np.int64) for b in (of_x, of_y))
+                step = max(1, AT_ONCE // len(two))
+                for at in range(0, len(one), step):
+                    distance = np.bitwise_count(one[at : at + step, None].view(np.uint64) ^ two[None].view(np.uint64))
+                    i, j = np.nonzero(distance <= far)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(one[at + i]), pa.array(two[j]), pa.array(distance[i, j].astype(np.int32))], ["a", "b", "distance"])
+
+    spark = x.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
+    one, two = (df.select("v").mapInArrow(packed, "block binary").repartition(n) for df, n in ((x, parts), (y, PARTS)))
+    return one.hint("shuffle_replicate_nl").crossJoin(two.select(F.col("block").alias("other"))).mapInArrow(compared, "a long, b long, distance int")
+
+
+def _by_bands(x: DataFrame, y: DataFrame, far: int, edges: list[int]) -> DataFrame:
+    """The same, of which only those are compared that agree in a band but for one bit at most."""
+    bands = len(edges) - 1
+    cut = lambda v, i: F.shiftrightunsigned(v, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1).cast("long"))
+    filed = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).alias("part")) for i in range(bands)))
+    near = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).bitwiseXOR(F.lit(flip).cast("long")).alias("part")) for i in range(bands) for flip in [0, *(1 << b if b < 63 else -(1 << 63) for b in range(edges[i + 1] - edges[i]))])) if far > 0 else filed
+    x = x.select(F.col("v").alias("a"), F.inline(filed))
+    y = y.select(F.col("v").alias("b"), F.inline(near))
+    differs = lambda i: F.bit_count(cut(F.col("a"), i).bitwiseXOR(cut(F.col("b"), i)))
+    first = F.coalesce(*(F.when(differs(i) <= 1, i) for i in range(bands)))
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return x.join(y, ["band", "part"]).where((F.col("band") == first) & (distance <= far)).select("a", "b", distance.alias("distance"))
+
+
 def similar(images: DataFrame, targets: DataFrame, threshold: float = 85, image: str = "image_id", target: str = "target_id", column: str = "hash") -> DataFrame:
     """Pairs of a table of images and a table of targets as similar as ``threshold`` asks: ``image``, ``target``,
     ``distance``, ``similarity``.
 
     Hashes that differ in at most D bits, cut into bands of which there are more than half as many, agree in one band but
     for one bit at most.  So an image is filed under the value of each of its bands, a target under each of its own and those one bit
-    from it, and only pairs that meet there are compared.  A pair that meets in several bands counts in the first.  Equal
+    from it, and only pairs that meet there are compared.  A pair that meets in several bands counts in the first.  Low
+    thresholds make bands so narrow that nearly all pairs meet (at 67 more often than there are pairs); then blocks of hashes
+    are compared whole, which takes time by the product of the tables and memory by the block.  Equal
     hashes are one until the pairs are known, so many equal pictures are compared once.  Hashes are of 16 hex digits; null
     and other ones are similar to nothing.
     """
     far = farthest(threshold)
     bands = far // 2 + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    once = lambda df: df.select(F.lower(column).alias("h")).where(F.col("h").rlike(r"^[0-9a-f]{16}\z")).distinct().withColumn("v", _bits(F.col("h")))
-    cut = lambda v, i: F.shiftrightunsigned(v, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1).cast("long"))
-    filed = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).alias("part")) for i in range(bands)))
-    near = F.array(*(F.struct(F.lit(i).alias("band"), cut(F.col("v"), i).bitwiseXOR(F.lit(flip).cast("long")).alias("part")) for i in range(bands) for flip in [0, *(1 << b if b < 63 else -(1 << 63) for b in range(edges[i + 1] - edges[i]))])) if far > 0 else filed
-    x = once(images).select(F.col("h").alias("a"), F.col("v").alias("va"), F.inline(filed))
-    y = once(targets).select(F.col("h").alias("b"), F.col("v").alias("vb"), F.inline(near))
-    differs = lambda i: F.bit_count(cut(F.col("va"), i).bitwiseXOR(cut(F.col("vb"), i)))
-    first = F.coalesce(*(F.when(differs(i) <= 1, i) for i in range(bands)))
-    distance = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    pairs = x.join(y, ["band", "part"]).where((F.col("band") == first) & (distance <= far)).select("a", "b", distance.alias("distance"))
-    one = images.select(F.col(image), F.lower(column).alias("a")).join(pairs, "a")
-    both = one.join(targets.select(F.col(target), F.lower(column).alias("b")), "b")
+    hashes = lambda df, *names: df.where(F.lower(column).rlike(r"^[0-9a-f]{16}\z")).select(*names, _bits(F.lower(column)).alias("v"))
+    x, y = hashes(images).distinct(), hashes(targets).distinct()
+    meet = sum((w + 1) / 2**w for w in (z - a for a, z in zip(edges, edges[1:])))
+    pairs = _by_blocks(x, y, far) if meet > SELECTIVE else _by_bands(x, y, far, edges)
+    one = hashes(images, F.col(image)).withColumnRenamed("v", "a").join(pairs, "a")
+    both = one.join(hashes(targets, F.col(target)).withColumnRenamed("v", "b"), "b")
     return both.select(image, target, F.col("distance").cast("int").alias("distance"), F.round((64 - F.col("distance")) / 64 * 100, 2).alias("similarity"))
 
 

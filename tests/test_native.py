@@ -201,3 +201,27 @@ def test_similar_hashes(spark, threshold):
     every = {(i, j): (v ^ w).bit_count() for i, v in ok for j, w in ok if j % 3 == 0 or j > 199}
     like = lambda d: int((64 - d) / 64 * 10_000 + 0.5) / 100
     assert got == {k: (d, like(d)) for k, d in every.items() if like(d) >= threshold}
+
+
+@pytest.mark.parametrize("many", [0, 700])
+def test_hashes_that_bands_do_not_part_are_compared_by_blocks(spark, monkeypatch, many):
+    """At 67 % bands let more pairs meet than there are; blocks that aren't full, copies, rows without a hash."""
+    monkeypatch.setattr(images, "BLOCK", 64)
+    monkeypatch.setattr(images, "AT_ONCE", 1000)
+    draw = random.Random(4)
+    rows = [(i, f"{draw.getrandbits(64):016x}") for i in range(many)] + [(900 + i, "00ff" * 4) for i in range(30)] + [(990, None), (991, "abc")]
+    x = spark.createDataFrame(rows, "image_id int, hash string")
+    y = x.where("image_id % 3 = 0").withColumnRenamed("image_id", "target_id")
+    found = images.similar(x, y, 67)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan and "band" not in plan
+    ok = [(i, int(h, 16)) for i, h in rows if h and len(h) == 16]
+    want = sorted((i, j, (v ^ w).bit_count()) for i, v in ok for j, w in ok if j % 3 == 0 and (v ^ w).bit_count() <= 21)
+    assert sorted((r.image_id, r.target_id, r.distance) for r in found.collect()) == want and len(want) >= 300
+
+
+def test_mean_of_a_picture_is_taken_once(spark):
+    """Neither for each pixel nor for each part of the hash."""
+    df = spark.createDataFrame([([0.0] * 63 + [1.0],), ([3.0] * 64,), (None,)], "p array<double>").select(images.average_hash(F.transform("p", lambda x: x * 2)).alias("h"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.h for r in df.collect()] == ["0" * 15 + "1", "0" * 16, None]
