@@ -31,6 +31,13 @@ def test_runs(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).columns
 
 
+def test_letters_are_masked_whole(spark, sf):
+    """Both modes mask all findings of a letter."""
+    found = {r[0]: r[1] for r in Q.QUERIES["entities_over_letters"](spark, sf).groupBy("doc_id").count().collect()}
+    for mode in ("safe", "compat"):
+        assert {r.doc_id: r.n for r in Q.QUERIES[f"letters_masked_{mode}"](spark, sf).collect()} == found
+
+
 def test_entry(spark):
     import __spark_entry__
 
