@@ -5,10 +5,11 @@ import re
 import time
 
 import plain as R
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.functions import arrays
+from hushframe.functions import arrays, batch
 from hushframe.functions import native as N
 from hushframe.functions.dialect import RUN_CLASS, first_characters, needs, to_java, to_python, to_search
 from hushframe.functions.spans import places
@@ -70,6 +71,26 @@ def test_searched_patterns(spark, texts):
     assert first_characters(r"a*") is None and first_characters(r"\b(?:x|[yz])", "i") == set("xyzXYZ")
 
 
+def test_patterns_over_a_batch(texts):
+    """Arrow's matcher finds what ``re`` finds, and takes all patterns but those that look around."""
+    rules = [(p, f, i % 2 == 0) for i, (p, f) in enumerate([*(x for r in N.built_in() for x in r.patterns), *((r[-1], r[-2]) for r in R.V.RULES), ("é[st]", "i"), ("a*", ""), (r"(a)|b", "")])]
+    assert sum(batch.searched(p, f) is None for p, f, _ in rules) <= 6
+    own = [*texts[-23:], "ſar 5 SAR 5 \u212aWD 5 KWD", "ÉS ét éſ", "ab a", "\ufdd0ab", None]
+    got = batch.find(pa.array(own, pa.string()), [batch.Pattern(i, p, f, g, False) for i, (p, f, g) in enumerate(rules)])
+    for t, found in zip(own, got.to_pylist()):
+        want = t is not None and [(i, m[0], *m.span(), (m[1] or "") if g and m.re.groups else "") for i, (p, f, g) in enumerate(rules) for m in to_python(p, f).finditer(t)]
+        assert (t is None and found is None) or [tuple(x.values()) for x in found] == want
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    texts = pa.array(["a@b.cd " * 50, None, "", "x a@b.cd", "é a@b.cd"])
+    patterns = [batch.Pattern(0, *R.V.EMAILS[0], False, False)]
+    whole = batch.find(texts, patterns)
+    monkeypatch.setattr(batch, "AT_ONCE", 10)
+    assert batch.find(texts, patterns).equals(whole) and [len(x or ()) for x in whole.to_pylist()] == [50, 0, 0, 1, 1]
+    assert len(batch.find(texts.slice(0, 0), patterns)) == 0 and batch.find(texts.slice(3), patterns).to_pylist()[1][0]["start"] == 2
+
+
 @pytest.mark.parametrize("people", [(), ("maria", "Stteen", "thnding")])
 def test_engine_a(spark, texts, people):
     names = ["Stteen Erachtz", "the", " a "]
