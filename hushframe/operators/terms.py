@@ -2,30 +2,37 @@
 
 A term is found where its text stands, in any case of A-Z, with an edge of an ASCII word at either end: what the pattern
 ``\\bterm\\b`` finds.  So a term is a run of whole tokens, which are words and the whole stretches between words.  Terms of up to
-``SHORT`` tokens are joined as they are: a document gives its runs of each number of tokens that terms have, and a run that
-is a term is a place of it.  The work is that of the documents' runs and of the places, however many terms share a word.
+``SHORT`` tokens are joined as they are: documents give their runs of each number of tokens that terms have, and a run that
+is a term is a place of it.  Runs that a filter of all terms (some bits a term, 32 MB at most) hasn't are left out at once, and equal runs
+of some megabytes of documents are one row with all places, so frequent terms cost little more than their places' numbers.
 
 Longer terms are filed under one of their tokens, the one that the documents have least often; a document's tokens, with
 their places and as much text around as the longest such term needs, meet the index in one join, and what stands there is
 compared with the term.
 
-The index is broadcast if it is small by count and bytes (``BROADCAST_TERMS``, ``BROADCAST_BYTES``), so documents aren't
-shuffled; beyond that runs and tokens are shuffled, with adaptive execution splitting those that are frequent.  Everything is
-expressions and joins.
+Terms are broadcast if they are small by count and bytes (``BROADCAST_TERMS``, ``BROADCAST_BYTES``), so documents aren't
+shuffled; beyond that runs and tokens are shuffled, with adaptive execution splitting those that are frequent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.functions import runs
 from hushframe.functions.arrays import let, running
 from hushframe.functions.dialect import SPACES
 from hushframe.operators.detect import CAPITALISED, exploded, no_role
 
 BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 1 << 26
 SHORT = 5
+#: Bytes of documents whose equal runs are one row.
+AT_ONCE = 1 << 23
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = "[a-z0-9_]+"
 
@@ -56,7 +63,7 @@ def _is_word(c: Column) -> Column:
 
 
 def _once(terms: DataFrame) -> DataFrame:
-    return terms.select(normal(F.col("term")).alias("term")).where("term <> ''").distinct()
+    return terms.select("term").distinct().select(normal(F.col("term")).alias("term")).distinct().where("term <> ''")
 
 
 def index(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,12 +89,6 @@ def _overlaps(term: Column) -> Column:
     return F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.right(term, n - k) == F.left(term, n - k)))
 
 
-def _recurs(t: Column) -> Column:
-    """Whether a run of tokens can begin within another place of itself."""
-    n = F.size(t)
-    return F.exists(F.sequence(F.lit(1), n), lambda k: (k < n) & (F.slice(t, k + 1, F.greatest(n - k, F.lit(0))) == F.slice(t, 1, F.greatest(n - k, F.lit(0)))))
-
-
 def _small(df: DataFrame) -> DataFrame:
     """To be broadcast if it is small, by count and by bytes of its strings."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
@@ -136,22 +137,59 @@ def _apart(found: DataFrame, keys: list[str]) -> DataFrame:
     return plain.unionByName(places.select(*keys, "term", F.explode(kept).alias("start"), "n").select(*keys, "term", "start", (F.col("start") + F.col("n")).cast("int").alias("end")))
 
 
-def _runs(docs: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
-    """``keys``, ``term`` and ``at`` of all runs of so many whole tokens that have an edge of a word at either end."""
-
-    def of_all(t: Column, p: Column) -> Column:
-        inner = lambda x: _is_word(x["token"]) | ((x["at"] > 0) & (x["i"] < F.size(p) - 1))
-        # A stretch at either end of the text has no edge on its outer side.
-        ends = let(F.transform(t, inner), lambda ok: F.transform(t, lambda x, i: F.struct(x["at"].alias("at"), F.filter(F.array(*(_run(p, ok, i, n) for n in sizes)), lambda r: r.isNotNull()).alias("runs"))))
-        return F.filter(ends, lambda x: F.size(x["runs"]) > 0)
-
-    def _run(p: Column, ok: Column, i: Column, n: int) -> Column:
-        stands = F.get(ok, i) & F.coalesce(F.get(ok, i + (n - 1)), F.lit(False))
-        return F.when(stands, F.concat(*(F.get(p, i + k) for k in range(n))))
-
-    own = let(tokens(folded(F.col(text))), lambda t: let(F.transform(t, lambda x: x["token"]), lambda p: of_all(t, p)))
-    at = exploded(docs.where(F.col(text).isNotNull()).select(*keys, own.alias("__t")), "__t")
-    return exploded(at.select(*keys, F.col("__t.at").alias("at"), F.col("__t.runs").alias("term")), "term")
+def _filter(terms: DataFrame, n: int) -> np.ndarray:
+    """A filter that has the ``term`` of each of ``n`` rows, and few others: made in a few parts, merged by their pieces."""
+    size = 1 << max(13, min(runs.MOST_BITS, runs.BITS * n).bit_length())
+    size, piece = min(size, runs.MOST_BITS), 1 << 20
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size >> 3, np.uint8)
+        for b in batches:
+            runs.filter_of(b.column(0), bits)
+        for at in range(0, len(bits), piece):
+            if bits[at : at + piece].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([bits[at : at + piece].tobytes()])], ["at", "bits"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, bits in zip(b.column(0).to_pylist(), b.column(1)):
+                own = np.frombuffer(bits.as_buffer(), np.uint8)
+                held[at] = held[at] | own if at in held else own
+        for at, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([bits.tobytes()])], ["at", "bits"])
+
+    kind = "at long, bits binary"
+    out = np.zeros(size >> 3, np.uint8)
+    for r in terms.coalesce(8).mapInArrow(part, kind).repartition("at").mapInArrow(merged, kind).collect():
+        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _runs(docs: DataFrame, doc: str, text: str, sizes: list[int], bits: np.ndarray) -> DataFrame:
+    """``term``, ``docs`` and ``at`` of all runs of so many whole tokens that have an edge of a word at either end, and that a filter has: a
+    row for a run and about ``AT_ONCE`` bytes of texts, with all places there, apart from each other."""
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        for terms, count, row, at in runs.runs(texts, sizes, known.value):
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (keys.take(pa.array(row)), pa.array(at.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([terms, *lists], ["term", "docs", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            size += b.nbytes
+            held.append(b)
+            if size > AT_ONCE:
+                yield from rows(*(pa.concat_arrays([h.column(i) for h in held]) for i in (0, 1)))
+                held, size = [], 0
+        if held:
+            yield from rows(*(pa.concat_arrays([h.column(i) for h in held]) for i in (0, 1)))
+
+    kind = docs.schema[doc].dataType.simpleString()
+    return docs.select(doc, F.make_valid_utf8(text).alias(text)).where(F.col(text) != "").mapInArrow(run, f"term string, docs array<{kind}>, at array<int>")
 
 
 def find_terms(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,23 +198,16 @@ def find_terms(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str
     Null terms and texts have none; terms that are equal in normal form are one; rows that repeat ``doc`` each give theirs.
     """
     docs = docs.select(doc, text)
-    tokens_of = F.filter(F.transform(tokens(F.col("term")), lambda t: t["token"]), lambda t: t != "")
-    sized = _once(terms).select("term", tokens_of.alias("t")).select("term", F.size("t").alias("size"), F.when(F.size("t") <= SHORT, _recurs(F.col("t"))).otherwise(False).alias("own"))
-    # Asked for its bounds before it is joined; as a stored column, ``own`` isn't worked out anew for each run of a document.
-    sized = sized.persist(StorageLevel.DISK_ONLY)
-    kinds = sized.groupBy(F.least("size", F.lit(SHORT + 1)).alias("size"), "own").count().collect()
+    tokens_of = F.regexp_count(folded(F.col("term")), F.lit(f"{_WORD}|[^a-z0-9_]+"))
+    sized = _once(terms).select("term", tokens_of.alias("size")).persist(StorageLevel.DISK_ONLY)
+    counted = {r[0]: r[1] for r in sized.groupBy(F.least("size", F.lit(SHORT + 1)).alias("size")).count().collect()}
     found = docs.sparkSession.createDataFrame([], docs.select(doc, F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).schema)
-
-    def placed(own: bool) -> DataFrame:
-        sizes = sorted(k["size"] for k in kinds if k["own"] == own and k["size"] <= SHORT)
-        of = sized.where((F.col("size") <= SHORT) & (F.col("own") == own)).select("term")
-        return _runs(docs, [doc], text, sizes).join(_small(of), "term").select(doc, "term", F.col("at").cast("int").alias("start"), (F.col("at") + F.length("term")).cast("int").alias("end"))
-
-    if any(k["size"] <= SHORT and not k["own"] for k in kinds):
-        found = placed(False)
-    if any(k["own"] for k in kinds):
-        found = found.unionByName(_apart(placed(True).withColumn("own", F.lit(True)), [doc]))
-    if any(k["size"] > SHORT for k in kinds):
+    if sizes := sorted(n for n in counted if n <= SHORT):
+        short = sized.where(F.col("size") <= SHORT).select("term")
+        met = _runs(docs, doc, text, sizes, _filter(short, sum(counted[n] for n in sizes))).join(_small(short), "term")
+        at = met.select("term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), "at")).alias(doc, "start"))
+        found = at.select(doc, "term", "start", (F.col("start") + F.length("term")).alias("end"))
+    if SHORT + 1 in counted:
         longer = sized.where(F.col("size") > SHORT)
         known = index(longer.select("term"), docs, text).persist(StorageLevel.DISK_ONLY)
         most, longest = longer.agg(F.max("size"), F.max(F.length("term"))).first()

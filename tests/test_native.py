@@ -203,6 +203,15 @@ def test_terms_that_share_words(spark):
     assert sorted((r.term, r.start) for r in found.collect()) == [("x y x", 0), ("x y z", 19), ("y x y", 2), ("y x z", 6)]
 
 
+def test_equal_runs_of_a_batch_are_one_row(spark):
+    """What is shuffled is a row for each run that a term may be, not for each place; rows that repeat a document each give theirs."""
+    docs = spark.createDataFrame([(1, "a a a, b"), (1, "A a"), (2, "a c c"), (3, None)], "doc_id int, text string").coalesce(1)
+    of = spark.createDataFrame([("a a",), ("a",), ("b",)], "term string")
+    met = terms._runs(docs, "doc_id", "text", [1, 3], terms._filter(of, 3))
+    assert sorted((r.term, list(zip(r.docs, r.at))) for r in met.collect()) == [("a", [(1, 0), (1, 2), (1, 4), (1, 0), (1, 2), (2, 0)]), ("a a", [(1, 0), (1, 0)]), ("b", [(1, 7)])]
+    assert sorted(tuple(r) for r in terms.find_terms(docs, of.where("term <> 'a'")).collect()) == [(1, "a a", 0, 3), (1, "a a", 0, 3), (1, "b", 7, 8)]
+
+
 def test_people(spark, texts):
     names = ["Maria", " stteen ", "thnding", None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
