@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.scratch import bounded_batches, cut, keep_only, scope, shared_dir, written
 
-#: Bytes of a payload from which on it is written once; of a file; of a window of the reader; of a record's headers at most.
+#: Bytes of a payload from which on it is written once; of a file; that the reader takes at once; of a record's headers at most.
 LEAST, ROLL, CHUNK, HEADERS = 1000, 1 << 26, 1 << 18, 1 << 20
+#: Bytes of a member that are taken first; most members are no longer.
+PIECE = 1 << 12
 #: A row holds no more.
 MOST = (1 << 31) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,7 +94,7 @@ class Archives:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.file = f"{self.name}-{self.made:05}-{uuid.uuid4().hex}.warc.gz"
-            self.out = self.fs.open_output_stream(f"{self.folder}/_{self.file}", compression=None)  # members are made here
+            self.out = self.fs.open_output_stream(f"{self.folder}/_{self.file}", compression=None, buffer_size=CHUNK)  # members are made here
             self._put(record("warcinfo", f"urn:uuid:{uuid.uuid4()}", self.date, {"Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
         self._put(data)
         self.records += 1
@@ -126,11 +128,13 @@ def first_of(pages: DataFrame, row_id: str, payload: str, least: int = LEAST) ->
     key, size, top, own = (next(f"{n}_{i}" for i in range(len(known) + 1) if f"{n}_{i}" not in known) for n in ("key", "size", "top", "own"))
     data = F.coalesce(F.col(payload), F.lit("").cast(pages.schema[payload].dataType)).cast("binary")
     keyed = pages.withColumns({key: F.substring(F.unhex(F.sha2(data, 256)), 1, 16), size: F.octet_length(data)})
-    light = keyed.where(F.col(size) >= least).groupBy(key, size, F.col(row_id).alias(own)).agg(F.count("*").alias(top))
+    # Ids and digests are kept, so payloads are read once for them and once to be written.
+    light = cut(keyed.where(F.col(size) >= least).groupBy(key, size, F.col(row_id).alias(own)).agg(F.count("*").alias(top)))
     groups = light.groupBy(key, size).agg(F.max(own).alias(top), F.sum(top).alias("n")).where(f"n > 1 and `{top}` is not null").drop("n")
     revisits = light.drop(top).join(groups, [key, size]).where(~F.col(own).eqNullSafe(F.col(top))).select(F.col(key).alias("k"), F.col(size).alias("s"), own, top)
     on = (keyed[key] == revisits["k"]) & (keyed[size] == revisits["s"]) & keyed[row_id].eqNullSafe(revisits[own])
-    return keyed.join(revisits, on, "left").select(*(keyed[c] for c in pages.columns if c != "refers_to"), revisits[top].alias("refers_to"))
+    # Hashed, so rows with payloads aren't sorted.
+    return keyed.join(revisits.hint("shuffle_hash"), on, "left").select(*(keyed[c] for c in pages.columns if c != "refers_to"), revisits[top].alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, row_id: str, url: str, payload: str, least: int = LEAST) -> DataFrame:
@@ -192,7 +196,7 @@ class _Window:
     def read(self, at: int, n: int) -> bytes:
         if not self.at <= at <= at + min(n, self.size - at) <= self.at + len(self.data):
             self.file.seek(at)
-            self.at, self.data = at, self.file.read(max(n, CHUNK))
+            self.at, self.data = at, self.file.read(max(n, 8 * CHUNK))
         return self.data[at - self.at : at - self.at + n]
 
 
@@ -243,17 +247,17 @@ def _plain(w: _Window, at: int) -> Found:
 
 def _unpacked(w: _Window, at: int) -> list[Found]:
     """The records of the gzip member that begins at this place."""
-    gz, data, pos, rest = zlib.decompressobj(31), bytearray(), at, b""
+    gz, data, pos, rest, piece = zlib.decompressobj(31), bytearray(), at, b"", min(PIECE, CHUNK)
     while not gz.eof:
-        rest = rest or w.read(pos, CHUNK)
+        if not rest:
+            rest, piece = w.read(pos, piece), min(2 * piece, CHUNK)
+            pos += len(rest)
         if not rest:
             raise Broken("member ends early")
         try:
             data += gz.decompress(rest, CHUNK)
         except zlib.error as e:
             raise Broken("checksum of a member doesn't fit" if "check" in str(e) else "member is damaged") from e
-        if not gz.unconsumed_tail:
-            pos += min(CHUNK, w.size - pos)
         rest = gz.unconsumed_tail
         if len(data) >= 5 and not data.startswith(b"WARC/"):
             raise Broken("member holds no record")
@@ -351,7 +355,7 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
     files = files.select("path", "length", *["content"] * whole)
     if not whole:
         n, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        files = files.repartition(max(1, total >> 27, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        files = files.coalesce(1).repartition(max(1, total >> 27, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     names = [x.split()[0] for x in _READ.split(", ")] + ["payload"] * payload
     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), *[pa.binary()] * payload]
 

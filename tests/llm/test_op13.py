@@ -154,3 +154,20 @@ def test_hot_payload(spark):
     for i in range(30_000):
         top["h" if i % 3 == 0 else i % 7000] = i
     assert got == {i: None if (t := top["h" if i % 3 == 0 else i % 7000]) == i else t for i in range(30_000)}
+
+
+def test_an_archive_is_read_about_once():
+    """Members that are far smaller than the reader's window don't each have it read anew."""
+
+    class Counting(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.total += len(got)
+            return got
+
+    whole = b"".join(op.member(sound(i)) for i in range(3000)) + op.member(op.record("response", "urn:row:9", DATE, {}, random.Random(1).randbytes(5 * op.CHUNK)))
+    file = Counting(whole)
+    assert sum(x.headers is not None for x in op.salvage(file, len(whole))) == 3001
+    assert file.total < 3 * len(whole) + 16 * op.CHUNK
