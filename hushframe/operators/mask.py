@@ -89,6 +89,19 @@ def _spliced(text: Column, at: Column) -> Column:
     return F.aggregate(order, text, lambda acc, d: F.concat(F.substring(acc, F.lit(1), d["start"]), d["placeholder"], F.substring(acc, d["end"] + 1, F.length(acc))))
 
 
+def _cut(text: Column, at: Column) -> Column:
+    """As :func:`_spliced`, for spans within the text: what stands before a span is as it was, so only what follows is put together,
+    and an earlier span cuts from it what it reaches over."""
+    order = F.sort_array(F.transform(at, lambda d: F.struct((-d["start"]).alias("s"), d["ord"].alias("ord"), d["end"].cast("int").alias("end"), d["placeholder"].alias("p"))))
+
+    def step(of: Column, acc: Column, d: Column) -> Column:
+        rest = F.when(d["end"] <= acc["at"], F.concat(part(of, d["end"], acc["at"]), acc["rest"])).otherwise(F.substr(acc["rest"], d["end"] - acc["at"] + 1))
+        return F.struct((-d["s"]).cast("int").alias("at"), F.concat(d["p"], rest).alias("rest"))
+
+    whole = lambda of, n: F.aggregate(order, F.struct(n.alias("at"), F.lit("").alias("rest")), lambda acc, d: step(of, acc, d), lambda acc: F.concat(part(of, F.lit(0), acc["at"]), acc["rest"]))
+    return let(blocks(text), lambda of: let(F.length(text), lambda n: whole(of, n)))
+
+
 def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     """``text`` with approved spans replaced.
 
@@ -96,7 +109,7 @@ def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
     what lies between, as the application does; ``safe`` replaces spans that overlap as one, so nothing of any is left;
     ``unchecked`` is ``compat`` without looking whether places lie within the text (beyond its end, it is appended to).
     Texts whose spans lie apart are put together from pieces; only those with overlapping spans in a mode other than ``safe`` are
-    spliced span by span, each of which costs a copy of the text.
+    put together span by span, each of which costs a copy of what follows it.
     """
     at = let(F.length(text), lambda n: F.filter(detections, lambda d: d["approved"] if mode == "unchecked" else valid(d, n)))
     if mode == "safe":
@@ -106,7 +119,7 @@ def masked(text: Column, detections: Column, mode: str = "safe") -> Column:
         return F.forall(F.transform(s, lambda d, i: (d["start"] >= F.when(i == 0, 0).otherwise(F.get(reach, i - 1))) & (d["end"] >= d["start"]) & (d["end"] <= n)), lambda x: x)
 
     def either(a: Column) -> Column:
-        return let(_by_place(a), lambda s: F.when(let(F.length(text), lambda n: let(_reach(s), lambda reach: apart(s, reach, n))), let(blocks(text), lambda of: _joined(of, text, s))).otherwise(_spliced(text, a)))
+        return let(_by_place(a), lambda s: F.when(let(F.length(text), lambda n: let(_reach(s), lambda reach: apart(s, reach, n))), let(blocks(text), lambda of: _joined(of, text, s))).otherwise((_spliced if mode == "unchecked" else _cut)(text, a)))
 
     return F.when(F.size(at) > 0, let(at, either)).otherwise(text)
 
