@@ -13,6 +13,7 @@ from hushframe.functions import arrays, batch
 from hushframe.functions import native as N
 from hushframe.functions.dialect import RUN_CLASS, first_characters, needs, to_java, to_python, to_search
 from hushframe.functions.spans import places
+from hushframe.operators import detect as D
 from hushframe.operators import images, mask, terms
 from hushframe.operators.detect import detect, detect_native, detect_rules
 from hushframe.plans import queries as Q
@@ -88,6 +89,12 @@ def test_batches_are_cut_by_bytes(monkeypatch):
     whole = batch.find(texts, patterns)
     monkeypatch.setattr(batch, "AT_ONCE", 10)
     assert batch.find(texts, patterns).equals(whole) and [len(x or ()) for x in whole.to_pylist()] == [50, 0, 0, 1, 1]
+    odd = pa.array([x for i in range(300) for x in (f"é{i} a{i}@b.cd" * (i % 7), "ſ a@b.cd")])
+    each = [batch.find(odd.slice(i, 1), patterns).to_pylist()[0] for i in range(200, 600)]
+    assert batch._found(odd.slice(200), patterns).to_pylist() == batch.find(odd.slice(200), patterns).to_pylist() == each
+    steps = D.steps_of(Q.NOTES)
+    rules = N.patterns_of(N.Patterns([(s.pattern, s.flags)], dotted=s.dotted) for s in steps)
+    assert batch.sliced(lambda x: D._detections(x, steps, rules), odd.slice(200)).to_pylist() == D._detections(odd, steps, rules).to_pylist()[200:] == D._detections(odd.slice(200), steps, rules).to_pylist()
     assert len(batch.find(texts.slice(0, 0), patterns)) == 0 and batch.find(texts.slice(3), patterns).to_pylist()[1][0]["start"] == 2
 
 
